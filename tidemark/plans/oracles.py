@@ -403,7 +403,7 @@ ORACLES: dict[str, str] = {
         "CAST((SELECT COALESCE(SUM(p.pr_merged_count), 0) FROM pr_daily p WHERE p.repo_name = w.repo_name "
         "AND p.date >= CAST(w.issue_created_at AS DATE) - INTERVAL 30 DAY "
         "AND p.date < CAST(w.issue_created_at AS DATE)) AS BIGINT) AS manual_recompute "
-        "FROM joined w WHERE w.repo_name = 'FRANCE' ORDER BY w.issue_created_at, w.issue_id LIMIT 5",
+        f"FROM joined w WHERE w.repo_name = '{star.SPOT_REPO}' ORDER BY w.issue_created_at, w.issue_id LIMIT 5",
         _JOINED,
     ),
     "signal_zero_fraction": _zero_fraction(),
@@ -432,6 +432,13 @@ ORACLES: dict[str, str] = {
         f"SELECT doc_id, len(w) AS n_tokens, len(w[1:{fixed.MAX_TOKENS}]) AS n_kept, "
         f"md5(array_to_string(w[1:{fixed.MAX_TOKENS}], ' ')) AS kept_md5 FROM words",
     ),
-    "assembled_features": _with(["issues", *_DAILY], f"SELECT issue_id, {_ASSEMBLED} FROM joined", _JOINED),
+    "assembled_features": _with(["issues", *_DAILY], f"SELECT issue_id, {_ASSEMBLED}, CASE WHEN has_terms THEN 1.0 ELSE 0.0 END AS text_length "
+        "FROM joined JOIN worded USING (issue_id)",
+        {
+            **_JOINED,
+            "worded": "SELECT issue_id, regexp_matches(COALESCE(title, '') || ' ' || COALESCE(body, ''), "
+            f"'{fixed.TOKEN_PATTERN}') AS has_terms FROM issues",
+        },
+    ),
     "batch_scoring": _scorer(),
 }

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorSlicer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +19,6 @@ from tidemark.streaming import shard_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-SPOT_REPO = "FRANCE"
 CUTS = {"train_end": star.TRAIN_END, "test_end": star.TEST_END}
 
 
@@ -224,7 +221,7 @@ def spot_check(spark: SparkSession, sf: str) -> DataFrame:
     found = quality.spot_check(
         _signals(spark, sf),
         star.pr_daily(spark, sf),
-        SPOT_REPO,
+        star.SPOT_REPO,
         "pr_merged_30d",
         "pr_merged_count",
         fixed.SHORT_WINDOW_DAYS,
@@ -296,26 +293,26 @@ def stream_evaluation(spark: SparkSession, sf: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
     counted = text.counted(text.tokens(F.col("text")), "token")
-    return star.table(spark, sf, "documents").select("doc_id", F.inline(counted))
+    return star.documents(spark, sf).select("doc_id", F.inline(counted))
 
 
 def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
     counted = text.counted(text.terms(F.col("text")))
-    return star.table(spark, sf, "documents").select("doc_id", F.inline(counted))
+    return star.documents(spark, sf).select("doc_id", F.inline(counted))
 
 
 def hashed_tf_md5(spark: SparkSession, sf: str) -> DataFrame:
     counted = text.hashed_counts(F.col("text"), text.bucket_md5)
-    return star.table(spark, sf, "documents").select("doc_id", F.inline(counted))
+    return star.documents(spark, sf).select("doc_id", F.inline(counted))
 
 
 def l2_tf(spark: SparkSession, sf: str) -> DataFrame:
     scaled = text.l2_weights(text.hashed_counts(F.col("text"), text.bucket_md5))
-    return _rounded(star.table(spark, sf, "documents").select("doc_id", F.inline(scaled)), "weight")
+    return _rounded(star.documents(spark, sf).select("doc_id", F.inline(scaled)), "weight")
 
 
 def token_cap(spark: SparkSession, sf: str) -> DataFrame:
-    words = star.table(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("words"))
+    words = star.documents(spark, sf).select("doc_id", text.tokens(F.col("text")).alias("words"))
     kept = text.capped(F.col("words"))
     return words.select(
         "doc_id",
@@ -326,17 +323,22 @@ def token_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hashed_tf(spark: SparkSession, sf: str) -> DataFrame:
-    documents = star.table(spark, sf, "documents").select("doc_id", "text")
+    documents = star.documents(spark, sf)
     return PipelineModel(stages=vectors.text_stages()).transform(documents).select("doc_id", "text_vector")
 
 
 def assembled_features(spark: SparkSession, sf: str) -> DataFrame:
-    """The numeric end of the assembled vector, cut out of it again."""
+    """The numeric end of the assembled vector, cut out of it again, and the length of the text part."""
     rows = _signals(spark, sf, body=True)
-    tail = list(range(fixed.HASH_BUCKETS, fixed.HASH_BUCKETS + 10))
-    stages = [*vectors.issue_stages(signals=True), VectorSlicer(inputCol="features", outputCol="tail", indices=tail)]
-    found = PipelineModel(stages=stages).transform(rows).select("issue_id", vector_to_array("tail").alias("v"))
-    return found.select("issue_id", *[F.round(F.col("v")[i], 6).alias(f"v{i}") for i in range(10)])
+    made = training.LinearSpec(signals=True).features(rows, ["issue_id"])
+    stored = F.col("features.values")
+    numeric = made.select("issue_id", F.slice(stored, -10, 10).alias("v"), F.size(stored).alias("n"), stored.alias("s"))
+    squares = F.aggregate(F.slice("s", F.lit(1), F.col("n") - 10), F.lit(0.0), lambda a, x: a + x * x)
+    return numeric.select(
+        "issue_id",
+        *[F.round(F.col("v")[i], 6).alias(f"v{i}") for i in range(10)],
+        F.round(F.sqrt(squares), 6).alias("text_length"),
+    )
 
 
 # Models
@@ -344,8 +346,7 @@ def assembled_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scored_text(spark: SparkSession, sf: str, spec: training.LinearSpec) -> DataFrame:
     rows = _signals(spark, sf, body=True) if spec.signals else star.issues(spark, sf, body=True)
-    model = training.fit_linear(_train(rows), spec)
-    return training.predict(model, _test(rows), keep=["issue_id"])
+    return training.fit_linear(_train(rows), spec).predict(_test(rows), keep=["issue_id"])
 
 
 def _report(pairs: DataFrame) -> DataFrame:
@@ -378,36 +379,40 @@ def model_selection(spark: SparkSession, sf: str) -> DataFrame:
     found = training.select_linear(
         parts.where(F.col("part") == "train"), parts.where(F.col("part") == "val"), specs
     )
-    lines = [(c.name, c.spec.l2, c.macro_f1, i == 0) for i, c in enumerate(found)]
+    lines = [(c.name, c.model.spec.l2, c.macro_f1, i == 0) for i, c in enumerate(found)]
     return spark.createDataFrame(lines, "candidate string, l2 double, macro_f1 double, best boolean")
 
 
 def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions of a saved and re-loaded model against those of the original: (n, differing)."""
     rows = star.issues(spark, sf, body=True)
-    model = training.fit_linear(_train(rows), training.LinearSpec(iterations=3))
+    spec = training.LinearSpec(iterations=3)
+    model = training.fit_linear(_train(rows), spec)
     path = session.scratch_dir(spark, "model")
-    model.write().overwrite().save(path)
-    before = training.predict(model, _test(rows), ["issue_id"])
-    after = training.predict(PipelineModel.load(path), _test(rows), ["issue_id"])
-    both = before.join(after.select("issue_id", F.col("pred_label").alias("reloaded")), "issue_id")
-    return both.agg(
+    model.save(path)
+    again = training.load_model(spark, path)
+    test = training.feature_table(_test(rows), spec, ["issue_id"])
+    before = model.predict_vectors(test, ["issue_id"])
+    after = again.predict_vectors(test, ["issue_id"]).withColumnRenamed("pred_label", "reloaded")
+    return before.join(after, "issue_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred_label") != F.col("reloaded")).alias("differing")
     )
 
 
 def embedding_signals_lr(spark: SparkSession, sf: str) -> DataFrame:
-    """Head on [embedding, 10 numeric features], every tenth part of the vectors held out by hash."""
+    """Head on [embedding, 10 numeric features], a tenth of the vectors held out by hash."""
     labels = [str(i) for i in range(10)]
-    numeric = vectors.AUTHOR_COLUMNS + vectors.SIGNAL_COLUMNS
-    issues = vectors.numeric_stage(signals=True).transform(_signals(spark, sf)).select("issue_id", *numeric)
+    flags = scalars.author_flags(F.col("author_association"))
+    logs = [scalars.signal_log(F.col(s)).alias(f"log_{s}") for s in fixed.SIGNALS]
+    issues = _signals(spark, sf).select("issue_id", *flags, *logs)
+    numeric = issues.columns[1:]
     embeddings = star.table(spark, sf, "embeddings").withColumn("label", F.col("label").cast("string"))
-    rows = embeddings.join(issues, F.col("vec_id") == F.col("issue_id")).withColumn(
-        "held_out", scalars.bucket_fraction(F.col("vec_id")) < 0.1
-    )
-    model = training.fit_embedding_head(rows.where(~F.col("held_out")), "embedding", numeric, labels)
-    held_out = training.with_embedding_vector(rows.where("held_out"), "embedding")
-    cells = metrics.confusion_matrix(training.predict(model, held_out), labels=labels)
+    rows = embeddings.join(issues, F.col("vec_id") == F.col("issue_id"))
+    rows = tables.materialize(rows, session.scratch_dir(spark, "embedding_rows"))
+    held_out = scalars.bucket_fraction(F.col("vec_id")) < 0.1
+    model = training.fit_embedding_head(rows.where(~held_out), "embedding", numeric, labels)
+    scored = training.predict_head(model, rows.where(held_out), "embedding")
+    cells = metrics.confusion_matrix(scored, labels=labels)
     return _rounded(metrics.classification_report(cells), "precision", "recall", "f1")
 
 

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.base import Estimator
-from pyspark.ml.classification import LogisticRegression, OneVsRest
+from pyspark.ml.base import Estimator, Model
+from pyspark.ml.classification import (
+    LogisticRegression,
+    LogisticRegressionModel,
+    OneVsRest,
+    OneVsRestModel,
+)
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import IndexToString, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark import fixed
-from tidemark.functions import vectors
-from tidemark.functions.scalars import label_id
+from tidemark import fixed, session
+from tidemark.functions import scalars, vectors
+from tidemark.functions.scalars import label_id, label_name
 from tidemark.operators import metrics, weights
+from tidemark.sources import tables
 
 
 @dataclass(frozen=True)
@@ -31,9 +38,13 @@ class LinearSpec:
     buckets: int = fixed.HASH_BUCKETS
     # Depth of the gradient tree. A gradient is labels x buckets doubles (8 MB at 4 x 2^18), so
     # with thousands of tasks the driver must see merged ones only.
-    aggregation_depth: int = 3
+    aggregation_depth: int = 2
     labels: tuple[str, ...] = tuple(fixed.LABELS)
 
+    def __post_init__(self) -> None:
+        if self.form not in ("softmax", "one_vs_rest"):
+            raise ValueError(f"unknown form: {self.form}")
+
     def classifier(self) -> Estimator:
         base = LogisticRegression(
             featuresCol="features",
@@ -48,29 +59,72 @@ class LinearSpec:
             return base.setWeightCol("weight")
         return OneVsRest(classifier=base, featuresCol="features", labelCol="label_id", weightCol="weight")
 
+    def features(self, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """(keep..., features in stored form) from raw issue rows; map-only."""
+        text = scalars.issue_text(F.col("title"), F.col("body"))
+        signals = fixed.SIGNALS if self.signals else ()
+        made = vectors.issue_features(text, F.col("author_association"), signals, self.buckets)
+        return rows.select(*keep, made.alias("features"))
+
+
+@dataclass(frozen=True)
+class LinearModel:
+    """A fitted classifier with the spec that says how its features are made."""
+
+    spec: LinearSpec
+    classifier: Model
+
+    def predict_vectors(self, rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        scored = self.classifier.transform(rows)
+        return scored.select(*keep, label_name(F.col("prediction"), self.spec.labels).alias("pred_label"))
+
+    def predict(self, rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """(keep..., true_label, pred_label) from raw issue rows; nothing is gathered."""
+        named = rows.withColumn("true_label", F.col("label"))
+        kept = [*keep, "true_label"]
+        return self.predict_vectors(vectors.as_vectors(self.spec.features(named, kept)), kept)
+
+    def save(self, path: str) -> None:
+        """Write the classifier and the spec; replaces an earlier model."""
+        self.classifier.write().overwrite().save(f"{path}/classifier")
+        spark = SparkSession.active()
+        spec = spark.createDataFrame([(json.dumps(asdict(self.spec)),)], "value string")
+        spec.coalesce(1).write.mode("overwrite").text(f"{path}/spec")
+
+
+def load_model(spark: SparkSession, path: str) -> LinearModel:
+    stored = json.loads(spark.read.text(f"{path}/spec").first()["value"])
+    spec = LinearSpec(**{**stored, "labels": tuple(stored["labels"])})
+    kind = LogisticRegressionModel if spec.form == "softmax" else OneVsRestModel
+    return LinearModel(spec, kind.load(f"{path}/classifier"))
+
 
 def with_training_columns(train: DataFrame, labels: Sequence[str] = fixed.LABELS) -> DataFrame:
     """Add the label id (failing on an unknown label) and the balanced weight of the label."""
     balanced = weights.class_weights(train, labels=labels)
-    return weights.with_class_weight(train, balanced).withColumn(
+    checked = scalars.require_labels(train, labels=labels)
+    return weights.with_class_weight(checked, balanced).withColumn(
         "label_id", label_id(F.col("label"), labels).cast("double")
     )
 
 
-def fit_linear(train: DataFrame, spec: LinearSpec = LinearSpec()) -> PipelineModel:
-    """Fit on raw issue rows. The result takes raw issue rows too and adds ``pred_label``."""
-    stages = [
-        *vectors.issue_stages(spec.signals, spec.buckets),
-        spec.classifier(),
-        IndexToString(inputCol="prediction", outputCol="pred_label", labels=list(spec.labels)),
-    ]
-    return Pipeline(stages=stages).fit(with_training_columns(train, spec.labels))
+def feature_table(rows: DataFrame, spec: LinearSpec, keep: Sequence[str], path: str | None = None) -> DataFrame:
+    """Features written once and read back as vectors.
 
+    A fit reads its input several times and would hash the texts each time. The table also lets
+    a fit go on from files when executors are lost.
+    """
+    spark = rows.sparkSession
+    made = spec.features(rows, keep)
+    path = path or session.scratch_dir(spark, "features")
+    tables.export_shards(made, path)
+    return spark.read.schema(vectors.vector_schema(made.schema, "features")).parquet(path)
 
-def predict(model: PipelineModel, rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """(keep..., true_label, pred_label); stays distributed, nothing is gathered."""
-    scored = model.transform(rows)
-    return scored.select(*keep, F.col("label").alias("true_label"), "pred_label")
+
+def fit_linear(train: DataFrame, spec: LinearSpec = LinearSpec(), path: str | None = None) -> LinearModel:
+    """Fit on raw issue rows; ``path`` is where the feature table goes (a scratch folder if unset)."""
+    ready = feature_table(with_training_columns(train, spec.labels), spec, ["label_id", "weight"], path)
+    return LinearModel(spec, spec.classifier().fit(ready))
 
 
 class MacroF1Evaluator(Evaluator):
@@ -96,9 +150,8 @@ class MacroF1Evaluator(Evaluator):
 @dataclass(frozen=True)
 class Candidate:
     name: str
-    spec: LinearSpec
     macro_f1: float
-    model: PipelineModel
+    model: LinearModel
 
 
 def select_linear(train: DataFrame, val: DataFrame, specs: Sequence[LinearSpec]) -> list[Candidate]:
@@ -109,22 +162,14 @@ def select_linear(train: DataFrame, val: DataFrame, specs: Sequence[LinearSpec])
     first = specs[0]
     if any((s.signals, s.buckets, s.labels) != (first.signals, first.buckets, first.labels) for s in specs):
         raise ValueError("candidates must share their features")
-    features = PipelineModel(stages=vectors.issue_stages(first.signals, first.buckets))
-    ready = features.transform(with_training_columns(train, first.labels))
-    ready = ready.select("features", "label_id", "weight").persist()
-    check = features.transform(val).select("features", "label").persist()
+    ready = feature_table(with_training_columns(train, first.labels), first, ["label_id", "weight"])
+    check = feature_table(val, first, ["label"])
     evaluator = MacroF1Evaluator(labels=first.labels)
-    names = IndexToString(inputCol="prediction", outputCol="pred_label", labels=list(first.labels))
-    try:
-        found = []
-        for i, spec in enumerate(specs):
-            fitted = spec.classifier().fit(ready)
-            score = evaluator.evaluate(names.transform(fitted.transform(check)))
-            model = PipelineModel(stages=[*features.stages, fitted, names])
-            found.append(Candidate(f"candidate_{i}", spec, score, model))
-    finally:
-        ready.unpersist()
-        check.unpersist()
+    found = []
+    for i, spec in enumerate(specs):
+        model = LinearModel(spec, spec.classifier().fit(ready))
+        score = evaluator.evaluate(model.predict_vectors(check, ["label"]))
+        found.append(Candidate(f"candidate_{i}", score, model))
     return sorted(found, key=lambda c: -c.macro_f1)
 
 
@@ -159,3 +204,8 @@ def fit_embedding_head(
 
 def with_embedding_vector(df: DataFrame, embedding: str) -> DataFrame:
     return df.withColumn("embedding_vector", array_to_vector(F.col(embedding)))
+
+
+def predict_head(model: PipelineModel, rows: DataFrame, embedding: str, keep: Sequence[str] = ()) -> DataFrame:
+    scored = model.transform(with_embedding_vector(rows, embedding))
+    return scored.select(*keep, F.col("label").alias("true_label"), "pred_label")

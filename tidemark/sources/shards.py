@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixed
@@ -13,7 +13,7 @@ from tidemark import fixed
 def read_shards(
     spark: SparkSession,
     path: str,
-    columns: Sequence[str] | None = None,
+    columns: Sequence[Column | str] | None = None,
     first: int | None = None,
 ) -> DataFrame:
     """All Parquet shards under ``path``. Raises ``AnalysisException`` when there are none.
@@ -27,7 +27,7 @@ def read_shards(
     return df.select(*columns) if columns else df
 
 
-def read_smoke(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+def read_smoke(spark: SparkSession, path: str, columns: Sequence[Column | str] | None = None) -> DataFrame:
     return read_shards(spark, path, columns, first=fixed.SMOKE_SHARDS)
 
 
@@ -40,3 +40,12 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """
     place = F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
     return df.select("*", place.alias(name))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer tasks than cores (a few small files) over all cores.
+
+    A scan of cluster size has more tasks than cores and comes back as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

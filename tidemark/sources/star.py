@@ -6,9 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shards import spread
+
 TRAIN_END = "2000-01-01"
 TEST_END = "2001-01-01"
 SAMPLE_TARGET = 3_000
+SPOT_REPO = "NATION_7"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def issues(spark: SparkSession, sf_dir: str, body: bool = False) -> DataFrame:
     """Issues; ``body`` adds the document text, which most queries do not need."""
     orders = table(spark, sf_dir, "orders")
+    if body:
+        # The text work comes after this join: give it all cores while the rows are narrow.
+        orders = spread(orders)
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     key, priority, segment = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("c_mktsegment")
@@ -51,6 +57,10 @@ def issues(spark: SparkSession, sf_dir: str, body: bool = False) -> DataFrame:
     return base.select(*columns, F.when(key % 5 != 0, F.col("text")).alias("body"))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
