@@ -36,6 +36,18 @@ def terms(text: Column) -> Column:
     return bind(tokens(text), lambda words: F.concat(words, bigrams(words)))
 
 
+def run_starts(ordered: Column) -> Column:
+    """Places (from 0) where the value of a sorted array changes; the first place is one."""
+    places = F.slice(F.sequence(F.lit(0), F.size(ordered)), F.lit(1), F.size(ordered))
+    return F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+
+
+def run_lengths(starts: Column, length: Column) -> Column:
+    """Length of each run of a sorted array of the given length."""
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(length))
+    return F.slice(F.zip_with(starts, ends, lambda a, b: b - a), F.lit(1), F.size(starts))
+
+
 def counted(values: Column, name: str = "term") -> Column:
     """Array of (value, n), one entry per distinct value, in value order.
 
@@ -44,23 +56,20 @@ def counted(values: Column, name: str = "term") -> Column:
     """
 
     def runs(ordered: Column) -> Column:
-        marks = F.transform(ordered, lambda v, i: F.when((i == 0) | (v != F.get(ordered, i - 1)), i))
-        starts = F.filter(marks, lambda i: i.isNotNull())
-
-        def lengths(begin: Column) -> Column:
-            end = F.concat(F.slice(begin, F.lit(2), F.size(begin)), F.array(F.size(ordered)))
-            entry = lambda a, b: F.struct(
-                F.get(ordered, a).alias(name), (b - a).cast("long").alias("n")
-            )
-            return F.slice(F.zip_with(begin, end, entry), F.lit(1), F.size(begin))
-
-        return bind(starts, lengths)
+        entry = lambda i, n: F.struct(F.get(ordered, i).alias(name), n.cast("long").alias("n"))
+        return bind(
+            run_starts(ordered),
+            lambda starts: F.zip_with(starts, run_lengths(starts, F.size(ordered)), entry),
+        )
 
     return bind(F.sort_array(values), runs)
 
 
 def bucket_murmur(term: Column, buckets: int = fixed.HASH_BUCKETS) -> Column:
     """Hash bucket of a term, cheap form."""
+    if buckets & (buckets - 1) == 0:
+        # Same as the modulus for a power of two, and never NULL: the buckets sort as plain ints.
+        return F.hash(term).bitwiseAND(F.lit(buckets - 1))
     return F.pmod(F.hash(term), F.lit(buckets))
 
 
