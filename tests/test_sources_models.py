@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed, session
 from tidemark.operators import metrics, splits
-from tidemark.plans import scoring, training
+from tidemark.plans import jobs, scoring, training
 from tidemark.sources import profile, shards, star, tables
 from tidemark.streaming import shard_scoring
 
@@ -146,3 +146,46 @@ def test_stream_counts_each_shard_once(spark, sf_dir, tmp_path):
     assert run() == want  # nothing new, nothing counted again
     pairs.limit(10).coalesce(1).write.mode("append").parquet(src)
     assert sum(run().values()) == sum(want.values()) + 10
+
+
+def test_gradient_tree_deepens_with_the_task_count():
+    spec = training.LinearSpec()
+    assert spec.aggregation_depth(8) == 2
+    assert spec.aggregation_depth(100_000) == 4
+    assert training.LinearSpec(form="one_vs_rest").aggregation_depth(8) == 2
+
+
+def test_jobs_end_to_end(spark, tmp_path):
+    root = str(tmp_path)
+    rows = short_issues(spark, 160).withColumn("repo_name", F.concat(F.lit("r"), F.col("issue_id") % 5))
+    tables.export_shards(rows.repartition(4, "issue_id"), f"{root}/issues")
+    day = spark.range(10).select(
+        F.concat(F.lit("r"), F.col("id") % 5).alias("repo_name"), F.lit("2025-06-20").cast("date").alias("date")
+    )
+    for name, columns in {
+        "pr": {"pr_merged_count": F.lit(2).cast("long"), "avg_hours_to_merge": F.lit(3.0)},
+        "push": {"push_count": F.lit(1).cast("long")},
+        "release": {"release_count": F.lit(1).cast("long")},
+        "watch": {"star_count": F.lit(4).cast("long")},
+    }.items():
+        tables.export_shards(day.withColumns(columns), f"{root}/{name}")
+    feeds = [word for name in ("issues", "pr", "push", "release", "watch") for word in (f"--{name}", f"{root}/{name}")]
+    jobs.main(["build", *feeds, "--out", f"{root}/joined"], spark)
+    built = spark.read.parquet(f"{root}/joined")
+    assert built.count() == 160
+    july = built.where("issue_created_at = '2025-07-01'").first()
+    assert (july.pr_merged_30d, july.avg_merge_hours_30d, july.star_count_30d) == (4, 3.0, 8)
+
+    verify = ["verify", "--issues", f"{root}/issues", "--joined", f"{root}/joined", "--pr", f"{root}/pr", "--repo", "r1"]
+    jobs.main([*verify, "--out", f"{root}/checks"], spark)
+    assert spark.read.json(f"{root}/checks/row_parity").first().asDict() == {"source_rows": 160, "joined_rows": 160}
+    spots = spark.read.json(f"{root}/checks/spot_check").collect()
+    assert len(spots) == 5 and all(r.joined_value == r.manual_recompute for r in spots)
+
+    jobs.main(["profile", f"pr={root}/pr", f"joined={root}/joined", "--out", f"{root}/profile"], spark)
+    assert spark.read.json(f"{root}/profile").where("dataset = 'joined'").first().n_rows == 160
+
+    jobs.main(["train", "--input", f"{root}/joined", "--out", f"{root}/results", "--signals", "--iterations", "2"], spark)
+    lines = [r.value for r in spark.read.text(f"{root}/results/lr_text_signals_eval").collect()]
+    assert any(line.startswith("Macro-F1: ") for line in lines)
+    assert training.load_model(spark, f"{root}/results/lr_text_signals").spec.signals

@@ -35,17 +35,17 @@ def spot_check(
 ) -> DataFrame:
     """The first ``rows`` records of one entity with the joined sum beside a recomputed one.
 
-    The recompute works from the raw daily rows of that entity, for the reported days only, so
-    its join is at most ``rows`` by the daily rows of a few windows.
+    The recompute works from the raw daily rows of that entity and looks up the days of the
+    reported windows only: at most ``rows`` x ``days`` of them.
     """
     top = joined.where(F.col(entity) == entity_value).orderBy(*order_by).limit(rows)
     top = top.withColumn("_day", day_number(utc_day(at)))
+    active = F.explode(F.sequence(F.col("_day") - days, F.col("_day") - 1)).alias("_active")
+    wanted = top.select("_day").distinct().select("_day", active)
     raw = daily.where(F.col(entity) == entity_value).select(
         day_number(F.col("date")).alias("_active"), F.col(source).alias("_value")
     )
-    wanted = F.broadcast(top.select("_day").distinct())
-    in_window = (F.col("_active") >= F.col("_day") - days) & (F.col("_active") < F.col("_day"))
-    manual = raw.join(wanted, in_window).groupBy("_day").agg(F.sum("_value").alias("_manual"))
+    manual = raw.join(F.broadcast(wanted), "_active").groupBy("_day").agg(F.sum("_value").alias("_manual"))
     return top.join(F.broadcast(manual), "_day", "left").select(
         *order_by,
         F.col(value).alias("joined_value"),

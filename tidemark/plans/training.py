@@ -27,6 +27,9 @@ from tidemark.operators import metrics, weights
 from tidemark.sources import tables
 
 
+DRIVER_GRADIENT_BYTES = 256 * 1024 * 1024
+
+
 @dataclass(frozen=True)
 class LinearSpec:
     """``form`` is softmax (one weighted multinomial fit) or one_vs_rest (a binary fit per label)."""
@@ -36,23 +39,32 @@ class LinearSpec:
     iterations: int = 10
     l2: float = 1e-4
     buckets: int = fixed.HASH_BUCKETS
-    # Depth of the gradient tree. A gradient is labels x buckets doubles (8 MB at 4 x 2^18), so
-    # with thousands of tasks the driver must see merged ones only.
-    aggregation_depth: int = 2
     labels: tuple[str, ...] = tuple(fixed.LABELS)
 
     def __post_init__(self) -> None:
         if self.form not in ("softmax", "one_vs_rest"):
             raise ValueError(f"unknown form: {self.form}")
 
-    def classifier(self) -> Estimator:
+    def aggregation_depth(self, tasks: int) -> int:
+        """Depth of the gradient tree for a fit over ``tasks`` partitions.
+
+        A gradient is labels x buckets doubles, 8 MB at 4 x 2^18. The last level of a tree of
+        depth d has about tasks^(1/d) of them, and these must fit on the driver.
+        """
+        gradient = 8 * self.buckets * (len(self.labels) if self.form == "softmax" else 1)
+        depth = 2
+        while depth < 6 and tasks ** (1 / depth) * gradient > DRIVER_GRADIENT_BYTES:
+            depth += 1
+        return depth
+
+    def classifier(self, tasks: int) -> Estimator:
         base = LogisticRegression(
             featuresCol="features",
             labelCol="label_id",
             maxIter=self.iterations,
             regParam=self.l2,
             standardization=False,
-            aggregationDepth=self.aggregation_depth,
+            aggregationDepth=self.aggregation_depth(tasks),
             family="multinomial" if self.form == "softmax" else "binomial",
         )
         if self.form == "softmax":
@@ -124,7 +136,12 @@ def feature_table(rows: DataFrame, spec: LinearSpec, keep: Sequence[str], path:
 def fit_linear(train: DataFrame, spec: LinearSpec = LinearSpec(), path: str | None = None) -> LinearModel:
     """Fit on raw issue rows; ``path`` is where the feature table goes (a scratch folder if unset)."""
     ready = feature_table(with_training_columns(train, spec.labels), spec, ["label_id", "weight"], path)
-    return LinearModel(spec, spec.classifier().fit(ready))
+    return fit_vectors(ready, spec)
+
+
+def fit_vectors(ready: DataFrame, spec: LinearSpec) -> LinearModel:
+    """Fit on a feature table with label_id and weight."""
+    return LinearModel(spec, spec.classifier(ready.rdd.getNumPartitions()).fit(ready))
 
 
 class MacroF1Evaluator(Evaluator):
@@ -167,7 +184,7 @@ def select_linear(train: DataFrame, val: DataFrame, specs: Sequence[LinearSpec])
     evaluator = MacroF1Evaluator(labels=first.labels)
     found = []
     for i, spec in enumerate(specs):
-        model = LinearModel(spec, spec.classifier().fit(ready))
+        model = fit_vectors(ready, spec)
         score = evaluator.evaluate(model.predict_vectors(check, ["label"]))
         found.append(Candidate(f"candidate_{i}", score, model))
     return sorted(found, key=lambda c: -c.macro_f1)
