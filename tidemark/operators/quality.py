@@ -95,7 +95,8 @@ def window_lags(records: DataFrame, feeds: Sequence[Feed], at: str = "issue_crea
     own = day_number(utc_day(at))
     totals = []
     for name, days in spans:
-        nearest, farthest = own - F.col(f"_last_{name}"), own - F.col(f"_first_{name}")
+        nearest = (own - F.col(f"_last_{name}")).cast("long")
+        farthest = (own - F.col(f"_first_{name}")).cast("long")
         totals += [
             F.count(nearest).alias(f"_active_{name}"),
             F.min(nearest).alias(f"_min_{name}"),

@@ -315,6 +315,7 @@ ORACLES: dict[str, str] = {
         ["issues"],
         "SELECT issue_id, repo_name, author_association, CAST(issue_created_at AS VARCHAR) AS issue_created_at, label FROM issues",
     ),
+    "sample_shards": _with(["issues"], "SELECT issue_id, label FROM issues WHERE issue_id % 8 < 3"),
     "materialize_signals": _with(
         ["issues", *_DAILY], f"SELECT i.issue_id, {_ALL_COLUMNS} FROM {_JOIN_DAY}", _BY_DAY
     ),
@@ -432,7 +433,7 @@ ORACLES: dict[str, str] = {
         f"SELECT doc_id, len(w) AS n_tokens, len(w[1:{fixed.MAX_TOKENS}]) AS n_kept, "
         f"md5(array_to_string(w[1:{fixed.MAX_TOKENS}], ' ')) AS kept_md5 FROM words",
     ),
-    "assembled_features": _with(["issues", *_DAILY], f"SELECT issue_id, {_ASSEMBLED}, CASE WHEN has_terms THEN 1.0 ELSE 0.0 END AS text_length "
+    "assembled_features": _with(["issues", *_DAILY], f"SELECT issue_id, {_ASSEMBLED}, CAST(has_terms AS DOUBLE) AS text_length "
         "FROM joined JOIN worded USING (issue_id)",
         {
             **_JOINED,
@@ -441,4 +442,5 @@ ORACLES: dict[str, str] = {
         },
     ),
     "batch_scoring": _scorer(),
+    "model_roundtrip": _with(["predictions"], "SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS differing FROM predictions"),
 }

@@ -63,11 +63,12 @@ def scan_issues(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sample_shards(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows per shard of the first three of eight shards."""
+    """Rows of the first three of eight shards."""
     path = session.scratch_dir(spark, "shards")
-    tables.export_shards(star.issues(spark, sf).repartition(8, "issue_id"), path)
-    smoke = shards.read_smoke(spark, path, ["issue_id", F.col("_metadata.file_name").alias("shard")])
-    return smoke.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    shard = (F.col("issue_id") % 8).alias("shard")
+    sharded = star.issues(spark, sf).select("*", shard).repartition(8, "shard")
+    tables.export_shards(sharded, path, partition_by=["shard"])
+    return shards.read_smoke(spark, path, ["issue_id", "label"])
 
 
 def materialize_signals(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,7 +103,7 @@ def issue_dates(spark: SparkSession, sf: str) -> DataFrame:
 def issue_text(spark: SparkSession, sf: str) -> DataFrame:
     whole = scalars.issue_text(F.col("title"), F.col("body"))
     return star.issues(spark, sf, body=True).select(
-        "issue_id", F.length(whole).alias("n_chars"), F.md5(whole).alias("text_md5")
+        "issue_id", F.length(whole).cast("long").alias("n_chars"), F.md5(whole).alias("text_md5")
     )
 
 
@@ -316,8 +317,8 @@ def token_cap(spark: SparkSession, sf: str) -> DataFrame:
     kept = text.capped(F.col("words"))
     return words.select(
         "doc_id",
-        F.size("words").alias("n_tokens"),
-        F.size(kept).alias("n_kept"),
+        F.size("words").cast("long").alias("n_tokens"),
+        F.size(kept).cast("long").alias("n_kept"),
         F.md5(F.array_join(kept, " ")).alias("kept_md5"),
     )
 
