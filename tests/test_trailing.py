@@ -92,10 +92,6 @@ def test_unknown_aggregate_is_refused():
         Measure("x", "median", 30, "y")
 
 
-def _daily(spark, sf_dir):
-    return [f(spark, sf_dir) for f in (star.pr_daily, star.push_daily, star.release_daily, star.watch_daily)]
-
-
 def _rows(df):
     rounded = df.select("issue_id", *[F.round(c, 6) if "avg" in c else c for c in df.columns if c[-1] == "d" and c != "issue_id"])
     return sorted(map(tuple, rounded.collect()))
@@ -104,7 +100,7 @@ def _rows(df):
 @pytest.mark.parametrize("dedupe_keys", [True, False])
 def test_layout_does_not_matter(spark, sf_dir, dedupe_keys):
     base = star.issues(spark, sf_dir)
-    feeds = signal_feeds(*_daily(spark, sf_dir))
+    feeds = signal_feeds(*star.daily_tables(spark, sf_dir))
     one = trailing_features(base.repartition(1), feeds, dedupe_keys=dedupe_keys)
     many = trailing_features(base.repartition(13), feeds, dedupe_keys=dedupe_keys)
     assert _rows(one) == _rows(many)
@@ -112,7 +108,7 @@ def test_layout_does_not_matter(spark, sf_dir, dedupe_keys):
 
 def test_build_table_checks_parity(spark, sf_dir, tmp_path):
     stored = feature_table.build_table(
-        star.issues(spark, sf_dir), *_daily(spark, sf_dir), path=str(tmp_path / "t"), max_records=400
+        star.issues(spark, sf_dir), *star.daily_tables(spark, sf_dir), path=str(tmp_path / "t"), max_records=400
     )
     assert stored.count() == star.issues(spark, sf_dir).count()
     assert len(stored.inputFiles()) >= 4  # 1,500 rows in shards of at most 400

@@ -23,9 +23,7 @@ CUTS = {"train_end": star.TRAIN_END, "test_end": star.TEST_END}
 
 
 def _feeds(spark: SparkSession, sf: str) -> list[Feed]:
-    return signal_feeds(
-        star.pr_daily(spark, sf), star.push_daily(spark, sf), star.release_daily(spark, sf), star.watch_daily(spark, sf)
-    )
+    return signal_feeds(*star.daily_tables(spark, sf))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -77,15 +75,8 @@ def materialize_signals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dataset_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.dataset_profile(
-        {
-            "issues": star.issues(spark, sf),
-            "pr_daily": star.pr_daily(spark, sf),
-            "push_daily": star.push_daily(spark, sf),
-            "release_daily": star.release_daily(spark, sf),
-            "watch_daily": star.watch_daily(spark, sf),
-        }
-    )
+    daily = dict(zip(("pr_daily", "push_daily", "release_daily", "watch_daily"), star.daily_tables(spark, sf)))
+    return profile.dataset_profile({"issues": star.issues(spark, sf), **daily})
 
 
 # Scalars

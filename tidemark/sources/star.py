@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.sources.shards import spread
 
@@ -14,8 +15,15 @@ SAMPLE_TARGET = 3_000
 SPOT_REPO = "NATION_7"
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. Its schema is read once: every inference is a job of its own."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def issues(spark: SparkSession, sf_dir: str, body: bool = False) -> DataFrame:
@@ -81,26 +89,36 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pr_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = activity(spark, sf_dir).where(F.col("l_returnflag") == "R")
-    return merged.groupBy("repo_name", "date").agg(
-        F.count(F.lit(1)).alias("pr_merged_count"), F.avg("l_quantity").alias("avg_hours_to_merge")
+def _pr(active: DataFrame) -> DataFrame:
+    return (
+        active.where(F.col("l_returnflag") == "R")
+        .groupBy("repo_name", "date")
+        .agg(F.count(F.lit(1)).alias("pr_merged_count"), F.avg("l_quantity").alias("avg_hours_to_merge"))
     )
 
 
-def push_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pushed = activity(spark, sf_dir).where(F.col("l_linestatus") == "F")
+def _push(active: DataFrame) -> DataFrame:
+    pushed = active.where(F.col("l_linestatus") == "F")
     return pushed.groupBy("repo_name", "date").agg(F.count(F.lit(1)).alias("push_count"))
 
 
-def release_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    released = activity(spark, sf_dir).where(F.col("l_linenumber") == 7)
+def _release(active: DataFrame) -> DataFrame:
+    released = active.where(F.col("l_linenumber") == 7)
     return released.groupBy("repo_name", "date").agg(F.count(F.lit(1)).alias("release_count"))
 
 
-def watch_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starred = activity(spark, sf_dir)
-    return starred.groupBy("repo_name", "date").agg(F.sum("l_quantity").cast("long").alias("star_count"))
+def _watch(active: DataFrame) -> DataFrame:
+    return active.groupBy("repo_name", "date").agg(F.sum("l_quantity").cast("long").alias("star_count"))
+
+
+def daily_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The pr, push, release and watch tables."""
+    active = activity(spark, sf_dir)
+    return [_pr(active), _push(active), _release(active), _watch(active)]
+
+
+def pr_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pr(activity(spark, sf_dir))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
