@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -23,7 +24,14 @@ TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the run-time SQL settings on a session someone else created."""
+    """Set the run-time SQL settings on a session someone else created.
+
+    Python workers find this library where driver and executors see the same folders; elsewhere
+    ship it with ``--py-files``.
+    """
+    environment, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [environment.get("PYTHONPATH")])])
     for key, value in _SQL_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
