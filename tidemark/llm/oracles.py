@@ -1,3 +1,24 @@
 """SQL twins of the queries that SQL can express, in DuckDB's dialect."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op5_line_spread"] = """
+WITH pieces AS (
+  SELECT doc_id, coalesce(source, '') AS site, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
+), all_lines AS (
+  SELECT doc_id, site, unnest(parts) AS part, unnest(range(len(parts))) AS place FROM pieces
+), judged AS (
+  SELECT *, trim(part, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM all_lines
+), common AS (
+  SELECT line, min((doc_id, place)) AS home FROM judged WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10
+), marked AS (
+  SELECT j.*, c.line IS NOT NULL AND (j.doc_id, j.place) <> c.home AS gone FROM judged j LEFT JOIN common c USING (line)
+), kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+    coalesce(string_agg(part, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS body
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(body, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language
+from tidemark.llm import language, lines
 from tidemark.session import prepare
 
 
@@ -30,6 +30,18 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, ["doc_id", "held_out"])
 
 
+def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, less those that ten or more sources share (all but their first place)."""
+    cleaned = lines.without_boilerplate(read(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id",
+        F.col("lines_total").cast("long").alias("n_lines"),
+        F.col("lines_removed").cast("long").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op5_line_spread": op5_line_spread,
 }
