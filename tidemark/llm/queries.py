@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, lines
+from tidemark.llm import jaccard, language, lines
 from tidemark.session import prepare
 
 
@@ -30,6 +30,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, ["doc_id", "held_out"])
 
 
+def op3_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles are 85 % alike."""
+    return jaccard.join_components(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, less those that ten or more sources share (all but their first place)."""
     cleaned = lines.without_boilerplate(read(spark, sf_dir, "documents"))
@@ -43,5 +48,6 @@ def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op3_token_groups": op3_token_groups,
     "op5_line_spread": op5_line_spread,
 }
