@@ -27,7 +27,7 @@ GROUP = 1024
 #: Counters of the sketch of shingle frequencies, a power of two, and in how many rows they are sent.
 COUNTERS, PARTS = 1 << 20, 16
 
-_IDS = "_id long, _n int, _sig binary, _key long, _prefix array<long>"
+_IDS = "_id long, _n int, _least int, _sig binary, _key long, _prefix array<long>"
 _LINKS = "a long, b long"
 
 
@@ -39,9 +39,21 @@ class Rule:
             raise ValueError("percent must be over 0 and at most 100")
         self.percent = percent
 
+    def slack(self, n: int) -> int:
+        """Tokens of a set of ``n`` that a similar set may lack."""
+        return n - -(-self.percent * n // 100)
+
+    def need(self, n: int) -> int:
+        """Tokens that similar sets of at least ``n`` tokens share in their prefixes: one, or a third of the slack."""
+        return max(1, self.slack(n) // 3)
+
     def prefix(self, n: int) -> int:
-        """Two similar sets share one of the first so many tokens of each, in any common order."""
-        return n - -(-self.percent * n // 100) + 1 if n else 0
+        """The first so many tokens, in any common order, hold the first ``need`` tokens shared with a similar set."""
+        return self.slack(n) + self.need(n) if n else 0
+
+    def least(self, n: int) -> int:
+        """Tokens that a set of ``n`` shares with the prefix of any similar set, the smallest possible included."""
+        return self.need(-(-self.percent * n // 100))
 
     def linked(self, common: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
         return 100 * common >= self.percent * (n + m - common)
@@ -96,37 +108,47 @@ def described(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
         levels = sent.value
         for batch in words.pieces(batches, "text", 1 << 22):
             hashed, bounds = words.hashed(batch.column("text"), lower=True)
-            n, sig, key, prefix = [], [], [], []
+            n, least, sig, key, prefix = [], [], [], [], []
             for tokens in words.shingle_sets(hashed, bounds, k):
                 n.append(len(tokens))
+                least.append(rule.least(len(tokens)))
                 sig.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                 key.append(int(tokens[:1].view(np.int64)[0]) if len(tokens) else 0)
                 prefix.append(_prefix(tokens, levels, rule.prefix(len(tokens))).view(np.int64))
             ends = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            columns = [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(key, pa.int64())]
+            columns = [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(least, pa.int32())]
+            columns += [pa.array(sig, pa.binary()), pa.array(key, pa.int64())]
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*columns, lists], ["_id", "_n", "_sig", "_key", "_prefix"])
+            yield pa.RecordBatch.from_arrays([*columns, lists], ["_id", "_n", "_least", "_sig", "_key", "_prefix"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(describe, _IDS)
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``wanted`` (_id, _sig, ...) with each row's whole set as bytes. A repeated id is told apart by the signature."""
+    """``wanted`` (_id, _sig, ...) with each row's whole set as bytes. A repeated id is told apart by the signature.
+
+    Rows that repeat an id and text come out once for each task they meet in; the steps after allow for that.
+    """
     names = [c for c in wanted.columns if c not in ("_id", "_sig")]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name in names)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(wanted, "_id")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, bytes]] = set()
         for batch in words.pieces(batches, "text", 1 << 22):
             hashed, bounds = words.hashed(batch.column("text"), lower=True)
-            sets = [tokens.tobytes() for tokens in words.shingle_sets(hashed, bounds, k)]
-            own = [hashlib.blake2b(s, digest_size=16).digest() == sig for s, sig in zip(sets, batch.column("_sig").to_pylist(), strict=True)]
+            keys = list(zip(batch.column("_id").to_pylist(), batch.column("_sig").to_pylist(), strict=True))
+            sets, own = [], []
+            for key, tokens in zip(keys, words.shingle_sets(hashed, bounds, k), strict=True):
+                sets.append(tokens.tobytes())
+                own.append(key not in done and hashlib.blake2b(sets[-1], digest_size=16).digest() == key[1])
+                if own[-1]:
+                    done.add(key)
             columns = [batch.column(c) for c in ("_id", *names)] + [pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["_id", *names, "_set"]).filter(pa.array(own, pa.bool_()))
 
-    sets = rows.select("_id", "_sig", *names, "text").mapInArrow(gather, f"_id long, {kinds}, _set binary")
-    return sets.dropDuplicates(["_id", "_g"])
+    return rows.select("_id", "_sig", *names, "text").mapInArrow(gather, f"_id long, {kinds}, _set binary")
 
 
 class Forest:
@@ -230,46 +252,57 @@ def _inside(sets: DataFrame, rule: Rule) -> DataFrame:
     return rows.groupBy("_g").applyInArrow(_links_inside(rule), _LINKS)
 
 
-def _links(docs: DataFrame, unique: DataFrame, k: int, rule: Rule, group: int) -> DataFrame:
-    """Links (a, b) between sets, enough to join every component; ``unique`` has a row for each different set."""
-    grouped = _chunked(unique.where("_n > 0"), group)
-    tokens = grouped.select("_id", F.explode("_prefix").alias("_t"))
+def _candidates(unique: DataFrame) -> DataFrame:
+    """(_id, _tokens): the sets that may have a partner, and the tokens of their prefix that other sets' have too.
+
+    Tokens are dealt out once; the count of their sets and the way back use the same exchange.
+    """
+    tokens = unique.where("_n > 0").select("_id", "_least", F.explode("_prefix").alias("_t")).repartition("_t")
     shared = tokens.groupBy("_t").agg(F.min("_id").alias("_l"), F.max("_id").alias("_h")).where("_l <> _h").select("_t")
     postings = tokens.join(shared, "_t", "left_semi")
-    # A set without a token of its prefix in another set's has no partner.
-    per_set = settled(postings.groupBy("_id").agg(F.collect_list("_t").alias("_tokens")), "postings")
-    sets = settled(_with_sets(docs, per_set.join(grouped.drop("_prefix"), "_id"), k), "sets")
+    per_set = postings.groupBy("_id", "_least").agg(F.collect_list("_t").alias("_tokens"))
+    return per_set.where(F.size("_tokens") >= F.col("_least"))
+
+
+def _links(docs: DataFrame, unique: DataFrame, k: int, rule: Rule, group: int) -> DataFrame:
+    """Links (a, b) between sets, enough to join every component; ``unique`` has a row for each different set."""
+    near = _candidates(unique).join(unique.select("_id", "_n", "_sig", "_key"), "_id")
+    near = settled(_chunked(near, group), "candidates")
+    sets = settled(_with_sets(docs, near.select("_id", "_sig", "_key", "_g"), k), "sets")
 
     found = settled(_inside(sets, rule), "links")
-    round_ = sets.select("_id", "_key", "_g", "_set")
+    round_ = sets
     while True:  # the first members of a split group's components are grouped anew, until one group is left
         split = round_.groupBy("_key").agg(F.min("_g").alias("_l"), F.max("_g").alias("_h")).where("_l <> _h")
-        firsts = round_.join(split.select("_key"), "_key").join(found.where("a <> b").select(F.col("a").alias("_id")), "_id", "left_anti")
+        firsts = round_.join(split.select("_key"), "_key")
+        firsts = firsts.join(found.where("a <> b").select(F.col("a").alias("_id")), "_id", "left_anti")
         again = settled(_chunked(firsts.select("_id", "_key", "_set"), group), "firsts")
         if again.isEmpty() or again.count() >= round_.count():
             break
         found = settled(found.union(_inside(again, rule)), "links")
         round_ = again
-    known = components(found)
-    state = sets.join(known.select(F.col("id").alias("_id"), "component"), "_id", "left")
-    state = settled(state.withColumn("_c", F.coalesce("component", "_id")).drop("component"), "grouped")
+    known = components(found).select(F.col("id").alias("_id"), "component")
+    state = near.join(known, "_id", "left").withColumn("_c", F.coalesce("component", "_id"))
+    state = settled(state.select("_id", "_n", "_least", "_g", "_c", "_tokens"), "grouped")
 
-    rows = state.select("_id", "_n", "_g", "_c", F.explode("_tokens").alias("_t"))
+    rows = state.select("_id", "_n", "_least", "_g", "_c", F.explode("_tokens").alias("_t"))
     mixed = rows.groupBy("_t").agg(F.min("_c").alias("_l"), F.max("_c").alias("_h")).where("_l <> _h").select("_t")
-    rows = rows.join(mixed, "_t")
+    rows = rows.join(mixed, "_t", "left_semi")
     matrix = rows.groupBy("_t", "_g").agg(
         F.min("_n").alias("_low"), F.max("_n").alias("_high"), F.min("_c").alias("_cl"), F.max("_c").alias("_ch")
     )
     matrix = matrix.withColumnRenamed("_g", "_to")
     new = (F.col("_g") > F.col("_to")) & ~((F.col("_cl") == F.col("_c")) & (F.col("_ch") == F.col("_c")))
     pairs = rows.join(matrix, "_t").where(new & rule.sizes(F.col("_n"), F.col("_low"), F.col("_high")))
-    pairs = settled(pairs.select("_id", "_to").distinct(), "pairs")
+    pairs = pairs.groupBy("_id", "_to", "_c", "_least").agg(F.count(F.lit(1)).alias("_common"))
+    pairs = settled(pairs.where("_common >= _least").select("_id", "_to", "_c"), "pairs")
 
     chunks = pairs.groupBy("_to").agg(F.ceil(F.count(F.lit(1)) / (2 * group)).alias("_k"))
-    queries = pairs.join(state.select("_id", "_c", "_set"), "_id").join(chunks, "_to")
+    queries = pairs.join(sets.select("_id", "_set"), "_id").join(chunks, "_to")
     slice_ = F.pmod(F.xxhash64("_id"), F.col("_k"))
     queries = queries.select("_to", slice_.alias("_slice"), *(F.col(c).alias(f"_q{c}") for c in ("_id", "_c", "_set")))
-    members = state.select("_g", "_id", "_c", "_set").join(chunks.withColumnRenamed("_to", "_g"), "_g")
+    members = sets.select("_g", "_id", "_set").join(chunks.withColumnRenamed("_to", "_g"), "_g")
+    members = members.join(state.select("_id", "_c"), "_id")
     members = members.select("_g", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_part"), "_id", "_c", "_set")
     opened = members.groupBy("_g", "_part").cogroup(queries.groupBy("_to", "_slice")).applyInArrow(_links_between(rule), _LINKS)
     return settled(found.union(opened), "links")
@@ -288,7 +321,7 @@ def join_components(docs: DataFrame, k: int = 5, percent: int = 80, group: int =
     all_rows = settled(described(docs, k, rule), "described")
     real = all_rows.where("_n > 0 and _id is not null")
     unique = real.groupBy("_sig").agg(
-        F.min("_id").alias("_id"), F.first("_n").alias("_n"), F.first("_key").alias("_key"), F.first("_prefix").alias("_prefix")
+        F.min("_id").alias("_id"), *(F.first(c).alias(c) for c in ("_n", "_least", "_key", "_prefix"))
     )
     unique = settled(unique, "unique")
     linked = components(_links(docs, unique, k, rule, group))

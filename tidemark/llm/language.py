@@ -19,8 +19,8 @@ from tidemark.llm import words
 
 #: Longest context, in bytes. A context and its byte must fit in eight.
 ORDER = 5
-#: Bounds of the training sample: texts per language, and bytes of text over all languages.
-SAMPLE_ROWS = 2_000
+#: Bounds of the training sample over all languages: texts, and bytes of text.
+SAMPLE_ROWS = 8_000
 SAMPLE_BYTES = 4_000_000
 #: The prediction for texts without a letter.
 UNDETERMINED = "und"
@@ -31,28 +31,31 @@ _KEYS = "lang string, depth int, gram long, n long"
 
 
 def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, total_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """(lang, text): per language whole texts in the order of a hash of the text, up to ``rows`` of them and an equal
-    share of ``total_bytes``; a text that would pass the share ends the language's sample.
+    """(lang, text): per language whole texts in the order of a hash of the text. Each language has an equal share of
+    ``rows`` and ``total_bytes``; a text that would pass the share ends the language's sample.
 
     Rows with a null text or language are left out, equal texts of a language count once. Only hashes and lengths
-    are ranked, thinned by a hash first, so that no window sees many more rows than it keeps.
+    are ranked, thinned by a hash first, so that no window sees many more rows than it keeps. Two tables are
+    broadcast: a row for each language, and the at most ``rows`` keys kept; texts aren't shuffled.
     """
     known = labelled.where("text is not null and lang is not null and text <> ''").select("text", "lang")
     known = known.withColumns({"_h": F.xxhash64("text"), "_b": F.octet_length("text")})
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    languages = counts.count()
-    if not languages:
-        return known.select("lang", "text")
-    rates = counts.select(F.col("lang"), F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("_n")).alias("_rate"))
-    thinned = known.join(rates, "lang").where((F.pmod("_h", F.lit(1 << 30)) / (1 << 30)) < F.col("_rate"))
-    keys = thinned.select("lang", "_h", "_b").distinct()
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n"))
+    languages = max(1, counts.count())
+    share = max(1, rows // languages)
+    rates = counts.select("lang", F.least(F.lit(1.0), F.lit(2.0 * share) / F.col("_n")).alias("_rate"))
+    thinned = known.select("lang", "_h", "_b").join(F.broadcast(rates), "lang")
+    thinned = thinned.where((F.pmod("_h", F.lit(1 << 30)) / (1 << 30)) < F.col("_rate"))
     order = Window.partitionBy("lang").orderBy("_h", "_b")
     kept = (
-        keys.withColumns({"_rank": F.row_number().over(order), "_sum": F.sum("_b").over(order)})
-        .where((F.col("_rank") <= rows) & (F.col("_sum") <= total_bytes // languages))
+        thinned.select("lang", "_h", "_b")
+        .distinct()
+        .withColumns({"_rank": F.row_number().over(order), "_sum": F.sum("_b").over(order)})
+        .where((F.col("_rank") <= share) & (F.col("_sum") <= total_bytes // languages))
         .select("lang", "_h", "_b")
     )
-    return thinned.join(kept, ["lang", "_h", "_b"]).dropDuplicates(["lang", "_h", "_b"]).select("lang", "text")
+    texts = known.join(F.broadcast(kept), ["lang", "_h", "_b"])
+    return texts.dropDuplicates(["lang", "_h", "_b"]).select("lang", "text")
 
 
 def _grams(data: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:

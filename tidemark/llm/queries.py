@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, language, lines
+from tidemark.llm import jaccard, language, lines, mixing, packing
+from tidemark.llm.files import settled
 from tidemark.session import prepare
 
 
@@ -46,8 +47,26 @@ def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the balanced mix takes of every document."""
+    docs = read(spark, sf_dir, "documents")
+    # Without a text the row's own columns tell documents apart.
+    docs = docs.select("doc_id", "source", F.xxhash64("doc_id", "text", "source").alias("key"), mixing.word_count().alias("size"))
+    docs = settled(docs, "sizes")
+    plan = mixing.copies(docs, "key", "size").drop("source").withColumnsRenamed({"size": "_size"}).dropDuplicates(["key"])
+    taken = F.col("size") * F.col("copies")
+    return docs.join(plan, "key").select("doc_id", "source", "size", "source_size", "target", "rate", "copies", taken.alias("taken"))
+
+
+def op10_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document's pieces in sequences of 4,096 tokens."""
+    return packing.packed(packing.cut(read(spark, sf_dir, "documents"), end=1))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op3_token_groups": op3_token_groups,
     "op5_line_spread": op5_line_spread,
+    "op7_entropy_mix": op7_entropy_mix,
+    "op10_patterns": op10_patterns,
 }
