@@ -45,3 +45,23 @@ WITH RECURSIVE w AS (
 SELECT n.doc_id, n.n AS n_shingles, r.c AS component_id FROM n
 JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = n.doc_id
 """
+
+ORACLES["op4_window_repeats"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 33)) AS p,
+    unnest(list_transform(range(1, len(ws) - 33), lambda i: md5(array_to_string(ws[i:i + 34], ' ')))) AS h
+  FROM w WHERE len(ws) >= 35
+), often AS (
+  SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM windows SEMI JOIN often USING (h)
+), removed AS (
+  SELECT doc_id, list(i) AS places, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN ws
+    ELSE list_filter(ws, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN removed r ON r.doc_id = w.doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, language, lines, mixing, packing
+from tidemark.llm import fingerprints, idfile, jaccard, language, lines, mixing, packing, substrings
 from tidemark.llm.files import settled
 from tidemark.session import prepare
 
@@ -31,11 +31,22 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, ["doc_id", "held_out"])
 
 
+def op2_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to token-id files and read back."""
+    return idfile.read(idfile.write(read(spark, sf_dir, "documents"), end=2))
+
+
 def op3_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles are 85 % alike."""
     return jaccard.join_components(read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op4_window_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of 35 words repeat, and what is left."""
+    cut = substrings.without_repeats(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, less those that ten or more sources share (all but their first place)."""
     cleaned = lines.without_boilerplate(read(spark, sf_dir, "documents"))
@@ -58,6 +69,11 @@ def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(plan, "key").select("doc_id", "source", "size", "source_size", "target", "rate", "copies", taken.alias("taken"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how alike they are."""
+    return fingerprints.compared(read(spark, sf_dir, "documents"))
+
+
 def op10_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document's pieces in sequences of 4,096 tokens."""
     return packing.packed(packing.cut(read(spark, sf_dir, "documents"), end=1))
@@ -65,8 +81,11 @@ def op10_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_id_blocks": op2_id_blocks,
     "op3_token_groups": op3_token_groups,
+    "op4_window_repeats": op4_window_repeats,
     "op5_line_spread": op5_line_spread,
     "op7_entropy_mix": op7_entropy_mix,
+    "op8_minhash": op8_minhash,
     "op10_patterns": op10_patterns,
 }
