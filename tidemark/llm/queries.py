@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, idfile, jaccard, language, lines, mixing, packing, substrings
+from tidemark.llm import fingerprints, idfile, jaccard, kneser, language, lines, mixing, neighbours, packing, substrings
 from tidemark.llm.files import settled
 from tidemark.session import prepare
 
@@ -58,6 +58,12 @@ def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a model of the documents that are not held out."""
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", remainder(7) == 2)
+    return kneser.scored(docs, kneser.fit(docs.where("not held_out")), ["doc_id", "held_out"])
+
+
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the balanced mix takes of every document."""
     docs = read(spark, sf_dir, "documents")
@@ -74,6 +80,11 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(read(spark, sf_dir, "documents"))
 
 
+def op9_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth one."""
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document's pieces in sequences of 4,096 tokens."""
     return packing.packed(packing.cut(read(spark, sf_dir, "documents"), end=1))
@@ -85,7 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_groups": op3_token_groups,
     "op4_window_repeats": op4_window_repeats,
     "op5_line_spread": op5_line_spread,
+    "op6_kneser_ney": op6_kneser_ney,
     "op7_entropy_mix": op7_entropy_mix,
     "op8_minhash": op8_minhash,
+    "op9_multiprobe": op9_multiprobe,
     "op10_patterns": op10_patterns,
 }
