@@ -21,6 +21,12 @@ def settled(df: DataFrame, purpose: str, partition_by: str | None = None) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under column names of our own (``c0``, ``c1``, ...), so that no name clashes, and those names."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new shared folder's name, for files that tasks write themselves."""
     return scratch_dir(spark, purpose)

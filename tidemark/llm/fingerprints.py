@@ -180,9 +180,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 80, group:
     hits = unique.select("_id", "_sig", F.explode("_bands").alias("_key"))
     shared = hits.groupBy("_key").agg(F.min("_id").alias("_l"), F.max("_id").alias("_h")).where("_l <> _h").select("_key")
     hits = jaccard._chunked(hits.join(shared, "_key", "left_semi"), group)
-    wanted = hits.groupBy("_id", "_sig").agg(F.collect_list("_g").alias("_gs"))
-    sets = jaccard._with_sets(rows, wanted, k).select("_id", "_set", F.explode("_gs").alias("_g"))
-    linked = components(settled(jaccard._inside(sets, rule), "links"))
+    hits = settled(hits.select("_id", "_sig", "_g"), "hits")
+    sets = settled(jaccard._with_sets(rows, hits.select("_id", "_sig").distinct(), k), "sets")
+    linked = components(settled(jaccard._inside(sets, hits, rule), "links"))
     of = unique.select("_sig", F.col("_id").alias("id")).join(linked, "id", "left")
     of = of.select("_sig", F.coalesce("component", "id").alias("component"))
     out = marked.select("_id", F.when(F.col("_id").isNotNull(), F.col("_sig")).alias("_sig")).join(of, "_sig", "left")

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,12 +127,10 @@ def described(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``wanted`` (_id, _sig, ...) with each row's whole set as bytes. A repeated id is told apart by the signature.
+    """(_id, _set): the whole sets, as bytes, of the rows in ``wanted`` (_id, _sig). A repeated id is told apart by the signature.
 
     Rows that repeat an id and text come out once for each task they meet in; the steps after allow for that.
     """
-    names = [c for c in wanted.columns if c not in ("_id", "_sig")]
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name in names)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(wanted, "_id")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +144,10 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 own.append(key not in done and hashlib.blake2b(sets[-1], digest_size=16).digest() == key[1])
                 if own[-1]:
                     done.add(key)
-            columns = [batch.column(c) for c in ("_id", *names)] + [pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["_id", *names, "_set"]).filter(pa.array(own, pa.bool_()))
+            columns = [batch.column("_id"), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_set"]).filter(pa.array(own, pa.bool_()))
 
-    return rows.select("_id", "_sig", *names, "text").mapInArrow(gather, f"_id long, {kinds}, _set binary")
+    return rows.select("_id", "_sig", "text").mapInArrow(gather, "_id long, _set binary")
 
 
 class Forest:
@@ -209,13 +208,14 @@ def _links_inside(rule: Rule):
 
 
 def _links_between(rule: Rule):
-    def link(key: tuple, members: pa.Table, queries: pa.Table) -> pa.Table:
+    def link(table: pa.Table) -> pa.Table:
+        members, queries = table.filter(pc.invert(table.column("_asks"))), table.filter(table.column("_asks"))
         a, b = [], []
         if members.num_rows and queries.num_rows:
             ids, of = members.column("_id").to_numpy(), members.column("_c").to_numpy()
             union, place, bounds, sizes = _members(members.column("_set").to_pylist())
             marked = np.zeros(len(union), dtype=np.uint8)
-            columns = (queries.column(c).to_pylist() for c in ("_q_id", "_q_c", "_q_set"))
+            columns = (queries.column(c).to_pylist() for c in ("_id", "_c", "_set"))
             for query, component, tokens in zip(*columns, strict=True):
                 tokens = np.frombuffer(tokens, dtype=np.uint64)
                 at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
@@ -239,16 +239,18 @@ def _links_between(rule: Rule):
 
 
 def _chunked(rows: DataFrame, group: int) -> DataFrame:
-    """Rows with their group ``_g``: the key, in as many chunks as its rows need."""
+    """Rows with their group ``_g`` (the key, in as many chunks as its rows need) and whether it was ``_split``."""
     counts = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > group)
     chunk = F.coalesce(F.pmod(F.xxhash64("_id"), F.ceil(F.col("_rows") / group)), F.lit(0))
-    return rows.join(counts, "_key", "left").withColumn("_g", F.xxhash64("_key", chunk)).drop("_rows")
+    grouped = rows.join(counts, "_key", "left").withColumn("_split", F.col("_rows").isNotNull())
+    return grouped.withColumn("_g", F.xxhash64("_key", chunk)).drop("_rows")
 
 
-def _inside(sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links and (member, first of its component) of the groups with more than one member."""
-    several = sets.groupBy("_g").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_g")
-    rows = sets.select("_g", "_id", "_set").join(several, "_g")
+def _inside(sets: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
+    """Links, and (member, first of its component), of the groups of ``wanted`` (_id, _g) with more than one member."""
+    several = wanted.groupBy("_g").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_g")
+    wanted = settled(wanted.select("_id", "_g").join(several, "_g"), "inside")
+    rows = sets.select("_id", "_set").join(wanted, "_id")
     return rows.groupBy("_g").applyInArrow(_links_inside(rule), _LINKS)
 
 
@@ -257,29 +259,32 @@ def _candidates(unique: DataFrame) -> DataFrame:
 
     Tokens are dealt out once; the count of their sets and the way back use the same exchange.
     """
-    tokens = unique.where("_n > 0").select("_id", "_least", F.explode("_prefix").alias("_t")).repartition("_t")
+    tokens = unique.where("_n > 0").select("_id", F.explode("_prefix").alias("_t")).repartition("_t")
     shared = tokens.groupBy("_t").agg(F.min("_id").alias("_l"), F.max("_id").alias("_h")).where("_l <> _h").select("_t")
     postings = tokens.join(shared, "_t", "left_semi")
-    per_set = postings.groupBy("_id", "_least").agg(F.collect_list("_t").alias("_tokens"))
-    return per_set.where(F.size("_tokens") >= F.col("_least"))
+    per_set = postings.groupBy("_id").agg(F.collect_list("_t").alias("_tokens"))
+    rows = per_set.join(unique.select("_id", "_n", "_least", "_sig", "_key"), "_id")
+    return rows.where(F.size("_tokens") >= F.col("_least"))
 
 
 def _links(docs: DataFrame, unique: DataFrame, k: int, rule: Rule, group: int) -> DataFrame:
-    """Links (a, b) between sets, enough to join every component; ``unique`` has a row for each different set."""
-    near = _candidates(unique).join(unique.select("_id", "_n", "_sig", "_key"), "_id")
-    near = settled(_chunked(near, group), "candidates")
-    sets = settled(_with_sets(docs, near.select("_id", "_sig", "_key", "_g"), k), "sets")
+    """Links (a, b) between sets, enough to join every component; ``unique`` has a row for each different set.
+
+    Whole sets are made once, for the candidates only. What each step wants of them is worked out on ids and written
+    first, so that the sets themselves move no more than once for each step.
+    """
+    near = settled(_chunked(_candidates(unique), group), "candidates")
+    sets = settled(_with_sets(docs, near.select("_id", "_sig"), k), "sets")
 
-    found = settled(_inside(sets, rule), "links")
-    round_ = sets
+    found = settled(_inside(sets, near, rule), "links")
+    round_ = near
     while True:  # the first members of a split group's components are grouped anew, until one group is left
-        split = round_.groupBy("_key").agg(F.min("_g").alias("_l"), F.max("_g").alias("_h")).where("_l <> _h")
-        firsts = round_.join(split.select("_key"), "_key")
-        firsts = firsts.join(found.where("a <> b").select(F.col("a").alias("_id")), "_id", "left_anti")
-        again = settled(_chunked(firsts.select("_id", "_key", "_set"), group), "firsts")
+        later = found.where("a <> b").select(F.col("a").alias("_id"))
+        firsts = round_.where("_split").select("_id", "_key").join(later, "_id", "left_anti")
+        again = settled(_chunked(firsts, group), "firsts")
         if again.isEmpty() or again.count() >= round_.count():
             break
-        found = settled(found.union(_inside(again, rule)), "links")
+        found = settled(found.union(_inside(sets, again, rule)), "links")
         round_ = again
     known = components(found).select(F.col("id").alias("_id"), "component")
     state = near.join(known, "_id", "left").withColumn("_c", F.coalesce("component", "_id"))
@@ -297,14 +302,15 @@ def _links(docs: DataFrame, unique: DataFrame, k: int, rule: Rule, group: int) -
     pairs = pairs.groupBy("_id", "_to", "_c", "_least").agg(F.count(F.lit(1)).alias("_common"))
     pairs = settled(pairs.where("_common >= _least").select("_id", "_to", "_c"), "pairs")
 
-    chunks = pairs.groupBy("_to").agg(F.ceil(F.count(F.lit(1)) / (2 * group)).alias("_k"))
-    queries = pairs.join(sets.select("_id", "_set"), "_id").join(chunks, "_to")
-    slice_ = F.pmod(F.xxhash64("_id"), F.col("_k"))
-    queries = queries.select("_to", slice_.alias("_slice"), *(F.col(c).alias(f"_q{c}") for c in ("_id", "_c", "_set")))
-    members = sets.select("_g", "_id", "_set").join(chunks.withColumnRenamed("_to", "_g"), "_g")
-    members = members.join(state.select("_id", "_c"), "_id")
-    members = members.select("_g", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_part"), "_id", "_c", "_set")
-    opened = members.groupBy("_g", "_part").cogroup(queries.groupBy("_to", "_slice")).applyInArrow(_links_between(rule), _LINKS)
+    # Every set goes to the groups it queries, and to its own if that is queried, in slices of the queries.
+    chunks = pairs.groupBy(F.col("_to").alias("_g")).agg(F.ceil(F.count(F.lit(1)) / (2 * group)).alias("_k"))
+    asks = pairs.withColumnRenamed("_to", "_g").join(chunks, "_g")
+    asks = asks.select("_id", "_c", "_g", F.pmod(F.xxhash64("_id"), F.col("_k")).alias("_part"), F.lit(True).alias("_asks"))
+    owns = state.select("_id", "_c", "_g").join(chunks, "_g")
+    owns = owns.select("_id", "_c", "_g", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_part"), F.lit(False).alias("_asks"))
+    roles = asks.union(owns).groupBy("_id", "_c").agg(F.collect_list(F.struct("_g", "_part", "_asks")).alias("_roles"))
+    sent = sets.join(settled(roles, "roles"), "_id").select("_id", "_c", "_set", F.inline("_roles"))
+    opened = sent.groupBy("_g", "_part").applyInArrow(_links_between(rule), _LINKS)
     return settled(found.union(opened), "links")
 
 

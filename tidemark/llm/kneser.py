@@ -260,16 +260,17 @@ def fit(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns of every row, n_tokens, n_known, train_tokens, base_score and score of the whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    inner = [f"k{i}" for i in range(len(keep))]  # names that can't clash
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner, strict=True)), F.col("text").alias("_text"))
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*inner).schema]
     schema = ", ".join([*kinds, "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.pieces(batches, "_text", 1 << 22):
             found = sent.value.score(batch.column("_text"))
             found["train_tokens"] = np.full(batch.num_rows, sent.value.tokens, dtype=np.int64)
-            columns = [batch.column(c) for c in keep] + [pa.array(found[n]) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
+            columns = [batch.column(c) for c in inner] + [pa.array(found[n]) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, [*inner, *names])
 
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(score, schema).toDF(*keep, *names)

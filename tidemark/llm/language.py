@@ -203,9 +203,11 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*keep, F.when(lettered, F.col("text")).alias("_text"), lettered.alias("_lettered"))
-    kept = rows.select(*keep).schema
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
+    # Inside, kept columns have names of their own, so that none can clash.
+    inner = [f"k{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner, strict=True)), F.when(lettered, F.col("text")).alias("_text"), lettered.alias("_lettered"))
+    kept = rows.select(*inner).schema
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -219,7 +221,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 score = np.where(told, 1.0 / odds, 0.0)
             else:
                 names, score = np.full(batch.num_rows, UNDETERMINED, dtype=object), np.zeros(batch.num_rows)
-            own = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+            own = [batch.column(c) for c in inner]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(score)], [*inner, "lang_pred", "score"])
 
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(score, schema).toDF(*keep, "lang_pred", "score")

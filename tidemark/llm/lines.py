@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.files import shielded
+
 #: A line on at least so many distinct sites is boilerplate.
 MIN_SITES = 10
 #: Sketches have 2^LOG_BUCKETS buckets; three standard errors of their estimate are SKETCH_ERROR of it.
@@ -63,12 +65,16 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
         place = F.struct("_id", "_no")
         hits = hits.where(~place.eqNullSafe(F.col("_first")))
     gone = hits.groupBy("_id", "_of").agg(F.collect_set("_no").alias("_gone"))
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains("_gone", p["i"]))
-    removed = F.coalesce(F.size("_gone"), F.lit(0))
-    text = F.when(removed > 0, F.array_join(F.transform(kept, lambda p: p["x"]), "\n")).otherwise(F.col("text"))
-    others = [text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({"_lid": F.col("doc_id"), "_lof": F.xxhash64("text")}).alias("d")
+    rows, names = shielded(docs)
+    text = F.col(names["text"])
+    rows = rows.withColumns({"_lid": F.col(names["doc_id"]), "_lof": F.xxhash64(text)})
     same = F.col("_lid").eqNullSafe(F.col("_id")) & (F.col("_lof") == F.col("_of"))
-    total = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    return keyed.join(gone, same, "left").select(*others, total.alias("lines_total"), removed.alias("lines_removed"))
+    rows = rows.join(gone, same, "left")
+    lines = F.split(text, "\n", -1)
+    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    kept = F.transform(F.filter(numbered, lambda p: ~F.array_contains("_gone", p["i"])), lambda p: p["x"])
+    removed = F.coalesce(F.size("_gone"), F.lit(0))
+    changed = {"text": F.when(removed > 0, F.array_join(kept, "\n")).otherwise(text)}
+    total = F.when(text.isNull(), 0).otherwise(F.size(lines))
+    columns = [changed.get(c, F.col(n)) for c, n in names.items()]
+    return rows.select(*columns, total, removed).toDF(*docs.columns, "lines_total", "lines_removed")

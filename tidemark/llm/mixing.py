@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.files import settled
+from tidemark.llm.files import settled, shielded
 
 #: Source weights in code point order of the names, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -112,9 +112,9 @@ def copies(docs: DataFrame, key: str, size: str, weights: tuple[float, ...] = WE
     drawn by key, in an order that depends on the rows alone, so that reruns agree and a large source is many tasks.
     """
     prior = F.lit(1.0) if prior is None else prior.cast("double")
-    rows = docs.select("source", F.col(key).alias("_key"), F.col(size).cast("long").alias("_size"), prior.alias("_prior"))
-    rows = settled(rows.groupBy("source", "_key", "_size", "_prior").agg(F.count(F.lit(1)).alias("_times")), "sizes")
-    mass = F.col("_size") * F.col("_times")
+    rows = docs.select("source", F.col(key).alias("_doc"), F.col(size).cast("long").alias("_words"), prior.alias("_prior"))
+    rows = settled(rows.groupBy("source", "_doc", "_words", "_prior").agg(F.count(F.lit(1)).alias("_times")), "sizes")
+    mass = F.col("_words") * F.col("_times")
     masses = rows.groupBy("source", F.col("_prior").alias("prior")).agg(F.sum(mass).alias("mass"))
     sources = rows.groupBy("source").agg(F.sum(mass).alias("source_size"), F.ceil(F.count(F.lit(1)) / PART).alias("_parts"))
     goals = settled(targets(sources.drop("_parts"), weights, cap=cap), "targets")
@@ -125,20 +125,20 @@ def copies(docs: DataFrame, key: str, size: str, weights: tuple[float, ...] = WE
     known = known.join(solved, F.col("_s").eqNullSafe(F.col("source"))).select("_s", "source_size", "_parts", "target", "_lam")
     known = settled(known, "solved")
     rate = F.least(F.lit(float(cap)), F.col("_prior") * F.exp("_lam"))
-    part = F.pmod(F.xxhash64("_key", "_size"), F.col("_parts"))
+    part = F.pmod(F.xxhash64("_doc", "_words"), F.col("_parts"))
     table = rows.join(known, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "source", "_key", "_size", "_times", "source_size", "target", rate.alias("rate"), part.alias("_part")
+        "source", "_doc", "_words", "_times", "source_size", "target", rate.alias("rate"), part.alias("_part")
     )
     schema = table.drop("_part", "_times").schema
 
     def whole(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("_size", "descending"), ("_key", "ascending")])
-        n = rounded(*(group.column(c).to_numpy() for c in ("_size", "rate", "_times")), cap)
+        group = group.sort_by([("_words", "descending"), ("_doc", "ascending")])
+        n = rounded(*(group.column(c).to_numpy() for c in ("_words", "rate", "_times")), cap)
         return group.drop_columns(["_part", "_times"]).append_column("copies", pa.array(n))
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     out = table.groupBy("source", "_part").applyInArrow(whole, f"{names}, copies long")
-    return out.withColumnsRenamed({"_key": key, "_size": size})
+    return out.withColumnsRenamed({"_doc": key, "_words": size})
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -147,8 +147,10 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP)
     Sizes are words; texts that are null or without words count nothing and get the copies nearest to their source's
     rate. An empty table gives an empty one, as does one without any word.
     """
-    keyed = docs.withColumns({"_mix_key": F.xxhash64("doc_id", "text", "source"), "_mix_size": word_count()})
-    plan = copies(keyed.select("source", "_mix_key", "_mix_size"), "_mix_key", "_mix_size", weights, cap)
-    plan = plan.where("copies > 0").select("_mix_key", F.col("copies").alias("_mix_copies")).dropDuplicates(["_mix_key"])
-    repeated = keyed.join(plan, "_mix_key").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies")))
-    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, names = shielded(docs)
+    doc_id, text, source = (F.col(names[c]) for c in ("doc_id", "text", "source"))
+    keyed = rows.withColumns({"_key": F.xxhash64(doc_id, text, source), "_size": word_count(names["text"])})
+    plan = copies(keyed.select(source.alias("source"), "_key", "_size"), "_key", "_size", weights, cap)
+    plan = plan.where("copies > 0").select("_key", "copies").dropDuplicates(["_key"])
+    repeated = keyed.join(plan, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*names.values()).toDF(*docs.columns)

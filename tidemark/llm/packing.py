@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens, words
-from tidemark.llm.files import settled
+from tidemark.llm.files import settled, shielded
 
 SEQUENCE = 4096
 #: Length bins of the patterns, and documents in a pattern at most.
@@ -185,21 +185,22 @@ def packed(pieces: DataFrame, sequence: int = SEQUENCE, part: int = PART) -> Dat
     table, so that equal pieces spread; each part packs alone and leaves about one sequence unfilled. An empty table
     gives an empty one. Extra columns stay; ``sequence_id`` and ``offset`` are replaced if they exist.
     """
-    pieces = settled(pieces.drop("sequence_id", "offset"), "pieces")
-    bin_ = F.floor((F.col("length") - 1) * BINS / sequence).alias("b")
-    counts = {r.b: r.n for r in pieces.groupBy(bin_).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows, inner = shielded(settled(pieces.drop("sequence_id", "offset"), "pieces"))
+    length = F.col(inner["length"])
+    counts = {r.b: r.n for r in rows.groupBy(F.floor((length - 1) * BINS / sequence).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     shapes, repeats = fitted(np.array([counts.get(b, 0) for b in range(BINS)], dtype=float))
     parts = max(1, -(-total // part))
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
+    names = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema]
 
     def pack_part(table: pa.Table) -> pa.Table:
-        rows = table.drop_columns(["_part"])
         share = np.floor(repeats * table.num_rows / max(1, total)).astype(np.int64)
-        place, offset = pack(table.column("length").to_numpy(), shapes, share, sequence)
+        place, offset = pack(table.column(inner["length"]).to_numpy(), shapes, share, sequence)
         number = table.column("_part")[0].as_py() * (1 << 32) + place
-        return rows.append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
+        table = table.drop_columns(["_part"])
+        return table.append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
 
     drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))
     schema = ", ".join([*names, "sequence_id long", "offset long"])
-    return pieces.withColumn("_part", drawn).groupBy("_part").applyInArrow(pack_part, schema)
+    packed_ = rows.withColumn("_part", drawn).groupBy("_part").applyInArrow(pack_part, schema)
+    return packed_.toDF(*inner, "sequence_id", "offset")

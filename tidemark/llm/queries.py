@@ -12,11 +12,16 @@ from tidemark.llm.files import settled
 from tidemark.session import prepare
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session, with the settings that these operators rely on."""
     prepare(spark)
     # Texts may be long: fewer rows travel to a Python worker at once.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return prepared(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def remainder(divisor: int) -> Column:
