@@ -188,7 +188,7 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", value: str = "emb
         return found
     parts = max(1, -(-total // BLOCK))
     spread = settled_.select(F.pmod(F.xxhash64("_id"), F.lit(parts)).alias("_g"), F.lit(0).cast("long").alias("_cell"), "_id", "_v")
-    sent = few.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("_to"), "_q", "_qv", F.lit(None).cast("array<long>").alias("_cells"))
+    sent = few.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_to"), "_q", "_qv", F.lit(None).cast("array<long>").alias("_cells"))
     exact = spread.groupBy("_g").cogroup(sent.groupBy("_to")).applyInArrow(_ranked(size, k), schema)
     rest = found.join(few.select(F.col("_q").alias("query_id")), "query_id", "left_anti")
     return rest.unionByName(_top(exact, k))
