@@ -5,7 +5,7 @@ from tidemark import fixed
 from tidemark.operators import metrics
 from tidemark.plans import report
 
-# Published confusion matrices (rows true, columns predicted, label order) and macro-F1.
+# Fixed values, natural order: published confusion matrices (rows true, columns predicted, label order) and macro-F1.
 GOLDEN = {
     "text": (
         [[434536, 157670, 94993, 254540], [31347, 38675, 34213, 84064], [9185, 11127, 14539, 66021], [16049, 9194, 9549, 86199]],
@@ -28,6 +28,7 @@ GOLDEN = {
         0.502,
     ),
 }
+# End of fixed values.
 
 
 def cells(spark, matrix):
@@ -68,4 +69,16 @@ def test_report_text(spark):
     pairs = spark.createDataFrame([("Fast", "Fast"), ("Fast", "Slow")], "true_label string, pred_label string")
     text = report.evaluate(pairs, "Title", ["note"]).text()
     assert text.startswith("Title\nnote\n")
-    assert "Macro-F1: 0.1667" in text and "Order: ['Fast', 'Medium', 'Slow', 'Stale']" in text
+    assert "macro F1 0.1667, without prediction 0" in text and "across: Fast, Medium, Slow, Stale" in text
+
+
+def test_rows_without_prediction_stay_in_the_support(spark):
+    rows = [("Fast", "Fast"), ("Fast", None), ("Fast", "Later"), ("Slow", "Slow"), (None, "Fast"), ("Later", "Fast")]
+    pairs = spark.createDataFrame(rows, "true_label string, pred_label string")
+    cells = metrics.confusion_matrix(pairs, unscored=True)
+    lines = {r["class"]: r for r in metrics.classification_report(cells).collect()}
+    assert (lines["Fast"].support, lines["accuracy"].support, lines["accuracy"].f1) == (3, 4, 0.5)
+    assert metrics.no_prediction(cells).first().unscored == 2
+    ladder = metrics.model_ladder(pairs, {"m": "pred_label"}).first()
+    assert (ladder.accuracy, ladder.n, ladder.unscored) == (0.5, 4, 2)
+    assert "without prediction 2" in report.evaluate(pairs, "t").text()

@@ -44,6 +44,12 @@ def test_argmax_takes_the_first_of_equals(spark):
     assert [r[0] for r in df.select(scalars.argmax(F.col("s"))).collect()] == [1, 0]
 
 
+def test_row_without_a_weight_fails_by_name(spark):
+    df = spark.createDataFrame([("Fast",), ("Odd",)], "label string")
+    with pytest.raises(Exception, match="no weight for label: Odd"):
+        weights.with_class_weight(df, weights.class_weights(df)).collect()
+
+
 EDGES = ["2025-07-31 23:59:59", "2025-08-01 00:00:00", "2025-10-31 23:59:59", "2025-11-01 00:00:00", None]
 
 

@@ -1,9 +1,12 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidemark import fixed, session
+from tidemark.functions.scalars import argmax, label_name
 from tidemark.operators import metrics, splits
 from tidemark.plans import jobs, scoring, training
 from tidemark.sources import profile, shards, star, tables
@@ -38,10 +41,14 @@ def test_row_ids_are_unique_and_stable(spark, tmp_path):
     assert len(read()) == 500 and read() == read()
 
 
-def test_spread_leaves_wide_scans_alone(spark, tmp_path):
-    wide = spark.range(0, 100, 1, 64)
-    assert shards.spread(wide) is wide
-    assert shards.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 8
+@pytest.mark.parametrize("per_file", [1_000_000, 10])
+def test_smoke_read_takes_whole_shards(spark, tmp_path, per_file):
+    rows = spark.range(0, 400, 1, 4).withColumn("shard", F.col("id") % 8)
+    tables.export_shards(rows, str(tmp_path / "folders"), per_file, ["shard"])
+    smoke = shards.read_smoke(spark, str(tmp_path / "folders"))
+    assert {r.shard for r in smoke.collect()} == {0, 1, 2} and smoke.count() == 150
+    tables.export_shards(spark.range(0, 700, 1, 7), str(tmp_path / "flat"), per_file)
+    assert {r.id for r in shards.read_smoke(spark, str(tmp_path / "flat")).collect()} == set(range(300))
 
 
 def test_replace_table(spark):
@@ -148,11 +155,37 @@ def test_stream_counts_each_shard_once(spark, sf_dir, tmp_path):
     assert sum(run().values()) == sum(want.values()) + 10
 
 
-def test_gradient_tree_deepens_with_the_task_count():
-    spec = training.LinearSpec()
-    assert spec.aggregation_depth(8) == 2
-    assert spec.aggregation_depth(100_000) == 4
-    assert training.LinearSpec(form="one_vs_rest").aggregation_depth(8) == 2
+def test_run_folder_goes_at_the_end(spark, tmp_path):
+    with session.run_folder(spark):
+        path = session.scratch_dir(spark, "x")
+        tables.export_shards(spark.range(3), path)
+        assert os.path.isdir(path)
+    assert not os.path.isdir(path)
+
+
+def test_shuffles_are_sized_by_the_input(spark, tmp_path):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        assert session.size_shuffles(spark, [str(tmp_path)]) == 16 and spark.conf.get(key) == "16"
+    finally:
+        spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("codegen", ["CODEGEN_ONLY", "NO_CODEGEN"])
+def test_missing_scores_are_no_label(spark, codegen):
+    def load():
+        return lambda x: np.where(x < 0, np.nan, x)
+
+    df = spark.createDataFrame([(0, [1.0, 2.0, 0.0, 0.0]), (1, [-1.0, 0.0, 0.0, 5.0])], "i int, x array<double>")
+    got = {r.i: r.pred_label for r in scoring.with_prediction(df, load, "x", 4).collect()}
+    assert got == {0: "Medium", 1: None}
+    spark.conf.set("spark.sql.codegen.factoryMode", codegen)
+    try:
+        ids = spark.createDataFrame([(None, None), (0, []), (3, [1.0, None]), (9, [0.0, 1.0]), (-1, None)], "i int, s array<double>")
+        rows = ids.select(label_name(F.col("i")).alias("a"), label_name(argmax(F.col("s"))).alias("b")).collect()
+        assert [tuple(r) for r in rows] == [(None, None), ("Fast", None), ("Stale", None), (None, "Medium"), (None, None)]
+    finally:
+        spark.conf.unset("spark.sql.codegen.factoryMode")
 
 
 def test_jobs_end_to_end(spark, tmp_path):
@@ -180,12 +213,27 @@ def test_jobs_end_to_end(spark, tmp_path):
     jobs.main([*verify, "--out", f"{root}/checks"], spark)
     assert spark.read.json(f"{root}/checks/row_parity").first().asDict() == {"source_rows": 160, "joined_rows": 160}
     spots = spark.read.json(f"{root}/checks/spot_check").collect()
-    assert len(spots) == 5 and all(r.joined_value == r.manual_recompute for r in spots)
+    assert len(spots) == 5 and all(r.stored == r.counted_again for r in spots)
 
     jobs.main(["profile", f"pr={root}/pr", f"joined={root}/joined", "--out", f"{root}/profile"], spark)
     assert spark.read.json(f"{root}/profile").where("dataset = 'joined'").first().n_rows == 160
 
     jobs.main(["train", "--input", f"{root}/joined", "--out", f"{root}/results", "--signals", "--iterations", "2"], spark)
     lines = [r.value for r in spark.read.text(f"{root}/results/lr_text_signals_eval").collect()]
-    assert any(line.startswith("Macro-F1: ") for line in lines)
+    assert any(line.startswith("macro F1 ") for line in lines) and any(line.startswith("rows: train ") for line in lines)
     assert training.load_model(spark, f"{root}/results/lr_text_signals").spec.signals
+
+    jobs.main(["score", "--input", f"{root}/joined", "--model", f"{root}/results/lr_text_signals", "--out", f"{root}/scored"], spark)
+    assert spark.read.parquet(f"{root}/scored/predictions").count() == splits.test_rows(built).count()
+    assert any(r.value.startswith("rows: test ") for r in spark.read.text(f"{root}/scored/report").collect())
+
+    sampled = ["train-sampled", "--input", f"{root}/joined", "--iterations", "2", "--out", f"{root}/results"]
+    jobs.main(sampled, spark)
+    assert training.load_model(spark, f"{root}/results/lr_sampled").spec.l2 in (1e-4, 1e-2)
+
+    built.limit(159).write.parquet(f"{root}/lost")
+    with pytest.raises(SystemExit, match="160 issues, but 159"):
+        jobs.main([*verify[:3], "--joined", f"{root}/lost", *verify[5:], "--out", f"{root}/lost_checks"], spark)
+    built.withColumn("pr_merged_30d", F.col("pr_merged_30d") + 1).write.parquet(f"{root}/off")
+    with pytest.raises(SystemExit, match="differ"):
+        jobs.main([*verify[:3], "--joined", f"{root}/off", *verify[5:], "--out", f"{root}/off_checks"], spark)

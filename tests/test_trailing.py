@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.trailing import Feed, Measure, signal_feeds, trailing_features
+from tidemark.operators import quality
+from tidemark.operators.trailing import Feed, Measure, activity_feed, signal_feeds, trailing_features
 from tidemark.plans import feature_table
 from tidemark.sources import star
 
@@ -114,6 +115,33 @@ def test_build_table_checks_parity(spark, sf_dir, tmp_path):
     assert len(stored.inputFiles()) >= 4  # 1,500 rows in shards of at most 400
 
 
+def test_leaks_are_reported(spark, sf_dir):
+    """A feature that takes in its own day, and one that misses a day, are both found."""
+    base, feeds = star.issues(spark, sf_dir), signal_feeds(*star.daily_tables(spark, sf_dir))
+    good = trailing_features(base, feeds)
+    assert {r.leaks for r in quality.leakage(good, feeds).collect()} == {0}
+    late = feeds[1].daily.withColumn("date", F.date_add("date", -1))
+    leaky = trailing_features(base, [feeds[0], Feed(late, feeds[1].measures), *feeds[2:]])
+    found = {r.signal: r.leaks for r in quality.leakage(leaky, feeds).collect()}
+    assert found.pop("push_count_30d") > 0 and set(found.values()) == {0}
+
+
+def test_lost_rows_are_reported(spark, sf_dir):
+    base = star.issues(spark, sf_dir)
+    parity = quality.row_parity(base, base.where("issue_id <> 1")).first()
+    assert parity.source_rows == parity.joined_rows + 1
+
+
+def test_one_read_of_the_activity_gives_the_same(spark, sf_dir):
+    base = star.issues(spark, sf_dir)
+    one = trailing_features(base, [activity_feed(star.activity_daily(spark, sf_dir))], dedupe_keys=False)
+    four = trailing_features(base, signal_feeds(*star.daily_tables(spark, sf_dir)), dedupe_keys=False)
+    assert _rows(one) == _rows(four)
+    one.collect()
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("l_shipdate") and "ReusedExchange" in plan
+
+
 def test_hot_entity_is_split_at_run_time(spark):
     """A third of all issues in one repository, on one day: the wide side's partition is split."""
     settings = {

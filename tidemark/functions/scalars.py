@@ -56,12 +56,14 @@ def label_id(column: Column, labels: Sequence[str] = fixed.LABELS) -> Column:
 
 
 def label_name(column: Column, labels: Sequence[str] = fixed.LABELS) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in labels]), column.cast("int") + 1)
+    """Label of an id; NULL for a NULL id and for one that no label has."""
+    return F.get(F.array(*[F.lit(v) for v in labels]), column.cast("int"))
 
 
 def argmax(scores: Column) -> Column:
-    """Index of the highest score, the first one on ties."""
-    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    """Index of the highest score, the first one on ties. NULL without scores, or where one is NULL or NaN."""
+    whole = F.forall(scores, lambda x: x.isNotNull() & ~F.isnan(x)) & (F.size(scores) > 0)
+    return F.when(whole, (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))
 
 
 def bucket_fraction(key: Column, seed: int = fixed.SEED) -> Column:

@@ -4,7 +4,6 @@ frame has at most one row per cell of the confusion matrix."""
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +16,19 @@ def confusion_matrix(
     true: str = "true_label",
     pred: str = "pred_label",
     labels: Sequence[str] = fixed.LABELS,
+    unscored: bool = False,
 ) -> DataFrame:
-    """(true_label, pred_label, n), zero cells kept. Pairs outside ``labels`` are left out."""
-    counts = (
-        pairs.where(F.col(true).isin(*labels) & F.col(pred).isin(*labels))
-        .groupBy(F.col(true).alias("true_label"), F.col(pred).alias("pred_label"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """(true_label, pred_label, n), zero cells kept. Rows whose true label is not in ``labels`` are left out.
+
+    So are rows whose prediction is not, unless ``unscored``: then they count under a NULL prediction, and the
+    scores made from the cells hold them in the support of their class.
+    """
+    known = F.when(F.col(pred).isin(*labels), F.col(pred))
+    rows = pairs.select(F.col(true).alias("true_label"), known.alias("pred_label"))
+    rows = rows.where(F.col("true_label").isin(*labels))
+    if not unscored:
+        rows = rows.where(F.col("pred_label").isNotNull())
+    counts = rows.groupBy("true_label", "pred_label").agg(F.count(F.lit(1)).alias("n"))
     names = F.array(*[F.lit(v) for v in labels])
     grid = (
         pairs.sparkSession.range(1)
@@ -57,6 +62,7 @@ def class_scores(cells: DataFrame) -> DataFrame:
     )
     totals = (
         cells.select(F.inline(sides))
+        .where(F.col("class").isNotNull())
         .groupBy("class")
         .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")])
     )
@@ -101,6 +107,12 @@ def classification_report(cells: DataFrame) -> DataFrame:
     return per_class.unionByName(summary.select(F.inline(lines)))
 
 
+def no_prediction(cells: DataFrame) -> DataFrame:
+    """One row, ``unscored``: rows without a usable prediction, from cells made with ``unscored``."""
+    missing = F.sum(F.when(F.col("pred_label").isNull(), F.col("n")))
+    return cells.agg(F.coalesce(missing, F.lit(0)).alias("unscored"))
+
+
 def macro_f1(cells: DataFrame) -> DataFrame:
     """One row, ``macro_f1``: the plain mean of the per-class F1."""
     return class_scores(cells).agg(F.avg("f1").alias("macro_f1"))
@@ -112,7 +124,9 @@ def model_ladder(
     true: str = "true_label",
     labels: Sequence[str] = fixed.LABELS,
 ) -> DataFrame:
-    """Compare models on the same rows: (model, accuracy, macro_f1, weighted_f1, n).
+    """Compare models on the same rows: (model, accuracy, macro_f1, weighted_f1, n, unscored).
+
+    A prediction that is NULL or not in ``labels`` is a miss, and is counted in ``unscored``.
 
     ``models`` maps a model name to its prediction column. The rows are read once for all
     models and leave each map task as counts.
@@ -121,24 +135,24 @@ def model_ladder(
         *[F.struct(F.lit(m).alias("model"), F.col(c).alias("pred_label")) for m, c in models.items()]
     )
     tall = scored.select(F.col(true).alias("true_label"), F.inline(by_model))
-    counts = (
-        tall.where(F.col("true_label").isin(*labels) & F.col("pred_label").isin(*labels))
-        .groupBy("model", "true_label", "pred_label")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    known = F.when(F.col("pred_label").isin(*labels), F.col("pred_label"))
+    tall = tall.where(F.col("true_label").isin(*labels)).withColumn("pred_label", known)
+    counts = tall.groupBy("model", "true_label", "pred_label").agg(F.count(F.lit(1)).alias("n"))
+    missed = F.sum(F.when(F.col("pred_label").isNull(), F.col("n")).otherwise(0))
     tp = F.sum(F.when(F.col("true_label") == F.col("pred_label"), F.col("n")).otherwise(0))
     of_true = counts.groupBy("model", F.col("true_label").alias("class")).agg(
-        tp.alias("tp"), F.sum("n").alias("support"), F.lit(0).cast("long").alias("predicted")
+        tp.alias("tp"), F.sum("n").alias("support"), F.lit(0).cast("long").alias("predicted"), missed.alias("missed")
     )
-    of_pred = counts.groupBy("model", F.col("pred_label").alias("class")).agg(
+    of_pred = counts.where(F.col("pred_label").isNotNull()).groupBy("model", F.col("pred_label").alias("class")).agg(
         F.lit(0).cast("long").alias("tp"),
         F.lit(0).cast("long").alias("support"),
         F.sum("n").alias("predicted"),
+        F.lit(0).cast("long").alias("missed"),
     )
     classes = (
         of_true.unionByName(of_pred)
         .groupBy("model", "class")
-        .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")])
+        .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted", "missed")])
         .withColumn("f1", _ratio(2 * F.col("tp"), F.col("support") + F.col("predicted")))
     )
     n = F.sum("support")
@@ -147,10 +161,5 @@ def model_ladder(
         (F.sum("f1") / len(labels)).alias("macro_f1"),
         _ratio(F.sum(F.col("f1") * F.col("support")), n).alias("weighted_f1"),
         n.alias("n"),
+        F.sum("missed").alias("unscored"),
     )
-
-
-def union_reports(reports: Mapping[str, DataFrame]) -> DataFrame:
-    """Stack reports of separately scored models, with a leading ``model`` column."""
-    parts = [r.select(F.lit(m).alias("model"), "*") for m, r in reports.items()]
-    return reduce(DataFrame.unionByName, parts)

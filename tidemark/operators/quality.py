@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions.scalars import day_number, utc_day
-from tidemark.operators.trailing import Feed, Measure, trailing_features
+from tidemark.operators.trailing import Feed
 
 
 def row_parity(source: DataFrame, joined: DataFrame) -> DataFrame:
@@ -48,8 +48,8 @@ def spot_check(
     manual = raw.join(F.broadcast(wanted), "_active").groupBy("_day").agg(F.sum("_value").alias("_manual"))
     return top.join(F.broadcast(manual), "_day", "left").select(
         *order_by,
-        F.col(value).alias("joined_value"),
-        F.coalesce("_manual", F.lit(0)).alias("manual_recompute"),
+        F.col(value).alias("stored"),
+        F.coalesce("_manual", F.lit(0)).alias("counted_again"),
     )
 
 
@@ -74,43 +74,44 @@ def signal_zero_fraction(joined: DataFrame, signals: Sequence[str], alarm: float
     return row.select(F.inline(F.array(*lines)))
 
 
-def window_lags(records: DataFrame, feeds: Sequence[Feed], at: str = "issue_created_at", **names) -> DataFrame:
-    """Leak check, one row per feed window: (signal, active_rows, min_lag, max_lag, leaks).
+def leakage(
+    stored: DataFrame, feeds: Sequence[Feed], entity: str = "repo_name", at: str = "issue_created_at"
+) -> DataFrame:
+    """Leak check of a stored feature table, one row per sum: (signal, active_rows, min_lag, max_lag, leaks).
 
-    A lag is the number of days from a contributing date to the record's own day. Every lag must
-    be at least 1 (nothing of the day itself or later) and at most the window length.
+    Each sum is counted again from the raw daily rows, over the days that lie 1 to n days before the record's own
+    day, by an equi-join on the day and without the window operator. A stored value that differs, because a day too
+    many or too few went into it, is a leak; lags tell how near and how far the days lie that had activity. Every
+    distinct (entity, day) of the records becomes n rows, and feeds are summed by day first.
     """
-    spans = []
-    probes = []
-    for feed in feeds:
-        days = sorted({m.days for m in feed.measures})
-        names_of = {d: next(m.alias for m in feed.measures if m.days == d) for d in days}
-        bounds = []
-        for d in days:
-            spans.append((names_of[d], d))
-            bounds.append(Measure(feed.day, "first_day", d, f"_first_{names_of[d]}"))
-            bounds.append(Measure(feed.day, "last_day", d, f"_last_{names_of[d]}"))
-        probes.append(Feed(feed.daily, tuple(bounds), feed.entity, feed.day))
-    dated = trailing_features(records, probes, at=at, dedupe_keys=True, **names)
     own = day_number(utc_day(at))
-    totals = []
-    for name, days in spans:
-        nearest = (own - F.col(f"_last_{name}")).cast("long")
-        farthest = (own - F.col(f"_first_{name}")).cast("long")
-        totals += [
-            F.count(nearest).alias(f"_active_{name}"),
-            F.min(nearest).alias(f"_min_{name}"),
-            F.max(farthest).alias(f"_max_{name}"),
-            F.count_if((nearest < 1) | (farthest > days)).alias(f"_leaks_{name}"),
-        ]
-    lines = [
-        F.struct(
-            F.lit(name).alias("signal"),
-            F.col(f"_active_{name}").alias("active_rows"),
-            F.col(f"_min_{name}").alias("min_lag"),
-            F.col(f"_max_{name}").alias("max_lag"),
-            F.col(f"_leaks_{name}").alias("leaks"),
-        )
-        for name, _ in spans
-    ]
-    return dated.agg(*totals).select(F.inline(F.array(*lines)))
+    lines = None
+    for feed in feeds:
+        for measure in feed.measures:
+            if measure.how != "sum":
+                continue
+            days = stored.where(F.col(entity).isNotNull() & F.col(at).isNotNull()).select(
+                F.col(entity).alias("_entity"), own.alias("_own")
+            )
+            days = days.groupBy("_entity", "_own").agg(F.count(F.lit(1)).alias("_records"))
+            lag = F.explode(F.sequence(F.lit(1), F.lit(measure.days)))
+            allowed = days.select("_entity", "_own", lag.alias("_lag")).withColumn("_day", F.col("_own") - F.col("_lag"))
+            daily = feed.daily.where(F.col(feed.entity).isNotNull() & F.col(feed.day).isNotNull())
+            daily = daily.groupBy(
+                F.col(feed.entity).alias("_entity"), day_number(F.col(feed.day).cast("date")).alias("_day")
+            ).agg(F.sum(measure.source).alias("_value"))
+            again = (
+                allowed.join(daily, ["_entity", "_day"])
+                .groupBy("_entity", "_own")
+                .agg(F.sum("_value").alias("_sum"), F.min("_lag").alias("_near"), F.max("_lag").alias("_far"))
+            )
+            records = stored.select(F.col(entity).alias("_entity"), own.alias("_own"), F.col(measure.alias).alias("_stored"))
+            checked = records.join(again, ["_entity", "_own"], "left")
+            line = checked.agg(
+                F.count("_near").alias("active_rows"),
+                F.min("_near").cast("long").alias("min_lag"),
+                F.max("_far").cast("long").alias("max_lag"),
+                F.count_if(~F.col("_stored").eqNullSafe(F.coalesce("_sum", F.lit(0)))).alias("leaks"),
+            ).select(F.lit(measure.alias).alias("signal"), "*")
+            lines = line if lines is None else lines.unionByName(line)
+    return lines

@@ -66,6 +66,9 @@ def with_holdout(sample: DataFrame, key: str, seed: int = fixed.SEED) -> DataFra
     ``key`` must be unique. The shuffle order is the md5 of seed and key, and no row is moved to
     find the cut: a histogram over the first four hex digits (65,536 bins at most) locates the
     bin of the cut, only that bin is ranked, and the cut comes back as a one-value subquery.
+
+    ``sample`` is read three times: write it first. One task ranks about N / 65,536 keys and another adds up
+    65,536 counts at most, which suits samples up to some billion rows.
     """
     digest = F.md5(F.concat(F.lit(f"shuffle:{seed}:"), F.col(key).cast("string")))
     places = sample.select(digest.alias("_digest"), F.substring(digest, 1, 4).alias("_bin"))

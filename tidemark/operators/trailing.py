@@ -111,13 +111,23 @@ def signal_feeds(pr: DataFrame, push: DataFrame, release: DataFrame, watch: Data
     ]
 
 
+def activity_feed(daily: DataFrame) -> Feed:
+    """The same five signals from one daily table that has the columns of all four."""
+    parts = signal_feeds(daily, daily, daily, daily)
+    return Feed(daily, tuple(m for part in parts for m in part.measures))
+
+
 def _measures(feeds: Sequence[Feed]) -> list[Measure]:
     return [m for feed in feeds for m in feed.measures]
 
 
 def window_features(days: DataFrame, feeds: Sequence[Feed], entity: str) -> DataFrame:
-    """One row per distinct (entity, day number) of ``days``, with every measure."""
-    stacked = [days.select(entity, _DAY, F.lit(True).alias(_WANTED))]
+    """One row per distinct (entity, day number) of ``days``, with every measure.
+
+    ``days`` may bring ``_copies``, the records behind each of its rows; a day is wanted if it has any.
+    """
+    copies = F.col(_COPIES) if _COPIES in days.columns else F.lit(1).cast("long")
+    stacked = [days.select(entity, _DAY, copies.alias(_WANTED))]
     for feed in feeds:
         keyed = feed.daily.where(F.col(feed.entity).isNotNull() & F.col(feed.day).isNotNull())
         keyed = keyed.withColumn(_DAY, day_number(F.col(feed.day).cast("date")))
@@ -127,10 +137,10 @@ def window_features(days: DataFrame, feeds: Sequence[Feed], entity: str) -> Data
 
     measures = _measures(feeds)
     per_day = union.groupBy(entity, _DAY).agg(
-        F.max(_WANTED).alias(_WANTED), *[c for m in measures for c in m.daily_totals()]
+        F.sum(_WANTED).alias(_WANTED), *[c for m in measures for c in m.daily_totals()]
     )
     windowed = per_day.select(entity, _DAY, _WANTED, *[m.over(entity) for m in measures])
-    return windowed.where(_WANTED).drop(_WANTED)
+    return windowed.where(F.col(_WANTED) > 0).drop(_WANTED)
 
 
 def trailing_features(
@@ -160,7 +170,8 @@ def trailing_features(
             (F.col(m.alias) * F.col(_COPIES)).alias(m.alias) if m.how == "sum" else F.col(m.alias)
             for m in measures
         ]
-        per_day = window_features(moments.select(entity, _DAY), feeds, entity)
+        # Both uses of the aggregate need the same columns, so that one exchange serves them.
+        per_day = window_features(moments.select(entity, _DAY, _COPIES), feeds, entity)
         features = moments.join(per_day, [entity, _DAY], "left").select(entity, at, *scaled)
         keyed, keys = records, [entity, at]
 

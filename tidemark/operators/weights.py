@@ -29,8 +29,11 @@ def class_weights(df: DataFrame, label: str = "label", labels: Sequence[str] = f
 
 
 def with_class_weight(rows: DataFrame, weights: DataFrame, label: str = "label") -> DataFrame:
-    """Rows with the weight of their label.
+    """Rows with the weight of their label; the job fails and names the label that has none.
 
     ``weights`` comes from ``class_weights`` and so has at most one row per known label.
     """
-    return rows.join(F.broadcast(weights.select(label, "weight")), label)
+    found = rows.join(F.broadcast(weights.select(label, F.col("weight").alias("_weight"))), label, "left")
+    missing = F.raise_error(F.concat(F.lit("no weight for label: "), F.coalesce(F.col(label), F.lit("NULL"))))
+    weight = F.when(F.col("_weight").isNotNull(), F.col("_weight")).otherwise(missing.cast("double"))
+    return found.withColumn("weight", weight).drop("_weight")

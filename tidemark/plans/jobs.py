@@ -4,8 +4,11 @@
     python -m tidemark.plans.jobs build --issues DIR --pr DIR --push DIR --release DIR --watch DIR --out DIR
     python -m tidemark.plans.jobs verify --issues DIR --joined DIR --pr DIR --repo NAME --out DIR
     python -m tidemark.plans.jobs train --input DIR --out DIR [--signals] [--smoke] [--form one_vs_rest]
+    python -m tidemark.plans.jobs train-sampled --input DIR --out DIR [--signals] [--smoke]
+    python -m tidemark.plans.jobs score --input DIR --model DIR --out DIR
 
-``train --smoke`` reads the first three shards, names its report apart and keeps no model.
+``--smoke`` reads the first three shards, samples little, names its report apart and keeps no model.
+``verify`` writes its tables and ends with an error if they show a lost row or a sum that differs.
 """
 
 from __future__ import annotations
@@ -15,9 +18,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
-from tidemark import session
+from tidemark import fixed, session
 from tidemark.operators import quality, splits
-from tidemark.plans import feature_table, report, training
+from tidemark.plans import feature_table, report, sampled, training
 from tidemark.sources import profile, shards, tables
 
 
@@ -33,7 +36,8 @@ def run_build(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def run_verify(spark: SparkSession, args: argparse.Namespace) -> None:
-    issues, joined = shards.read_shards(spark, args.issues), shards.read_shards(spark, args.joined)
+    issues = shards.read_shards(spark, args.issues)
+    joined = shards.with_row_id(shards.read_shards(spark, args.joined))
     checks = {
         "row_parity": quality.row_parity(issues, joined),
         "spot_check": quality.spot_check(
@@ -42,13 +46,22 @@ def run_verify(spark: SparkSession, args: argparse.Namespace) -> None:
             args.repo,
             "pr_merged_30d",
             "pr_merged_count",
-            30,
-            ["issue_created_at"],
+            fixed.SHORT_WINDOW_DAYS,
+            ["issue_created_at", "row_id"],
         ),
         "signal_zero_fraction": feature_table.zero_report(joined),
     }
     for name, check in checks.items():
         check.coalesce(1).write.mode("overwrite").json(f"{args.out}/{name}")
+    wrong = []
+    parity = spark.read.json(f"{args.out}/row_parity").first()
+    if parity.source_rows != parity.joined_rows:
+        wrong.append(f"{parity.source_rows} issues, but {parity.joined_rows} joined rows")
+    spots = spark.read.schema("stored bigint, counted_again bigint").json(f"{args.out}/spot_check")
+    if bad := spots.where("not stored <=> counted_again").count():
+        wrong.append(f"{bad} of the sums looked at differ from the daily rows")
+    if wrong:
+        raise SystemExit("; ".join(wrong))
 
 
 def run_train(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -58,11 +71,39 @@ def run_train(spark: SparkSession, args: argparse.Namespace) -> None:
     # Written once: the report reads the pairs, not the scoring plan.
     pairs = tables.materialize(model.predict(splits.test_rows(rows)), session.scratch_dir(spark, "pairs"))
     name = ("lr_text_signals" if args.signals else "lr_text") + ("_smoke" if args.smoke else "")
-    report.write_report(spark, report.evaluate(pairs, name, [str(spec)]), f"{args.out}/{name}_eval")
+    counts = {"train": splits.train_rows(rows).count(), "test": pairs.count()}
+    notes = report.header(counts, _CUTS, fixed.SIGNALS if args.signals else (), [f"{args.form}, {args.iterations} iterations"])
+    report.write_report(spark, report.evaluate(pairs, name, notes), f"{args.out}/{name}_eval")
     if not args.smoke:
         model.save(f"{args.out}/{name}")
 
 
+_CUTS = {"train before": fixed.TRAIN_END, "test before": fixed.TEST_END}
+
+
+def run_train_sampled(spark: SparkSession, args: argparse.Namespace) -> None:
+    read = shards.read_smoke if args.smoke else shards.read_shards
+    rows = shards.with_row_id(read(spark, args.input))
+    specs = [training.LinearSpec(signals=args.signals, l2=l2, iterations=args.iterations) for l2 in args.l2]
+    target = fixed.SMOKE_SAMPLE_TARGET if args.smoke else fixed.SAMPLE_TARGET
+    run = sampled.train_sampled(splits.train_rows(rows), splits.test_rows(rows), "row_id", specs, target)
+    name = ("lr_sampled_signals" if args.signals else "lr_sampled") + ("_smoke" if args.smoke else "")
+    tried = [f"{c.name}: l2 {c.model.spec.l2}, macro F1 {c.macro_f1:.4f}" for c in run.candidates]
+    notes = report.header(run.counts(), _CUTS, fixed.SIGNALS if args.signals else (), tried)
+    report.write_report(spark, report.evaluate(run.pairs, name, notes), f"{args.out}/{name}_eval")
+    if not args.smoke:
+        run.best.model.save(f"{args.out}/{name}")
+
+
+def run_score(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Test rows through a saved model: predictions as a table, and their report."""
+    rows = shards.with_row_id(shards.read_shards(spark, args.input))
+    model = training.load_model(spark, args.model)
+    pairs = tables.materialize(model.predict_stored(splits.test_rows(rows), ["row_id"]), f"{args.out}/predictions")
+    notes = report.header({"test": pairs.count()}, _CUTS, fixed.SIGNALS if model.spec.signals else ())
+    report.write_report(spark, report.evaluate(pairs, "saved model", notes), f"{args.out}/report")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     jobs = top.add_subparsers(dest="job", required=True)
@@ -83,6 +124,19 @@ def parser() -> argparse.ArgumentParser:
         job.add_argument(f"--{value}", required=True)
     job.set_defaults(run=run_verify)
 
+    job = jobs.add_parser("train-sampled")
+    job.add_argument("--input", required=True)
+    job.add_argument("--signals", action="store_true")
+    job.add_argument("--smoke", action="store_true")
+    job.add_argument("--iterations", type=int, default=10)
+    job.add_argument("--l2", type=float, nargs="+", default=[1e-4, 1e-2])
+    job.set_defaults(run=run_train_sampled)
+
+    job = jobs.add_parser("score")
+    job.add_argument("--input", required=True)
+    job.add_argument("--model", required=True)
+    job.set_defaults(run=run_score)
+
     job = jobs.add_parser("train")
     job.add_argument("--input", required=True)
     job.add_argument("--signals", action="store_true")
@@ -98,7 +152,11 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
-    args.run(session.prepare(spark) if spark else session.build(f"tidemark-{args.job}"), args)
+    spark = session.prepare(spark) if spark else session.build(f"tidemark-{args.job}")
+    inputs = [getattr(args, n, None) for n in ("issues", "pr", "push", "release", "watch", "input", "joined")]
+    session.size_shuffles(spark, [path for path in inputs if path])
+    with session.run_folder(spark):
+        args.run(spark, args)
 
 
 if __name__ == "__main__":

@@ -202,7 +202,7 @@ def _ladder() -> str:
         lines.append(
             f"SELECT '{model}' AS model, ROUND(CAST(SUM(tp) AS DOUBLE) / SUM(support), 6) AS accuracy, "
             f"ROUND(SUM(f1) / 4, 6) AS macro_f1, ROUND(SUM(f1 * support) / SUM(support), 6) AS weighted_f1, "
-            f"CAST(SUM(support) AS BIGINT) AS n FROM ratios{i}"
+            f"CAST(SUM(support) AS BIGINT) AS n, CAST(0 AS BIGINT) AS unscored FROM ratios{i}"
         )
     return _with(["predictions", "label_list"], " UNION ALL ".join(lines), extra)
 
@@ -211,12 +211,14 @@ def _lags() -> str:
     lines = []
     for alias, (table, _, days) in _FEEDS.items():
         lines.append(
-            f"SELECT '{alias}' AS signal, COUNT(*) AS active_rows, MIN(nearest) AS min_lag, MAX(farthest) AS max_lag, "
-            f"CAST(0 AS BIGINT) AS leaks FROM (SELECT i.issue_id, MIN(datediff('day', p.date, i.issue_date)) AS nearest, "
-            f"MAX(datediff('day', p.date, i.issue_date)) AS farthest FROM issues i JOIN {_window(table, days)} "
-            f"GROUP BY i.issue_id) z"
+            f"SELECT '{alias}' AS signal, COUNT(nearest) AS active_rows, MIN(nearest) AS min_lag, MAX(farthest) AS max_lag, "
+            f"COUNT(*) FILTER (WHERE stored <> again) AS leaks FROM (SELECT i.issue_id, i.{alias} AS stored, "
+            f"COALESCE(SUM(p.{_FEEDS[alias][1]}), 0) AS again, MIN(datediff('day', p.date, i.issue_date)) AS nearest, "
+            f"MAX(datediff('day', p.date, i.issue_date)) AS farthest FROM joined i LEFT JOIN {table} p "
+            f"ON p.repo_name = i.repo_name AND datediff('day', p.date, i.issue_date) BETWEEN 1 AND {days} "
+            f"GROUP BY i.issue_id, i.{alias}) z"
         )
-    return _with(["issues", *_DAILY], " UNION ALL ".join(lines))
+    return _with(["issues", *_DAILY], " UNION ALL ".join(lines), _JOINED)
 
 
 def _profile() -> str:
@@ -292,9 +294,71 @@ UNION ALL SELECT 'weighted avg', ROUND(SUM(precision * support) / SUM(support),
 _PREDICTION_SCORES = {"scores": _SCORES.format(pairs="predictions"), "ratios": _RATIOS.format(scores="scores")}
 
 _QUARTERS = ", ".join(
-    f"list_sum(list_transform(embedding[{16 * q + 1}:{16 * q + 16}], lambda x: CAST(x AS DOUBLE)))" for q in range(4)
+    f"list_sum(list_transform(embedding[len(embedding) * {q} // 4 + 1:len(embedding) * {q + 1} // 4], lambda x: CAST(x AS DOUBLE)))"
+    for q in range(4)
 )
 
+_TEST_ROWS = "SELECT issue_id, true_label, TRUE AS named FROM predictions"
+_TEST_SUPPORT = (
+    "SELECT true_label AS class, COUNT(*) AS support, TRUE AS recounted, TRUE AS learnt FROM predictions GROUP BY true_label"
+)
+_PARTS = """
+SELECT issue_id, label, CASE WHEN place <= LEAST(GREATEST(500, n // 10), n - 1) THEN 'val' ELSE 'train' END AS part
+FROM (SELECT issue_id, label, COUNT(*) OVER () AS n, ROW_NUMBER() OVER (ORDER BY
+md5('shuffle:42:' || CAST(issue_id AS VARCHAR)) DESC) AS place FROM sample) z"""
+_SAMPLED = {"rates": _RATES, "sample": _SAMPLE, "parts": _PARTS}
+_HOLES = {
+    "holed": """
+SELECT true_label, CASE WHEN issue_id % 13 = 0 THEN NULL WHEN issue_id % 17 = 0 THEN 'Later' ELSE pred_label END AS pred_label
+FROM predictions""",
+    "scores": _SCORES.format(pairs="holed"),
+    "ratios": _RATIOS.format(scores="scores"),
+}
+_HOLED_LINES = """
+SELECT class, ROUND(recall, 6) AS recall, ROUND(f1, 6) AS f1, support FROM ratios
+UNION ALL SELECT 'accuracy', NULL, ROUND(CAST(SUM(tp) AS DOUBLE) / SUM(support), 6), CAST(SUM(support) AS BIGINT) FROM ratios
+UNION ALL SELECT 'macro avg', ROUND(AVG(recall), 6), ROUND(AVG(f1), 6), CAST(SUM(support) AS BIGINT) FROM ratios
+UNION ALL SELECT 'weighted avg', ROUND(SUM(recall * support) / SUM(support), 6), ROUND(SUM(f1 * support) / SUM(support), 6),
+  CAST(SUM(support) AS BIGINT) FROM ratios
+UNION ALL SELECT 'no prediction', NULL, NULL, COUNT(*) FROM holed
+  WHERE pred_label IS NULL OR pred_label NOT IN ('Fast', 'Medium', 'Slow', 'Stale')
+UNION ALL SELECT 'ladder', ROUND(CAST(SUM(tp) AS DOUBLE) / SUM(support), 6), ROUND(SUM(f1) / 4, 6), CAST(SUM(support) AS BIGINT) FROM ratios"""
+
+
+def _printed() -> str:
+    """The printed report, line by line."""
+
+    def number(value: str, width: int) -> str:
+        return f"CASE WHEN {value} IS NULL THEN repeat(' ', {width}) ELSE format('{{:>{width}.3f}}', CAST({value} AS DOUBLE)) END"
+
+    row = (
+        "format('{:>12}', class) || " + " || ".join(number(c, w) for c, w in (("precision", 11), ("recall", 10), ("f1", 10)))
+        + " || format('{:>10}', support)"
+    )
+    order = "list_position(['Fast', 'Medium', 'Slow', 'Stale', 'accuracy', 'macro avg', 'weighted avg'], class)"
+    lines = [
+        "SELECT 'Stand-in predictions' AS value",
+        "SELECT 'rows: test'",
+        f"SELECT 'cuts: train_end {star.TRAIN_END}, test_end {star.TEST_END}'",
+        f"SELECT '{'-' * 53}'",
+        "SELECT 'macro F1 ' || format('{:.4f}', (SELECT SUM(f1) / 4 FROM exact WHERE class IN "
+        "('Fast', 'Medium', 'Slow', 'Stale'))) || ', without prediction 0'",
+        *["SELECT ''"] * 5,
+        f"SELECT '{'class':>12}{'precision':>11}{'recall':>10}{'F1':>10}{'rows':>10}'",
+        f"SELECT {row} FROM exact WHERE {order} > 0",
+        "SELECT 'true class down, predicted class across: Fast, Medium, Slow, Stale'",
+        "SELECT string_agg(format('{:>9}', n), ' ' ORDER BY list_position(['Fast', 'Medium', 'Slow', 'Stale'], pred_label)) "
+        "FROM cells GROUP BY true_label",
+    ]
+    exact = """
+SELECT class, precision, recall, f1, support FROM ratios
+UNION ALL SELECT 'accuracy', NULL, NULL, CAST(SUM(tp) AS DOUBLE) / SUM(support), CAST(SUM(support) AS BIGINT) FROM ratios
+UNION ALL SELECT 'macro avg', AVG(precision), AVG(recall), AVG(f1), CAST(SUM(support) AS BIGINT) FROM ratios
+UNION ALL SELECT 'weighted avg', SUM(precision * support) / SUM(support), SUM(recall * support) / SUM(support),
+  SUM(f1 * support) / SUM(support), CAST(SUM(support) AS BIGINT) FROM ratios"""
+    extra = {**_PREDICTION_SCORES, "exact": exact, "cells": _CELLS}
+    return _with(["predictions", "label_list"], " UNION ALL ".join(lines), extra)
+
 
 def _scorer() -> str:
     """Dot products with coefficient ((row + 1) * (column + 1)) % 7 - 3."""
@@ -377,10 +441,8 @@ ORACLES: dict[str, str] = {
     "stratified_sample": _with(["train"], "SELECT issue_id, label FROM sample", {"rates": _RATES, "sample": _SAMPLE}),
     "train_val_split": _with(
         ["train"],
-        "SELECT issue_id, label, CASE WHEN place <= LEAST(GREATEST(500, n // 10), n - 1) THEN 'val' ELSE 'train' END AS part "
-        "FROM (SELECT issue_id, label, COUNT(*) OVER () AS n, ROW_NUMBER() OVER (ORDER BY "
-        "md5('shuffle:42:' || CAST(issue_id AS VARCHAR)) DESC) AS place FROM sample) z",
-        {"rates": _RATES, "sample": _SAMPLE},
+        "SELECT issue_id, label, part FROM parts",
+        _SAMPLED,
     ),
     "signal_pr": _one("pr_merged_30d"),
     "signal_push": _one("push_count_30d"),
@@ -400,12 +462,14 @@ ORACLES: dict[str, str] = {
     ),
     "spot_check": _with(
         ["issues", *_DAILY],
-        "SELECT CAST(w.issue_created_at AS VARCHAR) AS issue_created_at, w.issue_id, w.pr_merged_30d AS joined_value, "
-        "CAST((SELECT COALESCE(SUM(p.pr_merged_count), 0) FROM pr_daily p WHERE p.repo_name = w.repo_name "
-        "AND p.date >= CAST(w.issue_created_at AS DATE) - INTERVAL 30 DAY "
-        "AND p.date < CAST(w.issue_created_at AS DATE)) AS BIGINT) AS manual_recompute "
-        f"FROM joined w WHERE w.repo_name = '{star.SPOT_REPO}' ORDER BY w.issue_created_at, w.issue_id LIMIT 5",
-        _JOINED,
+        "SELECT CAST(f.issue_created_at AS VARCHAR) AS issue_created_at, f.issue_id, f.pr_merged_30d AS stored, "
+        "CAST(COALESCE(SUM(d.pr_merged_count), 0) AS BIGINT) AS counted_again FROM five f "
+        "LEFT JOIN pr_daily d ON d.repo_name = f.repo_name AND datediff('day', d.date, f.issue_date) BETWEEN 1 AND 30 "
+        "GROUP BY ALL",
+        {
+            **_JOINED,
+            "five": f"SELECT * FROM joined WHERE repo_name = '{star.SPOT_REPO}' ORDER BY issue_created_at, issue_id LIMIT 5",
+        },
     ),
     "signal_zero_fraction": _zero_fraction(),
     "no_leakage": _lags(),
@@ -442,5 +506,36 @@ ORACLES: dict[str, str] = {
         },
     ),
     "batch_scoring": _scorer(),
+    "unscored_evaluation": _with(["predictions", "label_list"], _HOLED_LINES, _HOLES),
+    "eval_report": _printed(),
+    "hashed_tf": _with(
+        ["terms"],
+        "SELECT d.doc_id, COUNT(t.term) AS n_terms, CASE WHEN COUNT(t.term) = 0 THEN 0.0 ELSE CAST(1 AS DOUBLE) END AS length "
+        "FROM documents d LEFT JOIN terms t ON t.doc_id = d.doc_id GROUP BY d.doc_id",
+    ),
+    "lr_text": _with(["predictions"], _TEST_SUPPORT),
+    "lr_text_one_vs_rest": _with(["predictions"], _TEST_SUPPORT),
+    "lr_text_signals": _with(["predictions"], _TEST_SUPPORT),
+    "lr_predictions": _with(["predictions"], _TEST_ROWS),
+    "saved_model_scoring": _with(["predictions"], _TEST_ROWS),
+    "model_selection": _with(
+        ["train"],
+        "SELECT c.candidate, c.l2, (SELECT COUNT(*) FROM parts WHERE part = 'val') AS val_rows, TRUE AS best_first "
+        "FROM (VALUES ('candidate_0', CAST(1e-4 AS DOUBLE)), ('candidate_1', CAST(1e-2 AS DOUBLE))) c(candidate, l2)",
+        _SAMPLED,
+    ),
+    "sampled_training": _with(
+        ["train", "predictions"],
+        "SELECT 'part ' || part AS item, CAST(COUNT(*) AS DOUBLE) AS value FROM parts GROUP BY part "
+        "UNION ALL SELECT 'weight ' || label, ROUND(CAST((SELECT COUNT(*) FROM parts WHERE part = 'train') AS DOUBLE) / (4 * COUNT(*)), 6) "
+        "FROM parts WHERE part = 'train' GROUP BY label "
+        "UNION ALL SELECT 'test ' || true_label, CAST(COUNT(*) AS DOUBLE) FROM predictions GROUP BY true_label",
+        _SAMPLED,
+    ),
+    "embedding_signals_lr": (
+        "SELECT CAST(label AS VARCHAR) AS class, COUNT(*) AS support, TRUE AS recounted FROM embeddings "
+        "WHERE CAST(CAST('0x' || substr(md5('42:' || CAST(vec_id AS VARCHAR)), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0 < 0.1 "
+        "GROUP BY label"
+    ),
     "model_roundtrip": _with(["predictions"], "SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS differing FROM predictions"),
 }

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed, session
 from tidemark.functions import scalars, text, vectors
 from tidemark.operators import metrics, quality, sampling, splits, weights
-from tidemark.operators.trailing import Feed, signal_feeds, trailing_features, window_features
-from tidemark.plans import feature_table, report, scoring, training
+from tidemark.operators.trailing import Feed, activity_feed, signal_feeds, trailing_features, window_features
+from tidemark.plans import feature_table, report, sampled, scoring, training
 from tidemark.sources import profile, shards, star, tables
 from tidemark.streaming import shard_scoring
 
@@ -26,13 +25,18 @@ def _feeds(spark: SparkSession, sf: str) -> list[Feed]:
     return signal_feeds(*star.daily_tables(spark, sf))
 
 
+def _one_read(spark: SparkSession, sf: str) -> list[Feed]:
+    """The same signals with the line items read once."""
+    return [activity_feed(star.activity_daily(spark, sf))]
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Float sums differ in the last bits between plans."""
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
 def _signals(spark: SparkSession, sf: str, dedupe_keys: bool = True, body: bool = False) -> DataFrame:
-    return trailing_features(star.issues(spark, sf, body), _feeds(spark, sf), dedupe_keys=dedupe_keys)
+    return trailing_features(star.issues(spark, sf, body), _one_read(spark, sf), dedupe_keys=dedupe_keys)
 
 
 def _signal_columns(df: DataFrame) -> DataFrame:
@@ -61,11 +65,10 @@ def scan_issues(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sample_shards(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of the first three of eight shards."""
+    """Rows of the first three of eight shards, each of several files."""
     path = session.scratch_dir(spark, "shards")
     shard = (F.col("issue_id") % 8).alias("shard")
-    sharded = star.issues(spark, sf).select("*", shard).repartition(8, "shard")
-    tables.export_shards(sharded, path, partition_by=["shard"])
+    tables.export_shards(star.issues(spark, sf).select("*", shard), path, max_records=1_000, partition_by=["shard"])
     return shards.read_smoke(spark, path, ["issue_id", "label"])
 
 
@@ -160,7 +163,8 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def train_val_split(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.with_holdout(_sample(spark, sf), "issue_id").select("issue_id", "label", "part")
+    parts = sampled.sampled_parts(_train(star.issues(spark, sf)), "issue_id", star.SAMPLE_TARGET)
+    return parts.select("issue_id", "label", "part")
 
 
 # Trailing windows
@@ -181,7 +185,7 @@ def signals_window(spark: SparkSession, sf: str) -> DataFrame:
     """The window pass itself: one row per repository and issue day."""
     known = star.issues(spark, sf).where(F.col("repo_name").isNotNull())
     days = known.select("repo_name", scalars.day_number(F.col("issue_date")).alias("_day"))
-    found = window_features(days, _feeds(spark, sf), "repo_name")
+    found = window_features(days, _one_read(spark, sf), "repo_name")
     counts = [s for s in fixed.SIGNALS if s != "avg_merge_hours_30d"]
     return _rounded(
         found.select(
@@ -206,7 +210,8 @@ def issues_with_signals_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def row_parity(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.row_parity(star.issues(spark, sf), _signals(spark, sf))
+    stored = tables.materialize(_signals(spark, sf), session.scratch_dir(spark, "joined"))
+    return quality.row_parity(star.issues(spark, sf), stored)
 
 
 def spot_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,7 +232,8 @@ def signal_zero_fraction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def no_leakage(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.window_lags(star.issues(spark, sf), _feeds(spark, sf))
+    stored = tables.materialize(_signals(spark, sf), session.scratch_dir(spark, "joined"))
+    return quality.leakage(stored, _feeds(spark, sf))
 
 
 # Metrics
@@ -258,21 +264,43 @@ def model_ladder(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(metrics.model_ladder(scored, models), "accuracy", "macro_f1", "weighted_f1")
 
 
+def unscored_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """Report and ladder where every 13th prediction is missing and every 17th is no label at all."""
+    key = F.col("issue_id")
+    pred = F.when(key % 13 == 0, F.lit(None)).when(key % 17 == 0, F.lit("Later")).otherwise(F.col("pred_label"))
+    pairs = star.predictions(spark, sf).withColumn("holed", pred)
+    cells = metrics.confusion_matrix(pairs, pred="holed", unscored=True)
+    lines = metrics.classification_report(cells).select("class", "recall", "f1", "support")
+    missing = metrics.no_prediction(cells)
+    nothing = F.lit(None).cast("double")
+    lines = lines.unionByName(
+        missing.select(F.lit("no prediction").alias("class"), nothing.alias("recall"), nothing.alias("f1"), F.col("unscored").alias("support"))
+    )
+    ladder = metrics.model_ladder(pairs, {"ladder": "holed"}).select(
+        F.col("model").alias("class"), F.col("accuracy").alias("recall"), F.col("macro_f1").alias("f1"), F.col("n").alias("support")
+    )
+    return _rounded(lines.unionByName(ladder), "recall", "f1")
+
+
 def argmax_label(spark: SparkSession, sf: str) -> DataFrame:
-    """Class scores are the sums of four quarters of the embedding."""
-    values = F.col("embedding").cast("array<double>")
-    quarter = lambda q: F.aggregate(F.slice(values, 16 * q + 1, 16), F.lit(0.0), lambda a, x: a + x)
+    """Class scores are the sums of four quarters of the embedding, whatever its width."""
+    values, width = F.col("embedding").cast("array<double>"), F.size("embedding")
+
+    def quarter(q: int) -> Column:
+        first, last = F.floor(width * q / 4).cast("int"), F.floor(width * (q + 1) / 4).cast("int")
+        return F.aggregate(F.slice(values, first + 1, last - first), F.lit(0.0), lambda a, x: a + x)
+
     best = scalars.argmax(F.array(*[quarter(q) for q in range(4)]))
     chosen = star.table(spark, sf, "embeddings").select("vec_id", best.alias("pred_id"))
     return chosen.withColumn("pred_label", scalars.label_name(F.col("pred_id")))
 
 
 def stream_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    """Confusion matrix from a stream over prediction shards, three shards per batch."""
+    """Confusion matrix from a stream over prediction shards."""
     path, out = session.scratch_dir(spark, "shards"), session.scratch_dir(spark, "cells")
-    tables.export_shards(star.predictions(spark, sf).repartition(8, "issue_id"), path)
+    tables.export_shards(star.predictions(spark, sf), path)
     schema = spark.read.parquet(path).schema
-    stream = shard_scoring.shard_stream(spark, path, schema, shards_per_batch=3)
+    stream = shard_scoring.shard_stream(spark, path, schema)
     run = shard_scoring.start_evaluation(
         stream, lambda batch: batch, out, session.scratch_dir(spark, "stream-state")
     )
@@ -315,8 +343,12 @@ def token_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hashed_tf(spark: SparkSession, sf: str) -> DataFrame:
-    documents = star.documents(spark, sf)
-    return PipelineModel(stages=vectors.text_stages()).transform(documents).select("doc_id", "text_vector")
+    """What the hashed vector of the models keeps of each document: its terms, and unit length."""
+    counted = text.hashed_counts(F.col("text"), text.bucket_murmur)
+    rows = star.documents(spark, sf).select("doc_id", counted.alias("counted"), text.l2_weights(counted).alias("scaled"))
+    terms = F.aggregate("counted", F.lit(0).cast("long"), lambda total, b: total + b["n"])
+    squares = F.aggregate("scaled", F.lit(0.0), lambda total, b: total + b["weight"] * b["weight"])
+    return rows.select("doc_id", terms.alias("n_terms"), F.round(F.sqrt(squares), 6).alias("length"))
 
 
 def assembled_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -341,38 +373,89 @@ def _scored_text(spark: SparkSession, sf: str, spec: training.LinearSpec) -> Dat
     return training.fit_linear(_train(rows), spec).predict(_test(rows), keep=["issue_id"])
 
 
-def _report(pairs: DataFrame) -> DataFrame:
-    lines = metrics.classification_report(metrics.confusion_matrix(pairs))
-    return _rounded(lines, "precision", "recall", "f1")
+#: A text model's macro-F1 must be so many times that of always naming the commonest class.
+MARGIN = 1.1
+
+
+def _judged(pairs: DataFrame, labels: Sequence[str] = fixed.LABELS, margin: float = MARGIN) -> DataFrame:
+    """(class, support, recounted, learnt): per class its rows, whether the report agrees with a plain recount of the
+    stored predictions, and whether the model's macro-F1 is well above that of the commonest class."""
+    stored = tables.materialize(pairs, session.scratch_dir(pairs.sparkSession, "pairs"))
+    cells = metrics.confusion_matrix(stored, labels=labels, unscored=True)
+    lines = metrics.classification_report(cells).alias("l")
+    hit = F.col("true_label") == F.col("pred_label")
+    again = stored.groupBy(F.col("true_label").alias("class")).agg(
+        F.count(F.lit(1)).alias("rows"), (F.count_if(hit) / F.count(F.lit(1))).alias("found")
+    )
+    total, most = F.sum("rows").over(Window.partitionBy()), F.max("rows").over(Window.partitionBy())
+    share = most / total
+    again = again.select("class", "rows", "found", (2 * share / (1 + share) / len(labels)).alias("constant"))
+    macro = lines.where(F.col("class") == "macro avg").select(F.col("f1").alias("macro"))
+    same = (F.col("support") == F.col("rows")) & (F.abs(F.col("recall") - F.col("found")) < 1e-9)
+    return (
+        lines.where(F.col("class").isin(*labels))
+        .join(again, "class")
+        .crossJoin(F.broadcast(macro))  # one row
+        .select("class", "support", same.alias("recounted"), (F.col("macro") > margin * F.col("constant")).alias("learnt"))
+    )
 
 
 def lr_text(spark: SparkSession, sf: str) -> DataFrame:
-    return _report(_scored_text(spark, sf, training.LinearSpec()))
+    return _judged(_scored_text(spark, sf, training.LinearSpec()))
 
 
 def lr_text_one_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
-    return _report(_scored_text(spark, sf, training.LinearSpec(form="one_vs_rest")))
+    return _judged(_scored_text(spark, sf, training.LinearSpec(form="one_vs_rest")))
 
 
 def lr_text_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return _report(_scored_text(spark, sf, training.LinearSpec(signals=True)))
+    return _judged(_scored_text(spark, sf, training.LinearSpec(signals=True)))
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    known = F.coalesce(F.col("pred_label").isin(*fixed.LABELS), F.lit(False))
+    return pairs.select("issue_id", "true_label", known.alias("named"))
 
 
 def lr_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored_text(spark, sf, training.LinearSpec())
+    """Every test row, and whether it got one of the labels."""
+    return _named(_scored_text(spark, sf, training.LinearSpec()))
+
+
+def saved_model_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """The test split scored by a model that was saved and loaded again."""
+    rows, path = star.issues(spark, sf, body=True), session.scratch_dir(spark, "model")
+    training.fit_linear(_train(rows), training.LinearSpec(iterations=3)).save(path)
+    return _named(training.load_model(spark, path).predict_stored(_test(rows), ["issue_id"]))
+
+
+def sampled_training(spark: SparkSession, sf: str) -> DataFrame:
+    """The sampled run from sample to report: (item, value) for sample, holdout, class weights and test support."""
+    rows = star.issues(spark, sf, body=True)
+    specs = [training.LinearSpec(l2=v, iterations=3) for v in (1e-4, 1e-2)]
+    run = sampled.train_sampled(_train(rows), _test(rows), "issue_id", specs, star.SAMPLE_TARGET)
+    part = F.concat(F.lit("part "), F.col("part"))
+    value = F.count(F.lit(1)).cast("double").alias("value")
+    lines = run.parts.groupBy(part.alias("item")).agg(value)
+    weights_ = run.weights.select(F.concat(F.lit("weight "), F.col("label")).alias("item"), F.round("weight", 6).alias("value"))
+    support = metrics.class_scores(metrics.confusion_matrix(run.pairs, unscored=True))
+    support = support.select(F.concat(F.lit("test "), F.col("class")).alias("item"), F.col("support").cast("double").alias("value"))
+    return lines.unionByName(weights_).unionByName(support)
 
 
 def model_selection(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates by macro-F1 on the holdout of the stratified sample."""
     rows = _train(star.issues(spark, sf, body=True))
-    sample = sampling.stratified_sample(rows, "issue_id", star.SAMPLE_TARGET)
-    parts = splits.with_holdout(sample, "issue_id")
+    parts = sampled.sampled_parts(rows, "issue_id", star.SAMPLE_TARGET)
+    parts = tables.materialize(parts, session.scratch_dir(spark, "parts"))
     specs = [training.LinearSpec(l2=v, iterations=5) for v in (1e-4, 1e-2)]
     found = training.select_linear(
         parts.where(F.col("part") == "train"), parts.where(F.col("part") == "val"), specs
     )
-    lines = [(c.name, c.model.spec.l2, c.macro_f1, i == 0) for i, c in enumerate(found)]
-    return spark.createDataFrame(lines, "candidate string, l2 double, macro_f1 double, best boolean")
+    held = parts.where(F.col("part") == "val").count()
+    best = max(c.macro_f1 for c in found)
+    lines = [(c.name, c.model.spec.l2, held, found[0].macro_f1 == best and 0 <= c.macro_f1 <= 1) for c in found]
+    return spark.createDataFrame(lines, "candidate string, l2 double, val_rows long, best_first boolean")
 
 
 def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -399,13 +482,12 @@ def embedding_signals_lr(spark: SparkSession, sf: str) -> DataFrame:
     issues = _signals(spark, sf).select("issue_id", *flags, *logs)
     numeric = issues.columns[1:]
     embeddings = star.table(spark, sf, "embeddings").withColumn("label", F.col("label").cast("string"))
-    rows = embeddings.join(issues, F.col("vec_id") == F.col("issue_id"))
+    rows = embeddings.join(issues, F.col("vec_id") == F.col("issue_id"), "left").fillna(0, numeric)
     rows = tables.materialize(rows, session.scratch_dir(spark, "embedding_rows"))
     held_out = scalars.bucket_fraction(F.col("vec_id")) < 0.1
     model = training.fit_embedding_head(rows.where(~held_out), "embedding", numeric, labels)
     scored = training.predict_head(model, rows.where(held_out), "embedding")
-    cells = metrics.confusion_matrix(scored, labels=labels)
-    return _rounded(metrics.classification_report(cells), "precision", "recall", "f1")
+    return _judged(scored, labels, margin=0.0).drop("learnt")
 
 
 def batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
@@ -425,7 +507,7 @@ def batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
 def eval_report(spark: SparkSession, sf: str) -> DataFrame:
     """The printed report, written to a folder and read back line by line."""
     path = session.scratch_dir(spark, "report")
-    made = report.evaluate(star.predictions(spark, sf), "Stand-in predictions", ["Test split only"])
+    made = report.evaluate(star.predictions(spark, sf), "Stand-in predictions", report.header({"test": None}, CUTS))
     report.write_report(spark, made, path)
     return spark.read.text(path)
 
@@ -465,6 +547,7 @@ QUERIES: dict[str, Query] = {
     "classification_report": classification_report,
     "macro_f1": macro_f1,
     "model_ladder": model_ladder,
+    "unscored_evaluation": unscored_evaluation,
     "argmax_label": argmax_label,
     "stream_evaluation": stream_evaluation,
     "tokens": tokens,
@@ -478,6 +561,8 @@ QUERIES: dict[str, Query] = {
     "lr_text_one_vs_rest": lr_text_one_vs_rest,
     "lr_text_signals": lr_text_signals,
     "lr_predictions": lr_predictions,
+    "saved_model_scoring": saved_model_scoring,
+    "sampled_training": sampled_training,
     "model_selection": model_selection,
     "model_roundtrip": model_roundtrip,
     "embedding_signals_lr": embedding_signals_lr,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -19,17 +19,18 @@ class Report:
     lines: dict[str, tuple]
     cells: dict[tuple[str, str], int]
     labels: tuple[str, ...]
+    unscored: int = 0
 
     def text(self) -> str:
         """The printed report: heading, macro-F1, per-class table, confusion matrix."""
-        out = [self.title, *self.notes, "=" * 60, f"Macro-F1: {self.macro_f1:.4f}", ""]
-        out += [f"{'':>12}{'precision':>11}{'recall':>10}{'f1-score':>10}{'support':>10}", ""]
+        out = [self.title, *self.notes, "-" * 53, f"macro F1 {self.macro_f1:.4f}, without prediction {self.unscored}", ""]
+        out += [f"{'class':>12}{'precision':>11}{'recall':>10}{'F1':>10}{'rows':>10}", ""]
         for name in self.labels:
             out.append(self._row(name))
         out.append("")
         for name in ("accuracy", "macro avg", "weighted avg"):
             out.append(self._row(name))
-        out += ["", "Confusion matrix (rows=true, cols=pred)", f"Order: {list(self.labels)}"]
+        out += ["", f"true class down, predicted class across: {', '.join(self.labels)}"]
         for t in self.labels:
             out.append(" ".join(f"{self.cells[t, p]:>9}" for p in self.labels))
         return "\n".join(out) + "\n"
@@ -45,7 +46,7 @@ def evaluate(
 ) -> Report:
     """Count the pairs where they lie; the driver sees the cells only."""
     spark = pairs.sparkSession
-    counted = metrics.confusion_matrix(pairs, labels=labels).collect()
+    counted = metrics.confusion_matrix(pairs, labels=labels, unscored=True).collect()
     cells = spark.createDataFrame(counted, "true_label string, pred_label string, n bigint")
     lines = {r["class"]: (r.precision, r.recall, r.f1, r.support) for r in metrics.classification_report(cells).collect()}
     return Report(
@@ -53,11 +54,21 @@ def evaluate(
         tuple(notes),
         float(metrics.macro_f1(cells).first()["macro_f1"]),
         lines,
-        {(r.true_label, r.pred_label): r.n for r in counted},
+        {(r.true_label, r.pred_label): r.n for r in counted if r.pred_label is not None},
         tuple(labels),
+        sum(r.n for r in counted if r.pred_label is None),
     )
 
 
+def header(
+    counts: Mapping[str, int | None], cuts: Mapping[str, str], signals: Sequence[str] = (), notes: Sequence[str] = ()
+) -> list[str]:
+    """Heading lines: rows by split (only the name where the number is None), split dates, signals, other notes."""
+    shown = ", ".join(name if n is None else f"{name} {n}" for name, n in counts.items())
+    lines = [f"rows: {shown}", "cuts: " + ", ".join(f"{k} {v}" for k, v in cuts.items())]
+    return lines + ([f"signals: {', '.join(signals)}"] if signals else []) + list(notes)
+
+
 def write_report(spark, report: Report, path: str) -> None:
     """Store the text as one file in a folder on the job's file system."""
     text = spark.createDataFrame([(report.text(),)], "value string")

@@ -27,12 +27,13 @@ from tidemark.operators import metrics, weights
 from tidemark.sources import tables
 
 
-DRIVER_GRADIENT_BYTES = 256 * 1024 * 1024
-
-
 @dataclass(frozen=True)
 class LinearSpec:
-    """``form`` is softmax (one weighted multinomial fit) or one_vs_rest (a binary fit per label)."""
+    """``form`` is softmax (one weighted multinomial fit) or one_vs_rest (a binary fit per label).
+
+    ``depth`` is that of the tree that adds gradients up. One is labels x buckets doubles, 8 MB at 4 x 2^18, and the
+    driver sees about tasks^(1/depth) of them at once: 3 keeps 30,000 tasks under 256 MB.
+    """
 
     signals: bool = False
     form: str = "softmax"
@@ -40,31 +41,20 @@ class LinearSpec:
     l2: float = 1e-4
     buckets: int = fixed.HASH_BUCKETS
     labels: tuple[str, ...] = tuple(fixed.LABELS)
+    depth: int = 3
 
     def __post_init__(self) -> None:
         if self.form not in ("softmax", "one_vs_rest"):
             raise ValueError(f"unknown form: {self.form}")
 
-    def aggregation_depth(self, tasks: int) -> int:
-        """Depth of the gradient tree for a fit over ``tasks`` partitions.
-
-        A gradient is labels x buckets doubles, 8 MB at 4 x 2^18. The last level of a tree of
-        depth d has about tasks^(1/d) of them, and these must fit on the driver.
-        """
-        gradient = 8 * self.buckets * (len(self.labels) if self.form == "softmax" else 1)
-        depth = 2
-        while depth < 6 and tasks ** (1 / depth) * gradient > DRIVER_GRADIENT_BYTES:
-            depth += 1
-        return depth
-
-    def classifier(self, tasks: int) -> Estimator:
+    def classifier(self) -> Estimator:
         base = LogisticRegression(
             featuresCol="features",
             labelCol="label_id",
             maxIter=self.iterations,
             regParam=self.l2,
             standardization=False,
-            aggregationDepth=self.aggregation_depth(tasks),
+            aggregationDepth=self.depth,
             family="multinomial" if self.form == "softmax" else "binomial",
         )
         if self.form == "softmax":
@@ -96,6 +86,11 @@ class LinearModel:
         kept = [*keep, "true_label"]
         return self.predict_vectors(vectors.as_vectors(self.spec.features(named, kept)), kept)
 
+    def predict_stored(self, rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """The same from a feature table written first: no Python worker, and a re-run starts from files."""
+        kept = [*keep, "true_label"]
+        return self.predict_vectors(feature_table(rows.withColumn("true_label", F.col("label")), self.spec, kept), kept)
+
     def save(self, path: str) -> None:
         """Write the classifier and the spec; replaces an earlier model."""
         self.classifier.write().overwrite().save(f"{path}/classifier")
@@ -141,7 +136,7 @@ def fit_linear(train: DataFrame, spec: LinearSpec = LinearSpec(), path: str | No
 
 def fit_vectors(ready: DataFrame, spec: LinearSpec) -> LinearModel:
     """Fit on a feature table with label_id and weight."""
-    return LinearModel(spec, spec.classifier(ready.rdd.getNumPartitions()).fit(ready))
+    return LinearModel(spec, spec.classifier().fit(ready))
 
 
 class MacroF1Evaluator(Evaluator):
@@ -157,7 +152,7 @@ class MacroF1Evaluator(Evaluator):
         self.true, self.pred, self.labels = true, pred, list(labels)
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        cells = metrics.confusion_matrix(dataset, self.true, self.pred, self.labels)
+        cells = metrics.confusion_matrix(dataset, self.true, self.pred, self.labels, unscored=True)
         return float(metrics.macro_f1(cells).first()["macro_f1"])
 
     def isLargerBetter(self) -> bool:

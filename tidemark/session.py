@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+#: Folders of the runs under way; the innermost holds new intermediates.
+_RUN: list[str] = []
 
 _SQL_SETTINGS = {
     # Dates are UTC days everywhere.
@@ -55,13 +59,43 @@ def shuffle_partitions_for(input_bytes: int, cores: int) -> int:
     return max(2 * cores, -(-input_bytes // TARGET_PARTITION_BYTES))
 
 
+def _folder(spark: SparkSession, path: str):
+    """The store's handle for ``path``, and its own form of it."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), name
+
+
+def size_shuffles(spark: SparkSession, paths: list[str]) -> int:
+    """Let shuffles begin with enough partitions for the inputs; adaptive execution merges the surplus."""
+    total = 0
+    for path in paths:
+        store, name = _folder(spark, path)
+        total += store.getContentSummary(name).getLength() if store.exists(name) else 0
+    wanted = shuffle_partitions_for(total, spark.sparkContext.defaultParallelism)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+    return wanted
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[None]:
+    """Intermediates made inside lie in one folder, which goes when the run ends."""
+    path = scratch_dir(spark, "run")
+    _RUN.append(path)
+    try:
+        yield
+    finally:
+        _RUN.remove(path)
+        store, name = _folder(spark, path)
+        store.delete(name, True)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """New folder for a written intermediate, under the cluster's ``spark.checkpoint.dir``.
 
     Executors must be able to read what other executors wrote, so a machine-local
     folder is used only where there is one machine (a local master with the setting unset).
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = _RUN[-1] if _RUN else spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
         if not master.startswith("local"):

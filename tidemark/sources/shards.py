@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,15 +20,27 @@ def read_shards(
 ) -> DataFrame:
     """All Parquet shards under ``path``. Raises ``AnalysisException`` when there are none.
 
-    ``columns`` prunes the scan. ``first`` keeps the first n shards by name, for smoke runs;
-    only file names pass through the driver, which lists them anyway to plan the scan.
+    ``columns`` prunes the scan. ``first`` keeps all files of the first n shards by name, for smoke
+    runs: a shard is a folder of a partitioned export, or in a flat one what a task wrote, however many
+    files that took. Only file names pass through the driver, which lists them anyway to plan the scan.
     """
     df = spark.read.parquet(path)
     if first is not None:
-        df = spark.read.schema(df.schema).parquet(*sorted(df.inputFiles())[:first])
+        files = sorted(df.inputFiles())
+        root = os.path.commonpath(files) if len(files) > 1 else os.path.dirname(files[0])
+        names = {f: shard_name(f, root) for f in files}
+        wanted = set(sorted(set(names.values()))[:first])
+        chosen = [f for f in files if names[f] in wanted]
+        df = spark.read.schema(df.schema).option("basePath", path).parquet(*chosen)
     return df.select(*columns) if columns else df
 
 
+def shard_name(file: str, root: str) -> str:
+    """The shard a file belongs to: its folder below ``root``, or its name without the file counter."""
+    folder = os.path.dirname(file)
+    return folder if folder != root else re.sub(r"[-.]c[0-9]+(?=[.])", "", file)
+
+
 def read_smoke(spark: SparkSession, path: str, columns: Sequence[Column | str] | None = None) -> DataFrame:
     return read_shards(spark, path, columns, first=fixed.SMOKE_SHARDS)
 
@@ -40,12 +54,3 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """
     place = F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
     return df.select("*", place.alias(name))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer tasks than cores (a few small files) over all cores.
-
-    A scan of cluster size has more tasks than cores and comes back as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

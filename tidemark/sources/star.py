@@ -5,33 +5,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tidemark.sources.shards import spread
 
 TRAIN_END = "2000-01-01"
 TEST_END = "2001-01-01"
+#: Rows that the test queries sample; the production target is ``fixed.SAMPLE_TARGET``.
 SAMPLE_TARGET = 3_000
 SPOT_REPO = "NATION_7"
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. Its schema is read once: every inference is a job of its own."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def issues(spark: SparkSession, sf_dir: str, body: bool = False) -> DataFrame:
     """Issues; ``body`` adds the document text, which most queries do not need."""
     orders = table(spark, sf_dir, "orders")
-    if body:
-        # The text work comes after this join: give it all cores while the rows are narrow.
-        orders = spread(orders)
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     key, priority, segment = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("c_mktsegment")
@@ -66,7 +54,7 @@ def issues(spark: SparkSession, sf_dir: str, body: bool = False) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +105,22 @@ def daily_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [_pr(active), _push(active), _release(active), _watch(active)]
 
 
+def activity_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of all four daily tables in one row per (repository, day), from one read."""
+    merged = F.col("l_returnflag") == "R"
+    return (
+        activity(spark, sf_dir)
+        .groupBy("repo_name", "date")
+        .agg(
+            F.count_if(merged).alias("pr_merged_count"),
+            F.avg(F.when(merged, F.col("l_quantity"))).alias("avg_hours_to_merge"),
+            F.count_if(F.col("l_linestatus") == "F").alias("push_count"),
+            F.count_if(F.col("l_linenumber") == 7).alias("release_count"),
+            F.sum("l_quantity").cast("long").alias("star_count"),
+        )
+    )
+
+
 def pr_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pr(activity(spark, sf_dir))
 

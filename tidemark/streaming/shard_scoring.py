@@ -1,6 +1,6 @@
 """Evaluation over a growing folder of shards with bounded memory.
 
-A structured stream takes a few shards per micro-batch, scores them and writes their confusion
+A structured stream takes the shards that came since its last run, scores them and writes their confusion
 counts, at most one row per cell. A batch that runs again after a failure replaces its own
 output, so each shard counts once.
 """
@@ -28,13 +28,15 @@ _CELLS = T.StructType(
 )
 
 
-def shard_stream(spark: SparkSession, path: str, schema: T.StructType, shards_per_batch: int) -> DataFrame:
-    """Shards of a folder as a stream, each delivered once, in arrival order."""
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", shards_per_batch)
-        .parquet(path)
-    )
+def shard_stream(spark: SparkSession, path: str, schema: T.StructType, shards_per_batch: int | None = None) -> DataFrame:
+    """Shards of a folder as a stream, each delivered once, in arrival order.
+
+    A batch takes all shards that are there, and so the whole cluster, unless ``shards_per_batch`` bounds it.
+    """
+    reader = spark.readStream.schema(schema)
+    if shards_per_batch:
+        reader = reader.option("maxFilesPerTrigger", shards_per_batch)
+    return reader.parquet(path)
 
 
 def start_evaluation(
