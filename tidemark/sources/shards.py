@@ -27,18 +27,17 @@ def read_shards(
     df = spark.read.parquet(path)
     if first is not None:
         files = sorted(df.inputFiles())
-        root = os.path.commonpath(files) if len(files) > 1 else os.path.dirname(files[0])
-        names = {f: shard_name(f, root) for f in files}
+        flat = len({os.path.dirname(f) for f in files}) == 1
+        names = {f: shard_name(f, flat) for f in files}
         wanted = set(sorted(set(names.values()))[:first])
         chosen = [f for f in files if names[f] in wanted]
         df = spark.read.schema(df.schema).option("basePath", path).parquet(*chosen)
     return df.select(*columns) if columns else df
 
 
-def shard_name(file: str, root: str) -> str:
-    """The shard a file belongs to: its folder below ``root``, or its name without the file counter."""
-    folder = os.path.dirname(file)
-    return folder if folder != root else re.sub(r"[-.]c[0-9]+(?=[.])", "", file)
+def shard_name(file: str, flat: bool) -> str:
+    """The shard a file belongs to: its folder, or in a ``flat`` export its name without the file counter."""
+    return re.sub(r"[-.]c[0-9]+(?=[.])", "", file) if flat else os.path.dirname(file)
 
 
 def read_smoke(spark: SparkSession, path: str, columns: Sequence[Column | str] | None = None) -> DataFrame:
