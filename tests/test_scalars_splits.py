@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 from tidemark.functions import scalars
 from tidemark.operators import sampling, splits, weights
+from tidemark.plans import sampled
 from tidemark.sources import star
 
 
@@ -96,6 +97,12 @@ def test_sample_does_not_depend_on_layout(spark, sf_dir):
     assert 400 < len(ids(base)) < 600
 
 
+def test_holdout_reads_the_written_sample_only(spark, sf_dir):
+    parts = sampled.sampled_parts(splits.train_rows(star.issues(spark, sf_dir), train_end=star.TRAIN_END), "issue_id", 500)
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "sample-" in plan and "orders.parquet" not in plan
+
+
 @pytest.mark.parametrize("n, size", [(100, 99), (400, 399), (501, 500), (7_000, 700), (1, 0)])
 def test_holdout_size(spark, n, size):
     df = splits.with_holdout(spark.range(n).withColumnRenamed("id", "k"), "k")

@@ -517,6 +517,11 @@ ORACLES: dict[str, str] = {
     "lr_text_one_vs_rest": _with(["predictions"], _TEST_SUPPORT),
     "lr_text_signals": _with(["predictions"], _TEST_SUPPORT),
     "lr_predictions": _with(["predictions"], _TEST_ROWS),
+    "fitted_ladder": _with(
+        ["predictions"],
+        "SELECT m.model, (SELECT COUNT(*) FROM predictions) AS n, CAST(0 AS BIGINT) AS unscored, m.model <> 'commonest' AS above "
+        "FROM (VALUES ('text'), ('text_signals'), ('commonest')) m(model)",
+    ),
     "saved_model_scoring": _with(["predictions"], _TEST_ROWS),
     "model_selection": _with(
         ["train"],

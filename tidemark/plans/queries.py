@@ -443,6 +443,22 @@ def sampled_training(spark: SparkSession, sf: str) -> DataFrame:
     return lines.unionByName(weights_).unionByName(support)
 
 
+def fitted_ladder(spark: SparkSession, sf: str) -> DataFrame:
+    """Fitted text and text-and-signals models and the commonest training class on one test split:
+    (model, n, unscored, above), above: macro-F1 over that of the commonest class."""
+    rows = _signals(spark, sf, body=True)
+    scored = None
+    for name, signals in (("text", False), ("text_signals", True)):
+        model = training.fit_linear(_train(rows), training.LinearSpec(signals=signals, iterations=3, buckets=2**14))
+        found = model.predict_stored(_test(rows), ["issue_id"]).withColumnRenamed("pred_label", name)
+        scored = found if scored is None else scored.join(found.drop("true_label"), "issue_id")
+    common = weights.label_counts(_train(rows)).orderBy(F.desc("n"), "label").first()["label"]
+    stored = tables.materialize(scored.withColumn("commonest", F.lit(common)), session.scratch_dir(spark, "scored"))
+    ladder = metrics.model_ladder(stored, {n: n for n in ("text", "text_signals", "commonest")})
+    floor = F.max(F.when(F.col("model") == "commonest", F.col("macro_f1"))).over(Window.partitionBy())
+    return ladder.select("model", "n", "unscored", (F.col("macro_f1") > floor).alias("above"))
+
+
 def model_selection(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates by macro-F1 on the holdout of the stratified sample."""
     rows = _train(star.issues(spark, sf, body=True))
@@ -562,6 +578,7 @@ QUERIES: dict[str, Query] = {
     "lr_text_signals": lr_text_signals,
     "lr_predictions": lr_predictions,
     "saved_model_scoring": saved_model_scoring,
+    "fitted_ladder": fitted_ladder,
     "sampled_training": sampled_training,
     "model_selection": model_selection,
     "model_roundtrip": model_roundtrip,
