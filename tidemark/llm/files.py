@@ -13,12 +13,34 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.session import scratch_dir
 
 
-def settled(df: DataFrame, purpose: str, partition_by: str | None = None) -> DataFrame:
-    """The rows, written once to the shared folder: later steps start from files, whatever executors are lost."""
-    path = scratch_dir(df.sparkSession, purpose)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark then deletes an execution's shuffle files when it ends, instead of when the driver collects its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows, written once to the shared folder: later steps start from files, whatever executors are lost.
+
+    The write's own shuffle files go with it, so that the executors' disks hold those of one step at a time. A lost
+    executor during the write is dealt with as usual; after it, nothing needs them.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``settled`` wrote; nothing may read them any more."""
+    for table in tables:
+        path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

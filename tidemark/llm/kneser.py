@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.llm.files import local_name, mapped, put, settled, shared_folder
+from tidemark.llm.files import drop, local_name, mapped, put, settled, shared_folder
 
 #: Bytes of text in a shard, and bytes counted in a task before pairs are sent off.
 SHARD_BYTES, FLUSH_BYTES = 16 << 20, 16 << 20
@@ -28,6 +28,8 @@ _SENT = "shard int, contexts binary, runs binary, words binary, counts binary"
 #: Sums of a word: tokens after it, different words after it once, twice, 3 and 4 times, and in all; different words
 #: before it; its tokens.
 _SUMS = ("total", "one", "two", "three", "four", "kinds", "before", "count")
+#: What scoring needs of them.
+_KEPT = ("total", "one", "two", "kinds", "before", "count")
 _STATS = "shard int, word long, " + ", ".join(f"{n} long" for n in _SUMS)
 _COUNTS = ("words", "tokens", "pairs", "c1", "c2", "c3", "c4", "b1", "b2", "b3", "b4")
 
@@ -56,6 +58,25 @@ def _heads(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, dtype=np.int64)
 
 
+def _packed(hashes: np.ndarray, columns: list[np.ndarray]) -> Iterator[bytes]:
+    """A file: its rows, a width in bytes for each column (the least that holds it), sorted hashes, columns."""
+    narrow = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in columns]
+    yield np.array([len(hashes), *(c.itemsize for c in narrow)], dtype="<i8").tobytes()
+    yield hashes.astype("<u8").tobytes()
+    for c in narrow:
+        yield c.tobytes()
+
+
+def _unpacked(data: np.ndarray, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    n, *widths = data[: 8 * (columns + 1)].view("<i8").tolist()
+    at = 8 * (columns + 1) + 8 * n
+    parts = []
+    for width in widths:
+        parts.append(data[at : at + n * width].view(f"<u{width}"))
+        at += n * width
+    return data[8 * (columns + 1) : 8 * (columns + 1) + 8 * n].view("<u8"), parts
+
+
 def _count(shards: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
@@ -63,6 +84,7 @@ def _count(shards: int):
 
         def flush() -> pa.RecordBatch:
             contexts, targets = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
+            waiting.clear()
             _, first, n = np.unique(keys := _key(contexts, targets), return_index=True, return_counts=True)
             shard = _shard(keys[first], shards)  # rises with the key
             cuts = np.searchsorted(shard, np.arange(shards + 1))
@@ -110,7 +132,7 @@ def _merge(folder: str, shards: int):
         n = _summed(order, counts, heads)
         first = order[heads]
         keys, contexts, targets = keys[first], contexts[first], targets[first]
-        put(f"{folder}/pairs-{shard:09d}", [np.int64(len(keys)).tobytes(), keys.tobytes(), n.astype("<u8").tobytes()])
+        put(f"{folder}/pairs-{shard:09d}", _packed(keys, [n]))
 
         order = np.argsort(contexts)
         heads = _heads(contexts[order])
@@ -140,8 +162,8 @@ def _store(folder: str):
             shard = table.column("shard")[0].as_py()
             word = table.column("word").to_numpy().view(np.uint64)
             order = np.argsort(word)
-            sums = {n: table.column(n).to_numpy()[order].astype("<u8") for n in _SUMS}
-            put(f"{folder}/words-{shard:09d}", [np.int64(len(word)).tobytes(), word[order].tobytes(), *(v.tobytes() for v in sums.values())])
+            sums = {n: table.column(n).to_numpy()[order] for n in _SUMS}
+            put(f"{folder}/words-{shard:09d}", _packed(word[order], [sums[n] for n in _KEPT]))
             row = [(sums["count"] > 0).sum(), sums["count"].sum(), sums["kinds"].sum()]
             row += [sums[n].sum() for n in ("one", "two", "three", "four")] + [(sums["before"] == k).sum() for k in (1, 2, 3, 4)]
             return pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in row], list(_COUNTS))
@@ -192,12 +214,10 @@ class Model:
             if len(self.open) >= 512:
                 self.open.clear()
             if (name := local_name(path)) and not os.path.exists(name):
-                data = np.zeros(8, dtype=np.uint8)
+                data = np.frombuffer(np.array([0, *[1] * columns], dtype="<i8").tobytes(), dtype=np.uint8)
             else:
                 data = mapped(path)
-            n = int(data[:8].view("<i8")[0])
-            parts = [data[8 + 8 * n * i : 8 + 8 * n * (i + 1)].view("<u8") for i in range(columns + 1)]
-            self.open[path] = (parts[0], parts[1:])
+            self.open[path] = _unpacked(data, columns)
         return self.open[path]
 
     def look_up(self, kind: str, hashes: np.ndarray, columns: int) -> np.ndarray:
@@ -218,7 +238,7 @@ class Model:
         """Of each text: tokens, known tokens, base score and score, both log10."""
         contexts, targets, bounds = _pairs(*words.hashed(column, lower=True))
         distinct, which = np.unique(np.concatenate([contexts, targets]), return_inverse=True)
-        own = dict(zip(_SUMS, self.look_up("words", distinct, len(_SUMS)), strict=True))
+        own = dict(zip(_KEPT, self.look_up("words", distinct, len(_KEPT)), strict=True))
         context, target = which[: len(contexts)], which[len(contexts) :]
         pairs, pair = np.unique(_key(contexts, targets), return_inverse=True)
         n = self.look_up("pairs", pairs, 1)[0][pair]
@@ -247,10 +267,12 @@ def fit(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
     total = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     shards, folder = max(1, -(-total // shard_bytes)), shared_folder(spark, "kneser")
     sent = texts.select("text").mapInArrow(_count(shards), _SENT)
-    partial = sent.groupBy("shard").applyInArrow(_merge(folder, shards), _STATS)
+    # Written, so that the shuffled pairs can go before words are summed.
+    partial = settled(sent.groupBy("shard").applyInArrow(_merge(folder, shards), _STATS), "stats")
     dealt = partial.repartition("shard").groupBy("shard", "word").agg(*(F.sum(n).alias(n) for n in _SUMS))
     stored = dealt.sortWithinPartitions("shard", "word").mapInArrow(_store(folder), ", ".join(f"{n} long" for n in _COUNTS))
     row = settled(stored, "sums").agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _COUNTS)).first()
+    drop(partial)
     pair, word = discounts(row.c1, row.c2, row.c3, row.c4), discounts(row.b1, row.b2, row.b3, row.b4)
     more = row.words - row.b1 - row.b2
     rest = (word[0] * row.b1 + word[1] * row.b2 + word[2] * more) / row.pairs if row.pairs else 1.0
