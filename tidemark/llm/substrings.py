@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
+from tidemark.llm.files import settled
 
 WINDOW = 35
 #: Bytes of text whose windows make a shard, and bytes hashed before their windows are sent off.
@@ -155,7 +156,8 @@ def without_repeats(docs: DataFrame, size: int = WINDOW, shard_bytes: int = SHAR
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("_key", F.xxhash64("doc_id", "text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     shards = max(1, -(-total // shard_bytes))
-    found = repeated_windows(rows, size, shards)
+    # Written, so that the shuffled windows can go before the texts are shuffled.
+    found = settled(repeated_windows(rows, size, shards), "repeats")
 
     def key_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
