@@ -144,8 +144,7 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("group", [jaccard.GROUP, 3])
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (2, 50)])
+@pytest.mark.parametrize(("k", "percent", "group"), [(4, 85, jaccard.GROUP), (5, 80, 3), (2, 50, 3)])
 def test_join_finds_every_component(spark, k, percent, group):
     rows = near_copies()
     got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), k, percent, group).collect()
