@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.files import settled
+from tidemark.llm.files import drop, settled
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -40,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, keep_small=False)
-        edges = settled(_star(large, keep_small=True), "edges")
+        last, edges = edges, settled(_star(large, keep_small=True), "edges")
+        drop(last)
         after = _state(edges)
         if after == before:
             break

@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 80, group:
     shared = hits.groupBy("_key").agg(F.min("_id").alias("_l"), F.max("_id").alias("_h")).where("_l <> _h").select("_key")
     hits = jaccard._chunked(hits.join(shared, "_key", "left_semi"), group)
     hits = settled(hits.select("_id", "_sig", "_g"), "hits")
-    sets = settled(jaccard._with_sets(rows, hits.select("_id", "_sig").distinct(), k), "sets")
+    sets = settled(jaccard._with_sets(rows, hits.select("_id", "_sig", F.lit(0).cast("long").alias("_in")).distinct(), k), "sets")
     linked = components(settled(jaccard._inside(sets, hits, rule), "links"))
     of = unique.select("_sig", F.col("_id").alias("id")).join(linked, "id", "left")
     of = of.select("_sig", F.coalesce("component", "id").alias("component"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words
 from tidemark.llm.components import components
-from tidemark.llm.files import settled
+from tidemark.llm.files import drop, settled
 
 #: Members of a group, about; larger groups are split.
 GROUP = 1024
@@ -127,7 +127,9 @@ def described(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(_id, _set): the whole sets, as bytes, of the rows in ``wanted`` (_id, _sig). A repeated id is told apart by the signature.
+    """(_id, _in, _set): the whole sets, as bytes, of the rows in ``wanted`` (_id, _sig, _in).
+
+    ``_in`` is a long that goes along. A repeated id is told apart by the signature.
 
     Rows that repeat an id and text come out once for each task they meet in; the steps after allow for that.
     """
@@ -144,10 +146,10 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 own.append(key not in done and hashlib.blake2b(sets[-1], digest_size=16).digest() == key[1])
                 if own[-1]:
                     done.add(key)
-            columns = [batch.column("_id"), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["_id", "_set"]).filter(pa.array(own, pa.bool_()))
+            columns = [batch.column("_id"), batch.column("_in"), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_in", "_set"]).filter(pa.array(own, pa.bool_()))
 
-    return rows.select("_id", "_sig", "text").mapInArrow(gather, "_id long, _set binary")
+    return rows.select("_id", "_sig", "_in", "text").mapInArrow(gather, "_id long, _in long, _set binary")
 
 
 class Forest:
@@ -196,8 +198,8 @@ def _links_inside(rule: Rule):
             hits = rest[rule.linked(_open(marked, place, bounds, rest), sizes[q], sizes[rest])]
             marked[own] = 0
             _, first = np.unique(forest.of[hits], return_index=True)
-            a.extend(ids[q] for _ in first)
-            b.extend(ids[hits[first]])
+            a.extend(ids[hits[first]])  # links lead to the smaller id, so that the first of a component is never ``a``
+            b.extend(ids[q] for _ in first)
             forest.join(q, hits)
         roots = pd.Series(ids).groupby(forest.of).transform("first")
         a.extend(ids)  # each member and the first of its component: also a member that stays alone
@@ -250,7 +252,7 @@ def _inside(sets: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """Links, and (member, first of its component), of the groups of ``wanted`` (_id, _g) with more than one member."""
     several = wanted.groupBy("_g").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_g")
     wanted = settled(wanted.select("_id", "_g").join(several, "_g"), "inside")
-    rows = sets.select("_id", "_set").join(wanted, "_id")
+    rows = sets.select("_id", "_set").hint("merge").join(wanted, "_id")
     return rows.groupBy("_g").applyInArrow(_links_inside(rule), _LINKS)
 
 
@@ -268,15 +270,21 @@ def _candidates(unique: DataFrame) -> DataFrame:
 
 
 def _links(docs: DataFrame, unique: DataFrame, k: int, rule: Rule, group: int) -> DataFrame:
-    """Links (a, b) between sets, enough to join every component; ``unique`` has a row for each different set.
+    """Links (a, b) between sets, enough to join every component; ``unique`` has a row for each different set, and is
+    dropped once its prefixes have been read.
 
     Whole sets are made once, for the candidates only. What each step wants of them is worked out on ids and written
     first, so that the sets themselves move no more than once for each step.
     """
     near = settled(_chunked(_candidates(unique), group), "candidates")
-    sets = settled(_with_sets(docs, near.select("_id", "_sig"), k), "sets")
-
-    found = settled(_inside(sets, near, rule), "links")
+    drop(unique)
+    several = near.groupBy("_g").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_g", F.col("_g").alias("_in"))
+    wanted = settled(near.select("_id", "_sig", "_g").join(several, "_g", "left").drop("_g"), "wanted")
+    sets = settled(_with_sets(docs, wanted, k), "sets")
+
+    # The groups of the first round travel with the sets.
+    first = sets.where("_in is not null").select("_id", F.col("_in").alias("_g"), "_set")
+    found = settled(first.groupBy("_g").applyInArrow(_links_inside(rule), _LINKS), "links")
     round_ = near
     while True:  # the first members of a split group's components are grouped anew, until one group is left
         later = found.where("a <> b").select(F.col("a").alias("_id"))
@@ -309,9 +317,11 @@ def _links(docs: DataFrame, unique: DataFrame, k: int, rule: Rule, group: int) -
     owns = state.select("_id", "_c", "_g").join(chunks, "_g")
     owns = owns.select("_id", "_c", "_g", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_part"), F.lit(False).alias("_asks"))
     roles = asks.union(owns).groupBy("_id", "_c").agg(F.collect_list(F.struct("_g", "_part", "_asks")).alias("_roles"))
-    sent = sets.join(settled(roles, "roles"), "_id").select("_id", "_c", "_set", F.inline("_roles"))
+    sent = sets.drop("_in").hint("merge").join(settled(roles, "roles"), "_id").select("_id", "_c", "_set", F.inline("_roles"))
     opened = sent.groupBy("_g", "_part").applyInArrow(_links_between(rule), _LINKS)
-    return settled(found.union(opened), "links")
+    out = settled(found.union(opened), "links")
+    drop(near, wanted, sets, state, pairs, found)
+    return out
 
 
 def join_components(docs: DataFrame, k: int = 5, percent: int = 80, group: int = GROUP) -> DataFrame:
@@ -324,14 +334,17 @@ def join_components(docs: DataFrame, k: int = 5, percent: int = 80, group: int =
     """
     rule = Rule(percent)
     docs = docs.select("doc_id", "text")
-    all_rows = settled(described(docs, k, rule), "described")
-    real = all_rows.where("_n > 0 and _id is not null")
+    whole = settled(described(docs, k, rule), "described")
+    all_rows = settled(whole.select("_id", "_n", "_sig"), "rows")
+    real = whole.where("_n > 0 and _id is not null")
     unique = real.groupBy("_sig").agg(
         F.min("_id").alias("_id"), *(F.first(c).alias(c) for c in ("_n", "_least", "_key", "_prefix"))
     )
     unique = settled(unique, "unique")
+    drop(whole)
+    ids = settled(unique.select("_sig", F.col("_id").alias("id")), "ids")
     linked = components(_links(docs, unique, k, rule, group))
-    of = unique.select("_sig", F.col("_id").alias("id")).join(linked, "id", "left")
+    of = ids.join(linked, "id", "left")
     of = of.select("_sig", F.coalesce("component", "id").alias("component"))
     out = all_rows.select("_id", "_n", F.when((F.col("_n") > 0) & F.col("_id").isNotNull(), F.col("_sig")).alias("_sig"))
     out = out.join(of, "_sig", "left")
