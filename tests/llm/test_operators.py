@@ -375,6 +375,16 @@ def test_near_duplicates_by_bands(spark, odd, nothing):
     assert fingerprints.near_duplicates(nothing).isEmpty()
 
 
+@pytest.mark.parametrize("group", [2, 3])
+def test_chunks_of_a_band_are_compared(spark, group):
+    """Chains of texts, each alike the next only, and near copies: bands of more than ``group`` sets are split."""
+    chain = [(100 + i, " ".join(f"t{j}" for j in range(6 * i, 6 * i + 120))) for i in range(12)]
+    rows = near_copies() + chain
+    got = fingerprints.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, group=group).collect()
+    want = brute.components({i: brute.shingles(t, 3) for i, t in rows}, 80)
+    assert {r.doc_id: r.component_id for r in got} == want and want[111] == 100
+
+
 # Nearest neighbours
 
 

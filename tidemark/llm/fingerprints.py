@@ -154,11 +154,29 @@ def compared(docs: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame:
     return in_neighbourhoods(docs).mapInArrow(compare, f"doc_id long, n_chars long, {near}")
 
 
+def _band_links(sets: DataFrame, hits: DataFrame, rule: jaccard.Rule, group: int) -> DataFrame:
+    """Links (a, b) that join every two alike sets of a band; ``hits``: (_id, _key, _split, _g).
+
+    A chunk of a split band is opened for a set of another chunk unless all its members are in the set's component.
+    """
+    found = settled(jaccard._inside(sets, hits, rule), "links")
+    found = jaccard._regrouped(sets, hits, found, rule, group)
+    known = components(found).select(F.col("id").alias("_id"), "component")
+    state = hits.where("_split").join(known, "_id", "left").withColumn("_c", F.coalesce("component", "_id"))
+    state = settled(state.select("_id", "_key", "_g", "_c"), "chunks")
+    chunks = state.groupBy("_key", F.col("_g").alias("_to")).agg(F.min("_c").alias("_cl"), F.max("_c").alias("_ch"))
+    new = (F.col("_g") > F.col("_to")) & ~((F.col("_cl") == F.col("_c")) & (F.col("_ch") == F.col("_c")))
+    pairs = settled(state.join(chunks, "_key").where(new).select("_id", "_to", "_c"), "pairs")
+    if pairs.isEmpty():
+        return found
+    return settled(found.union(jaccard._opened(sets.drop("_in"), state, pairs, rule, group)), "links")
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 80, group: int = jaccard.GROUP) -> DataFrame:
     """(doc_id, component_id) of every row: texts whose fingerprints agree in a band and whose shingles are alike.
 
-    Bands are joined by grouping; a link needs 100 * intersection >= percent * union of the whole shingle sets. Equal
-    sets are one. Texts without words, and rows with a null id, are linked with nothing (component of a null id: null).
+    Bands are joined by grouping, those of more than ``group`` sets in chunks that are then compared with each other; a
+    link needs 100 * intersection >= percent * union of the whole shingle sets. Equal sets are one. Texts without words, and rows with a null id, are linked with nothing (component of a null id: null).
     """
     rule, size = jaccard.Rule(percent), PERMUTATIONS // BANDS
 
@@ -180,9 +198,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 80, group:
     hits = unique.select("_id", "_sig", F.explode("_bands").alias("_key"))
     shared = hits.groupBy("_key").agg(F.min("_id").alias("_l"), F.max("_id").alias("_h")).where("_l <> _h").select("_key")
     hits = jaccard._chunked(hits.join(shared, "_key", "left_semi"), group)
-    hits = settled(hits.select("_id", "_sig", "_g"), "hits")
+    hits = settled(hits.select("_id", "_sig", "_key", "_split", "_g"), "hits")
     sets = settled(jaccard._with_sets(rows, hits.select("_id", "_sig", F.lit(0).cast("long").alias("_in")).distinct(), k), "sets")
-    linked = components(settled(jaccard._inside(sets, hits, rule), "links"))
+    linked = components(_band_links(sets, hits, rule, group))
     of = unique.select("_sig", F.col("_id").alias("id")).join(linked, "id", "left")
     of = of.select("_sig", F.coalesce("component", "id").alias("component"))
     out = marked.select("_id", F.when(F.col("_id").isNotNull(), F.col("_sig")).alias("_sig")).join(of, "_sig", "left")

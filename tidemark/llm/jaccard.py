@@ -256,6 +256,35 @@ def _inside(sets: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     return rows.groupBy("_g").applyInArrow(_links_inside(rule), _LINKS)
 
 
+def _regrouped(sets: DataFrame, round_: DataFrame, found: DataFrame, rule: Rule, group: int) -> DataFrame:
+    """``found`` and the links between first members of the components of split groups (_id, _key, _split)."""
+    while True:  # the first members of a split group's components are grouped anew, until one group is left
+        later = found.where("a <> b").select(F.col("a").alias("_id"))
+        firsts = round_.where("_split").select("_id", "_key").join(later, "_id", "left_anti")
+        again = settled(_chunked(firsts, group), "firsts")
+        if again.isEmpty() or again.count() >= round_.count():
+            break
+        found = settled(found.union(_inside(sets, again, rule)), "links")
+        round_ = again
+    return found
+
+
+def _opened(sets: DataFrame, state: DataFrame, pairs: DataFrame, rule: Rule, group: int) -> DataFrame:
+    """Links between the sets of ``pairs`` (_id, _to, _c) and the members of the groups ``_to`` that they query.
+
+    ``state`` (_id, _c, _g) has every member's groups and its component so far.
+    """
+    # Every set goes to the groups it queries, and to its own if that is queried, in slices of the queries.
+    chunks = pairs.groupBy(F.col("_to").alias("_g")).agg(F.ceil(F.count(F.lit(1)) / (2 * group)).alias("_k"))
+    asks = pairs.withColumnRenamed("_to", "_g").join(chunks, "_g")
+    asks = asks.select("_id", "_c", "_g", F.pmod(F.xxhash64("_id"), F.col("_k")).alias("_part"), F.lit(True).alias("_asks"))
+    owns = state.select("_id", "_c", "_g").join(chunks, "_g")
+    owns = owns.select("_id", "_c", "_g", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_part"), F.lit(False).alias("_asks"))
+    roles = asks.union(owns).groupBy("_id", "_c").agg(F.collect_list(F.struct("_g", "_part", "_asks")).alias("_roles"))
+    sent = sets.hint("merge").join(settled(roles, "roles"), "_id").select("_id", "_c", "_set", F.inline("_roles"))
+    return sent.groupBy("_g", "_part").applyInArrow(_links_between(rule), _LINKS)
+
+
 def _candidates(unique: DataFrame) -> DataFrame:
     """(_id, _tokens): the sets that may have a partner, and the tokens of their prefix that other sets' have too.
 
@@ -285,15 +314,7 @@ def _links(docs: DataFrame, unique: DataFrame, k: int, rule: Rule, group: int) -
     # The groups of the first round travel with the sets.
     first = sets.where("_in is not null").select("_id", F.col("_in").alias("_g"), "_set")
     found = settled(first.groupBy("_g").applyInArrow(_links_inside(rule), _LINKS), "links")
-    round_ = near
-    while True:  # the first members of a split group's components are grouped anew, until one group is left
-        later = found.where("a <> b").select(F.col("a").alias("_id"))
-        firsts = round_.where("_split").select("_id", "_key").join(later, "_id", "left_anti")
-        again = settled(_chunked(firsts, group), "firsts")
-        if again.isEmpty() or again.count() >= round_.count():
-            break
-        found = settled(found.union(_inside(sets, again, rule)), "links")
-        round_ = again
+    found = _regrouped(sets, near, found, rule, group)
     known = components(found).select(F.col("id").alias("_id"), "component")
     state = near.join(known, "_id", "left").withColumn("_c", F.coalesce("component", "_id"))
     state = settled(state.select("_id", "_n", "_least", "_g", "_c", "_tokens"), "grouped")
@@ -310,15 +331,7 @@ def _links(docs: DataFrame, unique: DataFrame, k: int, rule: Rule, group: int) -
     pairs = pairs.groupBy("_id", "_to", "_c", "_least").agg(F.count(F.lit(1)).alias("_common"))
     pairs = settled(pairs.where("_common >= _least").select("_id", "_to", "_c"), "pairs")
 
-    # Every set goes to the groups it queries, and to its own if that is queried, in slices of the queries.
-    chunks = pairs.groupBy(F.col("_to").alias("_g")).agg(F.ceil(F.count(F.lit(1)) / (2 * group)).alias("_k"))
-    asks = pairs.withColumnRenamed("_to", "_g").join(chunks, "_g")
-    asks = asks.select("_id", "_c", "_g", F.pmod(F.xxhash64("_id"), F.col("_k")).alias("_part"), F.lit(True).alias("_asks"))
-    owns = state.select("_id", "_c", "_g").join(chunks, "_g")
-    owns = owns.select("_id", "_c", "_g", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_part"), F.lit(False).alias("_asks"))
-    roles = asks.union(owns).groupBy("_id", "_c").agg(F.collect_list(F.struct("_g", "_part", "_asks")).alias("_roles"))
-    sent = sets.drop("_in").hint("merge").join(settled(roles, "roles"), "_id").select("_id", "_c", "_set", F.inline("_roles"))
-    opened = sent.groupBy("_g", "_part").applyInArrow(_links_between(rule), _LINKS)
+    opened = _opened(sets.drop("_in"), state, pairs, rule, group)
     out = settled(found.union(opened), "links")
     drop(near, wanted, sets, state, pairs, found)
     return out
