@@ -86,6 +86,21 @@ def test_training_sample_is_bounded(docs):
     assert row.where("n > 3 or b > 5000").isEmpty() and not row.isEmpty()
 
 
+def test_long_texts_do_not_end_a_sample(spark):
+    """Every language stays in the model: long texts among short ones, long ones only, and many languages."""
+    rows = [(f"un mot {i} " + "long " * (500 if i % 2 else 1), "fr") for i in range(40)]
+    rows += [(f"{i} à" + "ß" * 3000, "de") for i in range(3)] + [("tiny", "en"), ("", "none"), (None, "none")]
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    sample = language.training_sample(frame, rows=30, total_bytes=3000).collect()
+    got = Counter(r.lang for r in sample)
+    assert got == {"fr": 10, "de": 1, "en": 1}
+    assert all(r.text in {t for t, _ in rows} for r in sample if r.lang != "de")
+    assert all(len(r.text.encode()) <= 1000 for r in sample)
+    assert language.fit(frame, total_bytes=3000).languages == ["de", "en", "fr"]
+    many = spark.range(4000).selectExpr("concat('text ', id, repeat(' word', 3)) as text", "concat('l', id % 40) as lang")
+    assert len(language.fit(many, rows=10, total_bytes=400).languages) == 40
+
+
 # Token-id files
 
 

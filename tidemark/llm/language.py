@@ -31,31 +31,36 @@ _KEYS = "lang string, depth int, gram long, n long"
 
 
 def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, total_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """(lang, text): per language whole texts in the order of a hash of the text. Each language has an equal share of
-    ``rows`` and ``total_bytes``; a text that would pass the share ends the language's sample.
+    """(lang, text): per language whole texts in the order of a hash of the text, up to an equal share of ``rows`` and
+    ``total_bytes``, one text at least. Texts longer than the share of bytes are left out; a language that has no
+    others is sampled by the beginning of one of them, a quarter as many characters as the share has bytes.
 
     Rows with a null text or language are left out, equal texts of a language count once. Only hashes and lengths
     are ranked, thinned by a hash first, so that no window sees many more rows than it keeps. Two tables are
-    broadcast: a row for each language, and the at most ``rows`` keys kept; texts aren't shuffled.
+    broadcast: a row for each language, and the keys kept (``rows`` at most, or one a language); texts aren't shuffled.
     """
     known = labelled.where("text is not null and lang is not null and text <> ''").select("text", "lang")
+    languages = max(1, known.select("lang").distinct().count())
+    share, most = max(1, rows // languages), max(1, total_bytes // languages)
     known = known.withColumns({"_h": F.xxhash64("text"), "_b": F.octet_length("text")})
-    counts = known.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n"))
-    languages = max(1, counts.count())
-    share = max(1, rows // languages)
-    rates = counts.select("lang", F.least(F.lit(1.0), F.lit(2.0 * share) / F.col("_n")).alias("_rate"))
+    fits, key = F.col("_b") <= most, F.struct("_h", "_b")
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(F.when(fits, F.col("_h"))).alias("_n"), F.max(fits).alias("_some"), F.min(key).alias("_first"))
+    # The summand keeps texts of every language where the share is a text or two.
+    rates = counts.select("lang", "_some", "_first", F.least(F.lit(1.0), F.lit(2.0 * share + 64) / F.greatest("_n", F.lit(1))).alias("_rate"))
     thinned = known.select("lang", "_h", "_b").join(F.broadcast(rates), "lang")
-    thinned = thinned.where((F.pmod("_h", F.lit(1 << 30)) / (1 << 30)) < F.col("_rate"))
+    drawn = (F.pmod("_h", F.lit(1 << 30)) / (1 << 30)) < F.col("_rate")
+    thinned = thinned.where(F.when(F.col("_some"), fits & drawn).otherwise(key == F.col("_first")))
     order = Window.partitionBy("lang").orderBy("_h", "_b")
     kept = (
         thinned.select("lang", "_h", "_b")
         .distinct()
         .withColumns({"_rank": F.row_number().over(order), "_sum": F.sum("_b").over(order)})
-        .where((F.col("_rank") <= share) & (F.col("_sum") <= total_bytes // languages))
+        .where((F.col("_rank") == 1) | ((F.col("_rank") <= share) & (F.col("_sum") <= most)))
         .select("lang", "_h", "_b")
     )
-    texts = known.join(F.broadcast(kept), ["lang", "_h", "_b"])
-    return texts.dropDuplicates(["lang", "_h", "_b"]).select("lang", "text")
+    texts = known.join(F.broadcast(kept), ["lang", "_h", "_b"]).dropDuplicates(["lang", "_h", "_b"])
+    part = F.substring("text", 1, max(1, most // 4))  # a character has four bytes at most
+    return texts.select("lang", F.when(fits, F.col("text")).otherwise(part).alias("text"))
 
 
 def _grams(data: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
