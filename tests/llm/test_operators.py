@@ -283,6 +283,35 @@ def test_kneser_ney_agrees_with_plain_python(spark):
         assert got[i].score == pytest.approx(want) and got[i].base_score == pytest.approx(base)
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_longer_contexts_agree_with_plain_python(spark, order):
+    drawn = np.random.default_rng(6)
+    texts = [" ".join(drawn.choice(list("abcd"), drawn.integers(0, 30), p=[0.5, 0.3, 0.1, 0.1])) for _ in range(40)]
+    sentences = [["<s>"] * (order - 1) + brute.words(t) + ["</s>"] for t in texts]
+    value = {order: Counter(tuple(s[i - order + 1 : i + 1]) for s in sentences for i in range(order - 1, len(s)))}
+    for m in range(order - 1, 0, -1):
+        value[m] = Counter(g[1:] for g in value[m + 1])
+    cut = {m: (0, *kneser.discounts(*(sum(n == k for n in v.values()) for k in (1, 2, 3, 4)))) for m, v in value.items()}
+
+    def chance(gram):
+        after = {g: n for g, n in value[len(gram)].items() if g[:-1] == gram[:-1]}
+        lower = chance(gram[1:]) if len(gram) > 1 else 1 / (len(value[1]) + 1)
+        if not after:
+            return lower
+        gone = cut[len(gram)]
+        n, left = after.get(gram, 0), sum(gone[min(n, 3)] for n in after.values())
+        return (n - gone[min(n, 3)] + left * lower) / sum(after.values())
+
+    model = kneser.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shard_bytes=150, order=order)
+    asked = ["a b a c", "", "d d zz a b", "b a a b c a"]
+    got = kneser.scored(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model, ["doc_id"]).collect()
+    for r in got:
+        s = ["<s>"] * (order - 1) + brute.words(asked[r.doc_id]) + ["</s>"]
+        want = sum(math.log10(chance(tuple(s[i - order + 1 : i + 1]))) for i in range(order - 1, len(s)))
+        assert r.score == pytest.approx(want)
+    assert kneser.ORDER >= 3
+
+
 def test_language_model_of_odd_rows(odd, nothing, spark, sf_dir):
     model = kneser.fit(odd)
     got = kneser.scored(odd, model, odd.columns)

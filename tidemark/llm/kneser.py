@@ -1,8 +1,9 @@
-"""Interpolated modified Kneser-Ney word bigrams, counted in Spark and stored as sorted hash arrays in shared files.
+"""Interpolated modified Kneser-Ney n-grams of words, counted in Spark and stored as sorted hash arrays in shared files.
 
-Pairs of word hashes are drawn to shards by their own hash, each shard is merged in one task and stored sorted. What
-the model needs of each word (as a context, as a continuation) is summed by word and stored sorted as well. Workers
-map the files into memory and look up whole batches of texts; pages they don't touch are never read.
+n-grams of word hashes are drawn to shards by their own hash, each shard is merged in one task and stored sorted. What
+is summed of them for each context, and for each n-gram without its first word (how many words stand before it), is
+dealt by hash again, down to single words. Workers map the files into memory and look up whole batches of texts; pages
+they don't touch are never read.
 """
 
 from __future__ import annotations
@@ -24,25 +25,36 @@ SHARD_BYTES, FLUSH_BYTES = 16 << 20, 16 << 20
 
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 
-_SENT = "shard int, contexts binary, runs binary, words binary, counts binary"
-#: Sums of a word: tokens after it, different words after it once, twice, 3 and 4 times, and in all; different words
-#: before it; its tokens.
-_SUMS = ("total", "one", "two", "three", "four", "kinds", "before", "count")
-#: What scoring needs of them.
-_KEPT = ("total", "one", "two", "kinds", "before", "count")
-_STATS = "shard int, word long, " + ", ".join(f"{n} long" for n in _SUMS)
-_COUNTS = ("words", "tokens", "pairs", "c1", "c2", "c3", "c4", "b1", "b2", "b3", "b4")
+#: Words of an n-gram in production, and passes over the texts, each of which counts a part of the shards.
+ORDER, ROUNDS = 3, 4
 
+#: Kinds of rows: n-grams for the level below, sums of contexts, and counts of a shard.
+_GRAMS, _CONTEXTS, _TALLY = range(3)
+_SENT = "shard int, kind int, blob binary, tally array<long>"
+#: Sums of a context: of the values after it, and its different words of value 1, of value 2, and in all.
+_SUMS = ("total", "one", "two", "kinds")
 
-def _pairs(hashed: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context and word of every token (the end of each text included), and the texts' bounds in them."""
+
+def _columns(hashed: np.ndarray, bounds: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words of the n-gram that ends at every token (the end of each text included), and the texts' bounds."""
     targets = np.insert(hashed, bounds[1:], END)
-    contexts = np.insert(hashed, bounds[:-1], BEGIN)
-    return contexts, targets, bounds + np.arange(len(bounds))
+    bounds = bounds + np.arange(len(bounds))
+    place = np.arange(len(targets)) - np.repeat(bounds[:-1], np.diff(bounds))
+    columns = [targets]
+    for back in range(1, order):
+        before = np.full(len(targets), BEGIN)
+        inside = np.flatnonzero(place >= back)
+        before[inside] = targets[inside - back]
+        columns.insert(0, before)
+    return columns, bounds
 
 
-def _key(contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    return words.mixed(contexts * np.uint64(words.BASE) + targets)
+def _key(columns: list[np.ndarray]) -> np.ndarray:
+    """One number for the words of an n-gram; a single word is its own."""
+    key = columns[0]
+    for word in columns[1:]:
+        key = key * np.uint64(words.BASE) + word
+    return words.mixed(key) if len(columns) > 1 else key
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -77,107 +89,107 @@ def _unpacked(data: np.ndarray, columns: int) -> tuple[np.ndarray, list[np.ndarr
     return data[8 * (columns + 1) : 8 * (columns + 1) + 8 * n].view("<u8"), parts
 
 
-def _count(shards: int):
+def _dealt(kind: int, keys: np.ndarray, hashes: np.ndarray, columns: list[np.ndarray], shards: int) -> list[tuple]:
+    """Rows of ``_SENT``, one for each shard of the ``keys``."""
+    shard = _shard(keys, shards)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    rows = []
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        part = order[cuts[s] : cuts[s + 1]]
+        rows.append((s, kind, b"".join(_packed(hashes[part], [c[part] for c in columns])), None))
+    return rows
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "kind", "blob", "tally"])
+
+
+def _joined(table: pa.Table, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    parts = [_unpacked(np.frombuffer(b, np.uint8), columns) for b in table.column("blob").to_pylist()]
+    return np.concatenate([p[0] for p in parts]), [np.concatenate([p[1][i] for p in parts]) for i in range(columns)]
+
+
+def _grams(columns: list[np.ndarray], values: list[np.ndarray], shards: int) -> list[tuple]:
+    """Rows of n-grams in the order of their contexts, which lets equal words be compressed."""
+    order = np.lexsort(columns[:-1]) if len(columns) > 1 else np.arange(len(columns[0]))
+    columns, values = [c[order] for c in columns], [v[order] for v in values]
+    return _dealt(_GRAMS, _key(columns), columns[-1], [*values, *columns[:-1]], shards)
+
+
+def _count(order: int, shards: int, low: int, high: int):
+    """n-grams of the shards from ``low`` to under ``high``."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[list[np.ndarray]] = []
         held = 0
 
-        def flush() -> pa.RecordBatch:
-            contexts, targets = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
-            waiting.clear()
-            _, first, n = np.unique(keys := _key(contexts, targets), return_index=True, return_counts=True)
-            shard = _shard(keys[first], shards)  # rises with the key
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            contexts, targets, n = contexts[first], targets[first], n.astype("<u4")
-            rows = []
-            for s in np.flatnonzero(np.diff(cuts)).tolist():
-                part = slice(cuts[s], cuts[s + 1])
-                order = np.argsort(contexts[part], kind="stable")
-                own = contexts[part][order]
-                heads = _heads(own)
-                runs = np.diff(np.append(heads, len(own))).astype("<u4")
-                rows.append((s, own[heads].tobytes(), runs.tobytes(), targets[part][order].tobytes(), n[part][order].tobytes()))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int32()] + [pa.binary()] * 4
-            names = ["shard", "contexts", "runs", "words", "counts"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        def flush() -> list[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+            _, first, n = np.unique(_key(columns), return_index=True, return_counts=True)
+            return _table(_grams([c[first] for c in columns], [n, n], shards)).to_batches()
 
         for batch in words.pieces(batches, "text", 1 << 22):
-            contexts, targets, _ = _pairs(*words.hashed(batch.column("text"), lower=True))
-            waiting.append((contexts, targets))
-            held += 6 * len(targets)
+            columns, _ = _columns(*words.hashed(batch.column("text"), lower=True), order)
+            shard = _shard(_key(columns), shards)
+            own = (shard >= low) & (shard < high)
+            waiting.append([c[own] for c in columns])
+            held += 6 * int(own.sum())
             if held >= FLUSH_BYTES:
-                yield flush()
+                yield from flush()
                 waiting, held = [], 0
         if waiting:
-            yield flush()
+            yield from flush()
 
     return count
 
 
-def _merge(folder: str, shards: int):
+def _merge(level: int, folder: str, shards: int):
+    """Store the n-grams of ``level`` words of a shard with their values (how often they stand in the texts, or how
+    many words stand before them); send on what the level below and the contexts need."""
+
     def merge(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        contexts = np.concatenate(
-            [
-                np.repeat(np.frombuffer(c, np.uint64), np.frombuffer(r, "<u4"))
-                for c, r in zip(table.column("contexts").to_pylist(), table.column("runs").to_pylist(), strict=True)
-            ]
-        )
-        targets = np.concatenate([np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()])
-        counts = np.concatenate([np.frombuffer(n, "<u4") for n in table.column("counts").to_pylist()])
-        keys = _key(contexts, targets)
+        last, (value, count, *context) = _joined(table, level + 1)
+        keys = _key([*context, last])
         order = np.argsort(keys)
         heads = _heads(keys[order])
-        n = _summed(order, counts, heads)
-        first = order[heads]
-        keys, contexts, targets = keys[first], contexts[first], targets[first]
-        put(f"{folder}/pairs-{shard:09d}", _packed(keys, [n]))
-
-        order = np.argsort(contexts)
-        heads = _heads(contexts[order])
-        ones = np.ones(len(n), dtype=np.int64)
-        after = [_summed(order, v, heads) for v in (n, n == 1, n == 2, n == 3, n == 4, ones)]
-        context = contexts[order[heads]]
-        order = np.argsort(targets)
-        heads = _heads(targets[order])
-        before = [_summed(order, v, heads) for v in (ones, n)]
-        target = targets[order[heads]]
-        word = np.concatenate([context, target])
-        pad, pad_before = np.zeros(len(target), np.int64), np.zeros(len(context), np.int64)
-        sums = [np.concatenate([v, pad]) for v in after] + [np.concatenate([pad_before, v]) for v in before]
-        columns = [pa.array(_shard(word, shards)), pa.array(word.view(np.int64)), *map(pa.array, sums)]
-        return pa.table(dict(zip(("shard", "word", *_SUMS), columns, strict=True)))
+        value, count, first = _summed(order, value, heads), _summed(order, count, heads), order[heads]
+        keys, columns = keys[first], [c[first] for c in (*context, last)]
+        tally = [int((value == k).sum()) for k in (1, 2, 3, 4)]
+        if level == 1:
+            put(f"{folder}/words-{shard:09d}", _packed(keys, [value, count]))
+            tally += [int((count > 0).sum()), int(count.sum()), int(value.sum())]
+            return _table([(shard, _TALLY, None, tally)])
+        put(f"{folder}/grams{level}-{shard:09d}", _packed(keys, [value]))
+
+        before = _key(columns[:-1])
+        order = np.argsort(before)
+        heads = _heads(before[order])
+        ones = np.ones(len(value), dtype=np.int64)
+        sums, before = [_summed(order, v, heads) for v in (value, value == 1, value == 2, ones)], before[order[heads]]
+        rows = _dealt(_CONTEXTS, before, before, sums, shards)
+
+        shorter = _key(columns[1:])
+        order = np.argsort(shorter)
+        heads = _heads(shorter[order])
+        own = order[heads]
+        rows += _grams([c[own] for c in columns[1:]], [_summed(order, v, heads) for v in (ones, count)], shards)
+        return _table([*rows, (shard, _TALLY, None, tally)])
 
     return merge
 
 
-def _store(folder: str):
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by shard and then by word, the latter as signed numbers; a shard's file is sorted unsigned."""
-        waiting: list[pa.RecordBatch] = []
-
-        def close() -> pa.RecordBatch:
-            table = pa.Table.from_batches(waiting)
-            shard = table.column("shard")[0].as_py()
-            word = table.column("word").to_numpy().view(np.uint64)
-            order = np.argsort(word)
-            sums = {n: table.column(n).to_numpy()[order] for n in _SUMS}
-            put(f"{folder}/words-{shard:09d}", _packed(word[order], [sums[n] for n in _KEPT]))
-            row = [(sums["count"] > 0).sum(), sums["count"].sum(), sums["kinds"].sum()]
-            row += [sums[n].sum() for n in ("one", "two", "three", "four")] + [(sums["before"] == k).sum() for k in (1, 2, 3, 4)]
-            return pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in row], list(_COUNTS))
-
-        for batch in batches:
-            cuts = _heads(batch.column("shard").to_numpy())
-            for start, stop in zip(cuts, np.append(cuts[1:], batch.num_rows), strict=True):
-                part = batch.slice(start, stop - start)
-                if waiting and waiting[-1].column("shard")[0] != part.column("shard")[0]:
-                    yield close()
-                    waiting = []
-                waiting.append(part)
-        if waiting:
-            yield close()
+def _store(level: int, folder: str):
+    def store(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        keys, sums = _joined(table, len(_SUMS))
+        order = np.argsort(keys)
+        heads = _heads(keys[order])
+        put(f"{folder}/contexts{level}-{shard:09d}", _packed(keys[order[heads]], [_summed(order, v, heads) for v in sums]))
+        return _table([(shard, _CONTEXTS, None, None)])
 
     return store
 
@@ -199,9 +211,8 @@ class Model:
     shards: int
     words: int
     tokens: int
-    pairs: int
-    pair_discounts: tuple[float, float, float]
-    word_discounts: tuple[float, float, float]
+    pairs: int  # different ones
+    discounts: list[tuple[float, float, float]]  # of n-grams of 1, 2, ... words
     rest: float  # of the continuation distribution, given to all words and one unknown alike
 
     def __post_init__(self) -> None:
@@ -236,47 +247,62 @@ class Model:
 
     def score(self, column: pa.Array) -> dict[str, np.ndarray]:
         """Of each text: tokens, known tokens, base score and score, both log10."""
-        contexts, targets, bounds = _pairs(*words.hashed(column, lower=True))
-        distinct, which = np.unique(np.concatenate([contexts, targets]), return_inverse=True)
-        own = dict(zip(_KEPT, self.look_up("words", distinct, len(_KEPT)), strict=True))
-        context, target = which[: len(contexts)], which[len(contexts) :]
-        pairs, pair = np.unique(_key(contexts, targets), return_inverse=True)
-        n = self.look_up("pairs", pairs, 1)[0][pair]
-
-        d1, d2, d3 = self.word_discounts
-        before = own["before"]
-        low = np.maximum(before - np.choose(np.minimum(before, 3).astype(int), [0, d1, d2, d3]), 0)
-        low = low / max(1, self.pairs) + self.rest / (self.words + 1)
-        d1, d2, d3 = self.pair_discounts
-        total = np.maximum(own["total"], 1)
-        more = own["kinds"] - own["one"] - own["two"]
-        left = np.where(own["total"] > 0, (d1 * own["one"] + d2 * own["two"] + d3 * more) / total, 1.0)
-        kept = np.maximum(n - np.choose(np.minimum(n, 3).astype(int), [0, d1, d2, d3]), 0)
-        chance = kept / total[context] + left[context] * low[target]
-        base = (own["count"][target] + 1) / (self.tokens + self.words + 1)
-        sums = [np.diff(bounds), (own["count"] > 0)[target], np.log10(base), np.log10(chance)]
+        columns, bounds = _columns(*words.hashed(column, lower=True), len(self.discounts))
+
+        def found(kind: str, keys: np.ndarray, n: int) -> np.ndarray:
+            distinct, which = np.unique(keys, return_inverse=True)
+            return self.look_up(kind, distinct, n)[:, which]
+
+        before, count = found("words", columns[-1], 2)
+        d1, d2, d3 = self.discounts[0]
+        chance = np.maximum(before - np.choose(np.minimum(before, 3).astype(int), [0, d1, d2, d3]), 0)
+        chance = chance / max(1, self.pairs) + self.rest / (self.words + 1)
+        for level, (d1, d2, d3) in enumerate(self.discounts[1:], 2):
+            n = found(f"grams{level}", _key(columns[-level:]), 1)[0]
+            total, one, two, kinds = found(f"contexts{level}", _key(columns[-level:-1]), len(_SUMS))
+            some = np.maximum(total, 1)
+            left = np.where(total > 0, (d1 * one + d2 * two + d3 * (kinds - one - two)) / some, 1.0)
+            kept = np.maximum(n - np.choose(np.minimum(n, 3).astype(int), [0, d1, d2, d3]), 0)
+            chance = kept / some + left * chance
+        base = (count + 1) / (self.tokens + self.words + 1)
+        sums = [np.diff(bounds), count > 0, np.log10(base), np.log10(chance)]
         heads = bounds[:-1]
         summed = [np.add.reduceat(v, heads, dtype=np.float64) if len(heads) else np.zeros(0) for v in sums[1:]]
         return {"n_tokens": sums[0], "n_known": summed[0].astype(np.int64), "base_score": summed[1], "score": summed[2]}
 
 
-def fit(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
-    """Model of all of ``texts`` (text, A-Z lower-cased; null: empty). All it counts stays in shared files and grows
-    with the input; the driver gets sums only. An empty table gives a model of one unknown word."""
+def fit(texts: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2, rounds: int = ROUNDS) -> Model:
+    """Model of n-grams of ``order`` words (2 at least) of all of ``texts`` (text, A-Z lower-cased; null: empty).
+
+    ``order`` - 1 marks stand before each text. All it counts stays in shared files and grows with the input; the
+    driver gets sums only. An empty table gives a model of one unknown word."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = texts.sparkSession
     total = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     shards, folder = max(1, -(-total // shard_bytes)), shared_folder(spark, "kneser")
-    sent = texts.select("text").mapInArrow(_count(shards), _SENT)
-    # Written, so that the shuffled pairs can go before words are summed.
-    partial = settled(sent.groupBy("shard").applyInArrow(_merge(folder, shards), _STATS), "stats")
-    dealt = partial.repartition("shard").groupBy("shard", "word").agg(*(F.sum(n).alias(n) for n in _SUMS))
-    stored = dealt.sortWithinPartitions("shard", "word").mapInArrow(_store(folder), ", ".join(f"{n} long" for n in _COUNTS))
-    row = settled(stored, "sums").agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _COUNTS)).first()
-    drop(partial)
-    pair, word = discounts(row.c1, row.c2, row.c3, row.c4), discounts(row.b1, row.b2, row.b3, row.b4)
-    more = row.words - row.b1 - row.b2
-    rest = (word[0] * row.b1 + word[1] * row.b2 + word[2] * more) / row.pairs if row.pairs else 1.0
-    return Model(folder, shards, row.words, row.tokens, row.pairs, pair, word, rest)
+    rounds = min(rounds, shards)
+    parts, tallies = [], []
+    for i in range(rounds):
+        sent = texts.select("text").mapInArrow(_count(order, shards, i * shards // rounds, (i + 1) * shards // rounds), _SENT)
+        parts.append(settled(sent.groupBy("shard").applyInArrow(_merge(order, folder, shards), _SENT), "grams"))
+    for level in range(order, 0, -1):
+        merged = parts[0]
+        for part in parts[1:]:
+            merged = merged.union(part)
+        sums = [F.coalesce(F.sum(F.get("tally", F.lit(i))), F.lit(0)).alias(f"t{i}") for i in range(7)]
+        tallies.insert(0, tuple(merged.where(F.col("kind") == _TALLY).agg(*sums).first()))
+        if level > 1:
+            drop(settled(merged.where(F.col("kind") == _CONTEXTS).groupBy("shard").applyInArrow(_store(level, folder), _SENT), "contexts"))
+            below = merged.where(F.col("kind") == _GRAMS).groupBy("shard").applyInArrow(_merge(level - 1, folder, shards), _SENT)
+            below = [settled(below, "grams")]
+        drop(*parts)
+        parts = below
+    b1, b2, _, _, known, tokens, pairs = tallies[0]
+    given_up = [discounts(*t[:4]) for t in tallies]
+    d1, d2, d3 = given_up[0]
+    rest = (d1 * b1 + d2 * b2 + d3 * (known - b1 - b2)) / pairs if pairs else 1.0
+    return Model(folder, shards, known, tokens, pairs, given_up, rest)
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

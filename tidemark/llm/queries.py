@@ -66,7 +66,7 @@ def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document under a model of the documents that are not held out."""
     docs = read(spark, sf_dir, "documents").withColumn("held_out", remainder(7) == 2)
-    return kneser.scored(docs, kneser.fit(docs.where("not held_out")), ["doc_id", "held_out"])
+    return kneser.scored(docs, kneser.fit(docs.where("not held_out"), order=kneser.ORDER), ["doc_id", "held_out"])
 
 
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
