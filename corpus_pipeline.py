@@ -15,9 +15,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without any letter, empty and null ones included, are rejected and go."""
+    """Documents with a language; those without any letter, empty and null ones included, are rejected and go.
+
+    If no document has a label there is no language to predict, and texts are judged by their letters alone."""
     prepared(spark)
     model = language.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(language.LETTER))
     named, names = shielded(language.predict(docs, model, docs.columns).toDF(*docs.columns, "_lang_pred", "_score"))
     kept = named.where(F.col(names["_lang_pred"]) != language.UNDETERMINED)
     return kept.select(*(names[c] for c in docs.columns)).toDF(*docs.columns)

@@ -65,6 +65,11 @@ def test_odd_rows_go_through_every_stage(spark, odd, nothing, sf_dir):
         assert stage(spark, nothing, sf_dir).isEmpty()
 
 
+def test_documents_without_labels_stay(spark, corpus, sf_dir):
+    kept = corpus_pipeline.known_language(spark, corpus.withColumn("lang", F.lit(None).cast("string")), sf_dir)
+    assert kept.columns == corpus.columns and sorted(r.doc_id for r in kept.collect()) == list(range(75))
+
+
 def test_repeated_rows_are_one_document(spark, odd, sf_dir):
     kept = corpus_pipeline.one_of_each_group(spark, odd, sf_dir).collect()
     assert Counter(r.doc_id for r in kept) == Counter([1, 3, 4, 5, 6, 7, 9, 10, 12, None])

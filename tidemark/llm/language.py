@@ -24,6 +24,7 @@ SAMPLE_ROWS = 8_000
 SAMPLE_BYTES = 4_000_000
 #: The prediction for texts without a letter.
 UNDETERMINED = "und"
+LETTER = r"\p{L}"
 
 #: Stands before a text; no UTF-8 text holds this byte.
 _EDGE = 0xFF
@@ -207,7 +208,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    lettered = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
     # Inside, kept columns have names of their own, so that none can clash.
     inner = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner, strict=True)), F.when(lettered, F.col("text")).alias("_text"), lettered.alias("_lettered"))
