@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, idfile, jaccard, kneser, language, lines, mixing, neighbours, packing, substrings
+from tidemark.llm import fingerprints, idfile, jaccard, kneser, language, lines, manifest, mixing, neighbours, packing, substrings
 from tidemark.llm.files import settled
 from tidemark.session import prepare
 
@@ -95,6 +95,16 @@ def op10_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.cut(read(spark, sf_dir, "documents"), end=1))
 
 
+def op11_interval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, subroot, root and proof, and whether it still leads to the root after tampering."""
+    docs = read(spark, sf_dir, "documents")
+    text, values = F.col("text"), ["doc_id", "source", "lang", "n_chars"]
+    tampered = F.when(remainder(2) == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    now = manifest.leaf([*map(F.col, values), tampered])
+    made = manifest.build(docs, [*values, "text"], group="source", order="doc_id", keep={"doc_id": F.col("doc_id"), "now": now})
+    return manifest.checked(made, "now", ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_id_blocks": op2_id_blocks,
@@ -106,4 +116,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_multiprobe": op9_multiprobe,
     "op10_patterns": op10_patterns,
+    "op11_interval_manifest": op11_interval_manifest,
 }
