@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, idfile, jaccard, kneser, language, lines, manifest, mixing, neighbours, packing, substrings
+from tidemark.llm import fingerprints, idfile, jaccard, kneser, language, lines, manifest, mixing, neighbours, packing, periodic, substrings
 from tidemark.llm.files import settled
 from tidemark.session import prepare
 
@@ -105,6 +105,26 @@ def op11_interval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.checked(made, "now", ["doc_id"])
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words that repeat, of every document (a tenth with a planted one), and the text without the repeats."""
+    docs = read(spark, sf_dir, "documents")
+    found = periodic.find(docs.select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text")), ["doc_id"])
+    # The greatest length, then the smallest start, then the smallest period.
+    most = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    start, length, period = -most.start, most.length, -most.period
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_id_blocks": op2_id_blocks,
@@ -117,4 +137,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_multiprobe": op9_multiprobe,
     "op10_patterns": op10_patterns,
     "op11_interval_manifest": op11_interval_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
 }
