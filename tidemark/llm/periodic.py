@@ -229,7 +229,7 @@ def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.nd
     own = np.flatnonzero(keep)
     change = np.zeros(len(data) + 1, dtype=np.int8)
     change[starts[own]] += 1
-    np.add.at(change, ends[own], -1)
+    change[ends[own]] -= 1
     mask = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
     text = np.searchsorted(bounds, own, side="right") - 1
     more = own[:-1][text[1:] == text[:-1]] if len(own) else own

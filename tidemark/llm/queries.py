@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, idfile, jaccard, kneser, language, lines, manifest, mixing, neighbours, packing, periodic, substrings
+from tidemark.llm import fingerprints, forest, idfile, jaccard, kneser, language, lines, manifest, mixing, neighbours, packing, periodic, substrings
 from tidemark.llm.files import settled
 from tidemark.session import prepare
 
@@ -125,6 +125,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, with those of its label that have a cosine of 0.93 or more."""
+    return forest.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_id_blocks": op2_id_blocks,
@@ -138,4 +143,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_patterns": op10_patterns,
     "op11_interval_manifest": op11_interval_manifest,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_projection_forest": op13_projection_forest,
 }
