@@ -180,5 +180,6 @@ def read(manifest: DataFrame) -> DataFrame:
                     columns = [doc, pa.array(offset + starts), pa.array(ends - starts), pa.array(crc, pa.int64())]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array([shard] * len(doc), pa.int32())], names)
 
-    spread = files.select("shard", "path", "first").repartition("shard")
+    # A task a file: without a number, adaptive execution would merge these small rows into one task.
+    spread = files.select("shard", "path", "first").repartitionByRange(max(1, manifest.count()), "shard")
     return spread.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
