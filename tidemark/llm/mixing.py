@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.files import settled, shielded
+from tidemark.llm.keys import digest
 
 #: Source weights in code point order of the names, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -149,8 +150,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP)
     """
     rows, names = shielded(docs)
     doc_id, text, source = (F.col(names[c]) for c in ("doc_id", "text", "source"))
-    keyed = rows.withColumns({"_key": F.xxhash64(doc_id, text, source), "_size": word_count(names["text"])})
+    keyed = rows.withColumns({"_key": digest([doc_id, text, source]), "_size": word_count(names["text"])})
     plan = copies(keyed.select(source.alias("source"), "_key", "_size"), "_key", "_size", weights, cap)
-    plan = plan.where("copies > 0").select("_key", "copies").dropDuplicates(["_key"])
+    plan = plan.where("copies > 0").select("_key", "copies")
     repeated = keyed.join(plan, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select(*names.values()).toDF(*docs.columns)

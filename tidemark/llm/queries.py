@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprints, forest, idfile, jaccard, kneser, language, lines, manifest, mixing, neighbours, packing, periodic, substrings
 from tidemark.llm.files import settled
+from tidemark.llm.keys import digest
 from tidemark.session import prepare
 
 
@@ -72,12 +73,11 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the balanced mix takes of every document."""
     docs = read(spark, sf_dir, "documents")
-    # Without a text the row's own columns tell documents apart.
-    docs = docs.select("doc_id", "source", F.xxhash64("doc_id", "text", "source").alias("key"), mixing.word_count().alias("size"))
-    docs = settled(docs, "sizes")
-    plan = mixing.copies(docs, "key", "size").drop("source").withColumnsRenamed({"size": "_size"}).dropDuplicates(["key"])
-    taken = F.col("size") * F.col("copies")
-    return docs.join(plan, "key").select("doc_id", "source", "size", "source_size", "target", "rate", "copies", taken.alias("taken"))
+    key = digest([F.col("doc_id"), F.col("text"), F.col("source")])
+    docs = settled(docs.select("doc_id", "source", key.alias("key"), mixing.word_count().alias("size")), "sizes")
+    plan = mixing.copies(docs, "key", "size").drop("source", "size")
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return docs.join(plan, "key").select("doc_id", "size", "source_size", "target", taken, "source", "rate", "copies")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
