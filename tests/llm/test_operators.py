@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.conftest import LONG, odd_rows
 from tidemark.llm import fingerprints, idfile, jaccard, kneser, language, lines, mixing, neighbours, packing, queries, substrings, tokens
+from tidemark.llm.oracles import ORACLES
 
 NAMES = list(queries.QUERIES)
 
@@ -527,14 +528,13 @@ def test_packing_of_odd_rows(odd, nothing):
 # Queries and pipeline
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n in ("op3_token_groups", "op4_window_repeats", "op5_line_spread")])
+@pytest.mark.parametrize("name", [n for n in NAMES if n in ORACLES])
 def test_query_agrees_with_sql(spark, sf_dir, name):
     import duckdb
 
-    from tidemark.llm.oracles import ORACLES
-
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     got = queries.QUERIES[name](spark, sf_dir)
     want = db.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
@@ -543,4 +543,4 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in NAMES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in NAMES} == set(range(1, 14))

@@ -85,6 +85,16 @@ def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, bounds)
 
 
+def _long_hash(data: np.ndarray, table: np.ndarray) -> np.uint64:
+    """What ``hashes`` gives for one word of any length, segment by segment."""
+    up, _ = _POWERS.get(SEGMENT)
+    total, mask = len(data), (1 << 64) - 1
+    for at in range(0, len(data), SEGMENT):
+        part = table[data[at : at + SEGMENT]]
+        total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(BASE, at, 1 << 64)
+    return mixed(np.array([total & mask], dtype=np.uint64))[0]
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of every span of bytes. ``lower`` folds A-Z."""
     out = np.empty(len(starts), dtype=np.uint64)
@@ -92,7 +102,11 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
     i = 0
     while i < len(starts):
         base = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, base + SEGMENT, side="right")))
+        if ends[i] - base > SEGMENT:
+            out[i] = _long_hash(data[base : ends[i]], table)
+            i += 1
+            continue
+        j = int(np.searchsorted(ends, base + SEGMENT, side="right"))
         up, down = _POWERS.get(int(ends[j - 1] - base))
         total = np.zeros(len(up) + 1, dtype=np.uint64)
         np.cumsum(table[data[base : ends[j - 1]]] * up, out=total[1:])
