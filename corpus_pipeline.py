@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, language, lines, mixing, packing
-from tidemark.llm.files import settled, shielded
+from tidemark.llm.files import drop, settled, shielded
+from tidemark.llm.keys import row_key
 from tidemark.llm.queries import prepared
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -49,14 +50,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows that repeat an id and text are one. Documents without words are in no group and stay.
     """
     prepared(spark)
-    row = F.xxhash64("doc_id", "text")
+    row = row_key(docs, [F.col("doc_id"), F.col("text")])
     groups = settled(jaccard.join_components(docs.select(row.alias("doc_id"), "text")).select("doc_id", "component_id").distinct(), "groups")
     ids = docs.select(F.col("doc_id").alias("own"), row.alias("doc_id"))
     first = F.min(F.struct(F.col("own").isNull(), "own", "doc_id")).alias("first")
     kept = ids.join(groups, "doc_id").groupBy("component_id").agg(first).select(F.col("first.doc_id").alias("_row"))
     kept = settled(kept, "kept")
     rows, names = shielded(docs)
-    keyed = rows.withColumn("_row", F.xxhash64(names["doc_id"], names["text"]))
+    keyed = rows.withColumn("_row", row_key(rows, [F.col(names["doc_id"]), F.col(names["text"])]))
     return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*names.values()).toDF(*docs.columns)
 
 
@@ -86,7 +87,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents table, each written and read again."""
-    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = settled(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop(before)
+        before = docs
     return docs
