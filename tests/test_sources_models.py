@@ -195,6 +195,7 @@ def test_jobs_end_to_end(spark, tmp_path):
     day = spark.range(10).select(
         F.concat(F.lit("r"), F.col("id") % 5).alias("repo_name"), F.lit("2025-06-20").cast("date").alias("date")
     )
+    day = day.union(day.withColumn("date", F.lit("2025-07-01").cast("date")))
     for name, columns in {
         "pr": {"pr_merged_count": F.lit(2).cast("long"), "avg_hours_to_merge": F.lit(3.0)},
         "push": {"push_count": F.lit(1).cast("long")},
@@ -209,7 +210,7 @@ def test_jobs_end_to_end(spark, tmp_path):
     july = built.where("issue_created_at = '2025-07-01'").first()
     assert (july.pr_merged_30d, july.avg_merge_hours_30d, july.star_count_30d) == (4, 3.0, 8)
 
-    verify = ["verify", "--issues", f"{root}/issues", "--joined", f"{root}/joined", "--pr", f"{root}/pr", "--repo", "r1"]
+    verify = ["verify", "--issues", f"{root}/issues", "--joined", f"{root}/joined", *feeds[2:], "--repo", "r1"]
     jobs.main([*verify, "--out", f"{root}/checks"], spark)
     assert spark.read.json(f"{root}/checks/row_parity").first().asDict() == {"source_rows": 160, "joined_rows": 160}
     spots = spark.read.json(f"{root}/checks/spot_check").collect()
@@ -237,3 +238,10 @@ def test_jobs_end_to_end(spark, tmp_path):
     built.withColumn("pr_merged_30d", F.col("pr_merged_30d") + 1).write.parquet(f"{root}/off")
     with pytest.raises(SystemExit, match="differ"):
         jobs.main([*verify[:3], "--joined", f"{root}/off", *verify[5:], "--out", f"{root}/off_checks"], spark)
+    # Stars of the record's own day in its sum: the spot check, on merges only, sees nothing of it.
+    same_day = F.when(F.to_date("issue_created_at") == "2025-07-01", F.col("star_count_30d") + 8).otherwise(F.col("star_count_30d"))
+    leaky = built.withColumn("star_count_30d", same_day)
+    assert leaky.exceptAll(built).count() > 0
+    leaky.write.parquet(f"{root}/leaky")
+    with pytest.raises(SystemExit, match="star_count_30d has days outside its window"):
+        jobs.main([*verify[:3], "--joined", f"{root}/leaky", *verify[5:], "--out", f"{root}/leaky_checks"], spark)

@@ -81,37 +81,42 @@ def leakage(
 
     Each sum is counted again from the raw daily rows, over the days that lie 1 to n days before the record's own
     day, by an equi-join on the day and without the window operator. A stored value that differs, because a day too
-    many or too few went into it, is a leak; lags tell how near and how far the days lie that had activity. Every
-    distinct (entity, day) of the records becomes n rows, and feeds are summed by day first.
+    many or too few went into it, is a leak; lags tell how near and how far the days lie that had activity.
+
+    All sums are counted in one pass: every distinct (entity, day) of the records becomes as many rows as the longest
+    window has days, the feeds are added up by day into one table, and a shorter window takes its share of the lags.
     """
     own = day_number(utc_day(at))
-    lines = None
+    sums = [(feed, m) for feed in feeds for m in feed.measures if m.how == "sum"]
+    daily = None
     for feed in feeds:
-        for measure in feed.measures:
-            if measure.how != "sum":
-                continue
-            days = stored.where(F.col(entity).isNotNull() & F.col(at).isNotNull()).select(
-                F.col(entity).alias("_entity"), own.alias("_own")
-            )
-            days = days.groupBy("_entity", "_own").agg(F.count(F.lit(1)).alias("_records"))
-            lag = F.explode(F.sequence(F.lit(1), F.lit(measure.days)))
-            allowed = days.select("_entity", "_own", lag.alias("_lag")).withColumn("_day", F.col("_own") - F.col("_lag"))
-            daily = feed.daily.where(F.col(feed.entity).isNotNull() & F.col(feed.day).isNotNull())
-            daily = daily.groupBy(
-                F.col(feed.entity).alias("_entity"), day_number(F.col(feed.day).cast("date")).alias("_day")
-            ).agg(F.sum(measure.source).alias("_value"))
-            again = (
-                allowed.join(daily, ["_entity", "_day"])
-                .groupBy("_entity", "_own")
-                .agg(F.sum("_value").alias("_sum"), F.min("_lag").alias("_near"), F.max("_lag").alias("_far"))
-            )
-            records = stored.select(F.col(entity).alias("_entity"), own.alias("_own"), F.col(measure.alias).alias("_stored"))
-            checked = records.join(again, ["_entity", "_own"], "left")
-            line = checked.agg(
-                F.count("_near").alias("active_rows"),
-                F.min("_near").cast("long").alias("min_lag"),
-                F.max("_far").cast("long").alias("max_lag"),
-                F.count_if(~F.col("_stored").eqNullSafe(F.coalesce("_sum", F.lit(0)))).alias("leaks"),
-            ).select(F.lit(measure.alias).alias("signal"), "*")
-            lines = line if lines is None else lines.unionByName(line)
-    return lines
+        if not any(f is feed for f, _ in sums):
+            continue
+        rows = feed.daily.where(F.col(feed.entity).isNotNull() & F.col(feed.day).isNotNull())
+        day = day_number(F.col(feed.day).cast("date")).alias("_day")
+        values = [F.col(m.source).alias(m.alias) for f, m in sums if f is feed]
+        active = [F.lit(True).alias(f"_on_{m.alias}") for f, m in sums if f is feed]
+        part = rows.select(F.col(feed.entity).alias("_entity"), day, *values, *active)
+        daily = part if daily is None else daily.unionByName(part, allowMissingColumns=True)
+    daily = daily.groupBy("_entity", "_day").agg(
+        *(F.sum(m.alias).alias(m.alias) for _, m in sums), *(F.max(f"_on_{m.alias}").alias(f"_on_{m.alias}") for _, m in sums)
+    )
+    days = stored.where(F.col(entity).isNotNull() & F.col(at).isNotNull())
+    days = days.select(F.col(entity).alias("_entity"), own.alias("_own")).groupBy("_entity", "_own").agg(F.count(F.lit(1)))
+    lag = F.explode(F.sequence(F.lit(1), F.lit(max(m.days for _, m in sums)))).alias("_lag")
+    allowed = days.select("_entity", "_own", lag).withColumn("_day", F.col("_own") - F.col("_lag"))
+    again = []
+    for _, m in sums:
+        inside, near = F.col("_lag") <= m.days, F.when((F.col("_lag") <= m.days) & F.col(f"_on_{m.alias}"), F.col("_lag"))
+        again += [F.sum(F.when(inside, F.col(m.alias))).alias(f"_sum_{m.alias}")]
+        again += [F.min(near).alias(f"_near_{m.alias}"), F.max(near).alias(f"_far_{m.alias}")]
+    counted = allowed.join(daily, ["_entity", "_day"]).groupBy("_entity", "_own").agg(*again)
+    records = stored.select(F.col(entity).alias("_entity"), own.alias("_own"), *(F.col(m.alias) for _, m in sums))
+    checked = records.join(counted, ["_entity", "_own"], "left")
+    totals = []
+    for _, m in sums:
+        differs = ~F.col(m.alias).eqNullSafe(F.coalesce(f"_sum_{m.alias}", F.lit(0)))
+        line = [F.count(f"_near_{m.alias}").alias("active_rows"), F.min(f"_near_{m.alias}").cast("long").alias("min_lag")]
+        line += [F.max(f"_far_{m.alias}").cast("long").alias("max_lag"), F.count_if(differs).alias("leaks")]
+        totals.append(F.struct(F.lit(m.alias).alias("signal"), *line))
+    return checked.agg(F.array(*totals).alias("lines")).select(F.inline("lines"))

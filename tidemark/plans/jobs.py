@@ -2,13 +2,14 @@
 
     python -m tidemark.plans.jobs profile issues=DIR pr_daily=DIR ... --out DIR
     python -m tidemark.plans.jobs build --issues DIR --pr DIR --push DIR --release DIR --watch DIR --out DIR
-    python -m tidemark.plans.jobs verify --issues DIR --joined DIR --pr DIR --repo NAME --out DIR
+    python -m tidemark.plans.jobs verify --issues DIR --joined DIR --pr DIR --push DIR --release DIR --watch DIR --repo NAME --out DIR
     python -m tidemark.plans.jobs train --input DIR --out DIR [--signals] [--smoke] [--form one_vs_rest]
     python -m tidemark.plans.jobs train-sampled --input DIR --out DIR [--signals] [--smoke]
     python -m tidemark.plans.jobs score --input DIR --model DIR --out DIR
 
 ``--smoke`` reads the first three shards, samples little, names its report apart and keeps no model.
-``verify`` writes its tables and ends with an error if they show a lost row or a sum that differs.
+``verify`` writes its tables and ends with an error if they show a lost row or a sum that differs from the daily rows
+of the days before: activity of the record's own day in a sum, or a day too far back, is a leak.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import SparkSession
 
 from tidemark import fixed, session
 from tidemark.operators import quality, splits
+from tidemark.operators.trailing import signal_feeds
 from tidemark.plans import feature_table, report, sampled, training
 from tidemark.sources import profile, shards, tables
 
@@ -50,6 +52,7 @@ def run_verify(spark: SparkSession, args: argparse.Namespace) -> None:
             ["issue_created_at", "row_id"],
         ),
         "signal_zero_fraction": feature_table.zero_report(joined),
+        "leakage": quality.leakage(joined, signal_feeds(*(shards.read_shards(spark, p) for p in (args.pr, args.push, args.release, args.watch)))),
     }
     for name, check in checks.items():
         check.coalesce(1).write.mode("overwrite").json(f"{args.out}/{name}")
@@ -60,6 +63,8 @@ def run_verify(spark: SparkSession, args: argparse.Namespace) -> None:
     spots = spark.read.schema("stored bigint, counted_again bigint").json(f"{args.out}/spot_check")
     if bad := spots.where("not stored <=> counted_again").count():
         wrong.append(f"{bad} of the sums looked at differ from the daily rows")
+    for line in spark.read.json(f"{args.out}/leakage").where("leaks > 0").collect():  # a line a signal at most
+        wrong.append(f"{line.signal} has days outside its window in {line.leaks} rows")
     if wrong:
         raise SystemExit("; ".join(wrong))
 
@@ -120,7 +125,7 @@ def parser() -> argparse.ArgumentParser:
     job.set_defaults(run=run_build)
 
     job = jobs.add_parser("verify")
-    for value in ("issues", "joined", "pr", "repo"):
+    for value in ("issues", "joined", "pr", "push", "release", "watch", "repo"):
         job.add_argument(f"--{value}", required=True)
     job.set_defaults(run=run_verify)
 

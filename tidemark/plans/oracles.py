@@ -374,7 +374,54 @@ def _scorer() -> str:
     )
 
 
+_DAYS = (
+    "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, COUNT(*) AS n, ROUND(SUM(value), 6) AS total, "
+    "ROUND(SUM(value) / COUNT(*), 6) AS mean FROM {rows} GROUP BY ALL"
+)
+
+
+def _streamed() -> str:
+    """Days are closed where their end is not beyond the watermark, a day before the latest instant, in milliseconds."""
+    mark = "date_trunc('millisecond', MAX(ts)) - INTERVAL 1 DAY"
+    over = "CAST(ts AS DATE) + INTERVAL 1 DAY"
+    return _with(
+        [],
+        f"{_DAYS.format(rows='in_time')} UNION ALL SELECT CAST(CAST(ts AS DATE) AS VARCHAR), '(late)', COUNT(*), NULL, NULL "
+        "FROM missed GROUP BY CAST(ts AS DATE)",
+        {
+            "arrived": f"SELECT *, CAST(ts AS DATE) < DATE '{star.STREAM_CUT}' AND event_id % 97 <> 0 AS early FROM events WHERE value IS NOT NULL",
+            "marks": f"SELECT (SELECT {mark} FROM arrived WHERE early) AS before, (SELECT {mark} FROM arrived) AS after",
+            "in_time": f"SELECT a.* FROM arrived a, marks m WHERE (early OR {over} > m.before) AND {over} <= m.after",
+            "missed": f"SELECT a.* FROM arrived a, marks m WHERE NOT early AND {over} <= m.before",
+        },
+    )
+
+
+def _before(seconds: int) -> str:
+    return f"b.ts < a.ts AND b.ts >= a.ts - INTERVAL {seconds} SECOND"
+
+
 ORACLES: dict[str, str] = {
+    "shuffled_places": _with(
+        ["issues"],
+        f"SELECT issue_id, row_number() OVER (ORDER BY md5('shuffle:{fixed.SEED}:' || CAST(issue_id AS VARCHAR))) - 1 AS place FROM issues",
+    ),
+    "daily_rollup": _DAYS.format(rows="events WHERE value IS NOT NULL AND ts IS NOT NULL"),
+    "daily_rollup_corrected": _DAYS.format(rows="events WHERE value IS NOT NULL AND ts IS NOT NULL"),
+    "daily_rollup_stream": _streamed(),
+    "trailing_hours": (
+        f"SELECT a.event_id, COUNT(b.event_id) AS n_24h, ROUND(COALESCE(SUM(b.value), 0), 6) AS value_24h, "
+        f"COUNT(CASE WHEN {_before(3600)} THEN 1 END) AS n_1h FROM events a "
+        f"LEFT JOIN events b ON b.user_id = a.user_id AND {_before(86400)} GROUP BY a.event_id"
+    ),
+    "sgd_text": _with(["predictions"], _TEST_SUPPORT),
+    "sgd_checkpoints": _with(
+        ["train"],
+        "SELECT i.item, CASE WHEN i.item = 'holdout rows' THEN (SELECT COUNT(*) FROM parts WHERE part = 'val') ELSE 1 END::DOUBLE AS value "
+        "FROM (VALUES ('holdout rows'), ('kept is the first best'), ('kept scores as when stored'), ('ended in time'), "
+        "('said why it ended')) i(item)",
+        _SAMPLED,
+    ),
     "scan_issues": _with(
         ["issues"],
         "SELECT issue_id, repo_name, author_association, CAST(issue_created_at AS VARCHAR) AS issue_created_at, label FROM issues",
@@ -538,9 +585,10 @@ ORACLES: dict[str, str] = {
         _SAMPLED,
     ),
     "embedding_signals_lr": (
-        "SELECT CAST(label AS VARCHAR) AS class, COUNT(*) AS support, TRUE AS recounted FROM embeddings "
+        "SELECT ['Fast', 'Medium', 'Slow', 'Stale'][list_position(s, list_max(s))] AS class, COUNT(*) AS support, "
+        f"TRUE AS recounted, TRUE AS learnt FROM (SELECT vec_id, [{_QUARTERS}] AS s FROM embeddings) z "
         "WHERE CAST(CAST('0x' || substr(md5('42:' || CAST(vec_id AS VARCHAR)), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0 < 0.1 "
-        "GROUP BY label"
+        "GROUP BY class"
     ),
     "model_roundtrip": _with(["predictions"], "SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS differing FROM predictions"),
 }

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed, session
 from tidemark.functions import scalars, text, vectors
-from tidemark.operators import metrics, quality, sampling, splits, weights
+from tidemark.operators import metrics, quality, rollup, sampling, shuffle, splits, weights
+from tidemark.operators.trailing_time import TimeMeasure, with_trailing_time
 from tidemark.operators.trailing import Feed, activity_feed, signal_feeds, trailing_features, window_features
-from tidemark.plans import feature_table, report, sampled, scoring, training
+from tidemark.plans import feature_table, incremental, report, sampled, scoring, training
 from tidemark.sources import profile, shards, star, tables
+from tidemark.streaming import rollup as streamed
 from tidemark.streaming import shard_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,9 +169,61 @@ def train_val_split(spark: SparkSession, sf: str) -> DataFrame:
     return parts.select("issue_id", "label", "part")
 
 
+def shuffled_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Place of every issue in the seeded shuffle."""
+    return shuffle.with_places(star.issues(spark, sf).select("issue_id"), "issue_id")
+
+
+# Roll-ups of raw events
+
+
+def _daily(rolled: DataFrame) -> DataFrame:
+    columns = [F.col(rollup.DAY).cast("string").alias("day"), "event_type", "n", F.round("total", 6).alias("total")]
+    return rollup.with_mean(rolled).select(*columns, F.round("mean", 6).alias("mean"))
+
+
+def daily_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return _daily(rollup.daily_rollup(star.table(spark, sf, "events"), "event_type", "ts", "value"))
+
+
+def daily_rollup_corrected(spark: SparkSession, sf: str) -> DataFrame:
+    """The roll-up after a second batch with late events of some days: those days are counted again, no others."""
+    events = star.table(spark, sf, "events")
+    late = (F.col("event_id") % 7 == 0) & (F.dayofmonth("ts") % 3 == 0)
+    store = rollup.DailyStore(spark, session.scratch_dir(spark, "daily"), "event_type", "ts", "value")
+    store.take_in(events.where(~late), 0)
+    store.take_in(events.where(late), 1)
+    return _daily(store.daily(events.schema["event_type"].dataType).withColumnRenamed("entity", "event_type"))
+
+
+def daily_rollup_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Closed days from two runs of one stream, and, as (late), the rows of each that came in the second run after the
+    watermark had passed them. The first run sees the first half of the days, but for every 97th event."""
+    events = star.table(spark, sf, "events")
+    first = (F.to_date("ts") < F.lit(star.STREAM_CUT)) & (F.col("event_id") % 97 != 0)
+    raw, out, state = (session.scratch_dir(spark, p) for p in ("events", "daily", "stream-state"))
+    for part in (first, ~first):
+        events.where(part).write.mode("append").parquet(raw)
+        stream = shard_scoring.shard_stream(spark, raw, streamed.shard_schema(spark, raw))
+        streamed.start_rollup(streamed.rolled_stream(stream, "event_type", "ts", "value"), out, state).awaitTermination()
+    closed = rollup.stored_days(spark, out, events.schema["event_type"].dataType)
+    late = streamed.late_rows(spark.read.parquet(raw), closed, "event_type", "ts", "value").where("late > 0")
+    nothing = F.lit(None).cast("double")
+    late = late.select(F.col("day").cast("string").alias("day"), F.lit("(late)").alias("event_type"), F.col("late").alias("n"), nothing.alias("total"), nothing.alias("mean"))
+    return _daily(closed.withColumnRenamed("entity", "event_type")).unionByName(late)
+
+
 # Trailing windows
 
 
+def trailing_hours(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every event: the same user's events and their values in the day, and events in the hour, before it."""
+    events = star.table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    measures = [TimeMeasure("n_24h", 86_400), TimeMeasure("value_24h", 86_400, "sum", "value"), TimeMeasure("n_1h", 3_600)]
+    found = with_trailing_time(events, events, measures, "user_id", "ts", bucket_seconds=21_600)
+    return _rounded(found.select("event_id", "n_24h", "value_24h", "n_1h"), "value_24h")
+
+
 def _one_feed(feed: int) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         chosen = _feeds(spark, sf)[feed]
@@ -377,7 +431,7 @@ def _scored_text(spark: SparkSession, sf: str, spec: training.LinearSpec) -> Dat
 MARGIN = 1.1
 
 
-def _judged(pairs: DataFrame, labels: Sequence[str] = fixed.LABELS, margin: float = MARGIN) -> DataFrame:
+def _judged(pairs: DataFrame, labels: Sequence[str] = fixed.LABELS) -> DataFrame:
     """(class, support, recounted, learnt): per class its rows, whether the report agrees with a plain recount of the
     stored predictions, and whether the model's macro-F1 is well above that of the commonest class."""
     stored = tables.materialize(pairs, session.scratch_dir(pairs.sparkSession, "pairs"))
@@ -396,7 +450,7 @@ def _judged(pairs: DataFrame, labels: Sequence[str] = fixed.LABELS, margin: floa
         lines.where(F.col("class").isin(*labels))
         .join(again, "class")
         .crossJoin(F.broadcast(macro))  # one row
-        .select("class", "support", same.alias("recounted"), (F.col("macro") > margin * F.col("constant")).alias("learnt"))
+        .select("class", "support", same.alias("recounted"), (F.col("macro") > MARGIN * F.col("constant")).alias("learnt"))
     )
 
 
@@ -425,14 +479,14 @@ def lr_predictions(spark: SparkSession, sf: str) -> DataFrame:
 def saved_model_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """The test split scored by a model that was saved and loaded again."""
     rows, path = star.issues(spark, sf, body=True), session.scratch_dir(spark, "model")
-    training.fit_linear(_train(rows), training.LinearSpec(iterations=3)).save(path)
+    training.fit_linear(_train(rows), training.LinearSpec()).save(path)
     return _named(training.load_model(spark, path).predict_stored(_test(rows), ["issue_id"]))
 
 
 def sampled_training(spark: SparkSession, sf: str) -> DataFrame:
     """The sampled run from sample to report: (item, value) for sample, holdout, class weights and test support."""
     rows = star.issues(spark, sf, body=True)
-    specs = [training.LinearSpec(l2=v, iterations=3) for v in (1e-4, 1e-2)]
+    specs = [training.LinearSpec(l2=v) for v in (1e-4, 1e-2)]
     run = sampled.train_sampled(_train(rows), _test(rows), "issue_id", specs, star.SAMPLE_TARGET)
     part = F.concat(F.lit("part "), F.col("part"))
     value = F.count(F.lit(1)).cast("double").alias("value")
@@ -449,7 +503,7 @@ def fitted_ladder(spark: SparkSession, sf: str) -> DataFrame:
     rows = _signals(spark, sf, body=True)
     scored = None
     for name, signals in (("text", False), ("text_signals", True)):
-        model = training.fit_linear(_train(rows), training.LinearSpec(signals=signals, iterations=3, buckets=2**14))
+        model = training.fit_linear(_train(rows), training.LinearSpec(signals=signals))
         found = model.predict_stored(_test(rows), ["issue_id"]).withColumnRenamed("pred_label", name)
         scored = found if scored is None else scored.join(found.drop("true_label"), "issue_id")
     common = weights.label_counts(_train(rows)).orderBy(F.desc("n"), "label").first()["label"]
@@ -464,7 +518,7 @@ def model_selection(spark: SparkSession, sf: str) -> DataFrame:
     rows = _train(star.issues(spark, sf, body=True))
     parts = sampled.sampled_parts(rows, "issue_id", star.SAMPLE_TARGET)
     parts = tables.materialize(parts, session.scratch_dir(spark, "parts"))
-    specs = [training.LinearSpec(l2=v, iterations=5) for v in (1e-4, 1e-2)]
+    specs = [training.LinearSpec(l2=v) for v in (1e-4, 1e-2)]
     found = training.select_linear(
         parts.where(F.col("part") == "train"), parts.where(F.col("part") == "val"), specs
     )
@@ -477,7 +531,7 @@ def model_selection(spark: SparkSession, sf: str) -> DataFrame:
 def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions of a saved and re-loaded model against those of the original: (n, differing)."""
     rows = star.issues(spark, sf, body=True)
-    spec = training.LinearSpec(iterations=3)
+    spec = training.LinearSpec()
     model = training.fit_linear(_train(rows), spec)
     path = session.scratch_dir(spark, "model")
     model.save(path)
@@ -490,20 +544,59 @@ def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _shards(rows: DataFrame, count: int) -> list[DataFrame]:
+    """Shards by key; a fit sees one after the other."""
+    return incremental.shards_of(rows, F.col("issue_id") % count, count)
+
+
+def sgd_text(spark: SparkSession, sf: str) -> DataFrame:
+    """One pass of incremental fitting over eight shards, the last four by a state that was stored and loaded again."""
+    rows, path = star.issues(spark, sf, body=True), session.scratch_dir(spark, "state")
+    shards_ = _shards(_train(rows), 8)
+    incremental.fit_shards(incremental.SgdState.new(incremental.SgdSpec()), shards_[:4], "issue_id").save(spark, path)
+    state = incremental.fit_shards(incremental.SgdState.load(spark, path), shards_[4:], "issue_id")
+    return _judged(incremental.predict(state, _test(rows), ["issue_id"]))
+
+
+def sgd_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
+    """Two passes over four shards of the sample's training part with a check on its holdout after each: (item, value)
+    for the checks and what must hold of the state that is kept."""
+    rows = _train(star.issues(spark, sf, body=True))
+    parts = tables.materialize(sampled.sampled_parts(rows, "issue_id", star.SAMPLE_TARGET), session.scratch_dir(spark, "parts"))
+    val, patience = parts.where("part = 'val'"), 3
+    fit = incremental.fit_with_checkpoints(
+        spark, incremental.SgdState.new(incremental.SgdSpec()), _shards(parts.where("part = 'train'"), 4), val, "issue_id",
+        session.scratch_dir(spark, "checkpoints"), patience=patience, passes=2,
+    )
+    kept = tables.materialize(incremental.predict(fit.model(spark), val, ["issue_id"]), session.scratch_dir(spark, "kept"))
+    again = metrics.macro_f1(metrics.confusion_matrix(kept, unscored=True)).first()["macro_f1"]
+    scores = [c.macro_f1 for c in fit.history]
+    best = scores.index(max(scores))
+    lines = [
+        ("holdout rows", float(kept.count())),
+        ("kept is the first best", float(fit.best == fit.history[best])),
+        ("kept scores as when stored", float(abs(again - fit.best.macro_f1) < 1e-9)),
+        ("ended in time", float(len(scores) == min(8, best + 1 + patience))),
+        ("said why it ended", float(fit.stopped == (len(scores) < 8))),
+    ]
+    return spark.createDataFrame(lines, "item string, value double")
+
+
 def embedding_signals_lr(spark: SparkSession, sf: str) -> DataFrame:
-    """Head on [embedding, 10 numeric features], a tenth of the vectors held out by hash."""
-    labels = [str(i) for i in range(10)]
+    """Head on [embedding, 10 numeric features], a tenth of the vectors held out by hash. The label is that of
+    ``argmax_label``, which the embedding holds; the table's own labels can't be told from it."""
     flags = scalars.author_flags(F.col("author_association"))
     logs = [scalars.signal_log(F.col(s)).alias(f"log_{s}") for s in fixed.SIGNALS]
     issues = _signals(spark, sf).select("issue_id", *flags, *logs)
     numeric = issues.columns[1:]
-    embeddings = star.table(spark, sf, "embeddings").withColumn("label", F.col("label").cast("string"))
+    embeddings = star.table(spark, sf, "embeddings").drop("label")
+    embeddings = embeddings.join(argmax_label(spark, sf).select("vec_id", F.col("pred_label").alias("label")), "vec_id")
     rows = embeddings.join(issues, F.col("vec_id") == F.col("issue_id"), "left").fillna(0, numeric)
     rows = tables.materialize(rows, session.scratch_dir(spark, "embedding_rows"))
     held_out = scalars.bucket_fraction(F.col("vec_id")) < 0.1
-    model = training.fit_embedding_head(rows.where(~held_out), "embedding", numeric, labels)
+    model = training.fit_embedding_head(rows.where(~held_out), "embedding", numeric, fixed.LABELS)
     scored = training.predict_head(model, rows.where(held_out), "embedding")
-    return _judged(scored, labels, margin=0.0).drop("learnt")
+    return _judged(scored)
 
 
 def batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
@@ -548,6 +641,11 @@ QUERIES: dict[str, Query] = {
     "sampling_rates": sampling_rates,
     "stratified_sample": stratified_sample,
     "train_val_split": train_val_split,
+    "shuffled_places": shuffled_places,
+    "daily_rollup": daily_rollup,
+    "daily_rollup_corrected": daily_rollup_corrected,
+    "daily_rollup_stream": daily_rollup_stream,
+    "trailing_hours": trailing_hours,
     "signal_pr": _one_feed(0),
     "signal_push": _one_feed(1),
     "signal_release": _one_feed(2),
@@ -582,6 +680,8 @@ QUERIES: dict[str, Query] = {
     "sampled_training": sampled_training,
     "model_selection": model_selection,
     "model_roundtrip": model_roundtrip,
+    "sgd_text": sgd_text,
+    "sgd_checkpoints": sgd_checkpoints,
     "embedding_signals_lr": embedding_signals_lr,
     "batch_scoring": batch_scoring,
 }

@@ -11,6 +11,8 @@ TEST_END = "2001-01-01"
 #: Rows that the test queries sample; the production target is ``fixed.SAMPLE_TARGET``.
 SAMPLE_TARGET = 3_000
 SPOT_REPO = "NATION_7"
+#: Where the first run of the streamed roll-up ends.
+STREAM_CUT = "2024-01-16"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
