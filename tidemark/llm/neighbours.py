@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.files import settled
 
-#: Tables, projections per table, cell width, buckets visited per table.
-TABLES, PROJECTIONS, WIDTH, PROBES = 24, 6, 1.2, 80
+#: Tables, projections per table, cell width, buckets visited per table. A vector is sent to as many blocks as there are
+#: tables; few of them with many visited buckets find as much as many with few, for less to shuffle.
+TABLES, PROJECTIONS, WIDTH, PROBES = 3, 5, 1.4, 200
 #: Vectors of a bucket kept together, and in a block, about.
 CHUNK, BLOCK = 2_048, 16_384
 SEED = 20_240_601
@@ -28,14 +29,21 @@ SEED = 20_240_601
 _SPAN = 1 << 9  # cells of a projection; unit vectors use far fewer
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(-1, size)
+def _matrix(column: pa.Array, size: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, size).astype(np.float64)
+
+
+def _kind(vectors: DataFrame, value: str) -> str:
+    """Numbers keep the column's own precision until they are compared."""
+    return "<f4" if vectors.schema[value].dataType.simpleString() == "array<float>" else "<f8"
 
 
 def usable(vectors: DataFrame, key: str, value: str) -> DataFrame:
-    """(_id, _v): vectors as bytes of doubles. Out go null ids and vectors that are null, zero, hold null or non-finite
+    """(_id, _v): vectors as bytes of their numbers. Out go null ids and vectors that are null, zero, hold null or non-finite
     components, or have another length than most."""
-    rows = vectors.select(F.col(key).cast("long").alias("_id"), F.col(value).cast("array<double>").alias("_v"))
+    kind = _kind(vectors, value)
+    numbers = "array<float>" if kind == "<f4" else "array<double>"
+    rows = vectors.select(F.col(key).cast("long").alias("_id"), F.col(value).cast(numbers).alias("_v"))
     rows = rows.where(F.col("_id").isNotNull() & (F.size("_v") > 0))
     size = rows.agg(F.mode(F.size("_v"), True).alias("n")).first().n or 1
 
@@ -44,7 +52,7 @@ def usable(vectors: DataFrame, key: str, value: str) -> DataFrame:
             batch = batch.filter(pc.equal(pc.list_value_length(batch.column("_v")), size))
             if batch.num_rows:
                 flat = pc.fill_null(batch.column("_v").flatten(), float("nan")).to_numpy(zero_copy_only=False)
-                x = flat.reshape(-1, size)
+                x = flat.astype(kind).reshape(-1, size)
                 good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
                 raw = pa.array([row.tobytes() for row in x[good]], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("_id").filter(pa.array(good)), raw], ["_id", "_v"])
@@ -89,7 +97,7 @@ def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -score[keep]))[:k]]
 
 
-def _ranked(size: int, k: int):
+def _ranked(size: int, k: int, kind: str):
     """Ranks a block's candidates of each query. Sums run along each row alone: equal vectors get equal scores."""
 
     def unit(x: np.ndarray) -> np.ndarray:
@@ -100,7 +108,7 @@ def _ranked(size: int, k: int):
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if members.num_rows and queries.num_rows:
             members = members.sort_by([("_cell", "ascending"), ("_id", "ascending")])
-            x, ids, cell = unit(_matrix(members.column("_v"), size)), members.column("_id").to_numpy(), members.column("_cell").to_numpy()
+            x, ids, cell = unit(_matrix(members.column("_v"), size, kind)), members.column("_id").to_numpy(), members.column("_cell").to_numpy()
             columns = (queries.column(c).to_pylist() for c in ("_q", "_qv", "_cells"))
             for q, v, cells in zip(*columns, strict=True):
                 if cells is None:
@@ -113,7 +121,7 @@ def _ranked(size: int, k: int):
                 _, first = np.unique(ids[at], return_index=True)
                 at = at[first]
                 at = at[ids[at] != q]
-                score = (x[at] * unit(np.frombuffer(v, np.float64)[None, :])).sum(axis=1)
+                score = (x[at] * unit(np.frombuffer(v, kind).astype(np.float64)[None, :])).sum(axis=1)
                 top = _best(ids[at], score, k)
                 found.append((np.full(len(top), q), ids[at[top]], score[top]))
         columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(3)]
@@ -142,14 +150,15 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", value: str = "emb
     empty = "query_id long, rank int, vec_id long, score double"
     if first is None:
         return vectors.sparkSession.createDataFrame([], empty)
-    size = len(first._v) // 8
+    kind = _kind(vectors, value)
+    size = len(first._v) // np.dtype(kind).itemsize
     hasher = Hashing(size, **hashing)
     wanted = vectors.where(is_query).select(F.col(key).cast("long").alias("_id")).distinct()
     queries = settled(settled_.join(wanted, "_id").select(F.col("_id").alias("_q"), F.col("_v").alias("_qv")), "queries")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells, _ = hasher.cells(_matrix(batch.column("_v"), size))
+            cells, _ = hasher.cells(_matrix(batch.column("_v"), size, kind))
             buckets = hasher.buckets(cells)
             for t in range(hasher.tables):
                 table = pa.array(np.full(batch.num_rows, t, np.int32))
@@ -159,7 +168,7 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", value: str = "emb
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                buckets = hasher.probes(_matrix(part.column("_qv"), size), probes)
+                buckets = hasher.probes(_matrix(part.column("_qv"), size, kind), probes)
                 n = buckets.shape[2]
                 table = np.tile(np.repeat(np.arange(hasher.tables, dtype=np.int32), n), part.num_rows)
                 q = part.column("_q").take(pa.array(np.repeat(np.arange(part.num_rows), hasher.tables * n)))
@@ -179,7 +188,7 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", value: str = "emb
     visits = visits.select("_q", block, cell).groupBy("_q", "_g").agg(F.collect_list("_cell").alias("_cells"))
     visits = visits.join(queries, "_q").select(F.col("_g").alias("_to"), "_q", "_qv", "_cells")
     schema = "query_id long, vec_id long, score double"
-    found = members.groupBy("_g").cogroup(visits.groupBy("_to")).applyInArrow(_ranked(size, k), schema)
+    found = members.groupBy("_g").cogroup(visits.groupBy("_to")).applyInArrow(_ranked(size, k, kind), schema)
     found = settled(_top(found, k), "found")
 
     few = queries.join(found.groupBy(F.col("query_id").alias("_q")).count(), "_q", "left")
@@ -189,6 +198,6 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", value: str = "emb
     parts = max(1, -(-total // BLOCK))
     spread = settled_.select(F.pmod(F.xxhash64("_id"), F.lit(parts)).alias("_g"), F.lit(0).cast("long").alias("_cell"), "_id", "_v")
     sent = few.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_to"), "_q", "_qv", F.lit(None).cast("array<long>").alias("_cells"))
-    exact = spread.groupBy("_g").cogroup(sent.groupBy("_to")).applyInArrow(_ranked(size, k), schema)
+    exact = spread.groupBy("_g").cogroup(sent.groupBy("_to")).applyInArrow(_ranked(size, k, kind), schema)
     rest = found.join(few.select(F.col("_q").alias("query_id")), "query_id", "left_anti")
     return rest.unionByName(_top(exact, k))
