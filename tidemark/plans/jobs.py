@@ -23,18 +23,20 @@ from tidemark import fixed, session
 from tidemark.operators import quality, splits
 from tidemark.operators.trailing import signal_feeds
 from tidemark.plans import feature_table, report, sampled, training
-from tidemark.sources import profile, shards, tables
+from tidemark.sources import footers, shards, tables
 
 
 def run_profile(spark: SparkSession, args: argparse.Namespace) -> None:
     named = dict(item.split("=", 1) for item in args.datasets)
-    found = profile.dataset_profile({name: shards.read_shards(spark, path) for name, path in named.items()})
+    found = footers.file_profile(spark, named)
     found.coalesce(1).write.mode("overwrite").json(args.out)
 
 
 def run_build(spark: SparkSession, args: argparse.Namespace) -> None:
     inputs = [shards.read_shards(spark, p) for p in (args.issues, args.pr, args.push, args.release, args.watch)]
-    feature_table.build_table(*inputs, path=args.out, dedupe_keys=not args.fan_out, max_records=args.max_records)
+    built = feature_table.build_checked(*inputs, path=args.out, dedupe_keys=not args.fan_out, max_records=args.max_records)
+    for signal in built.alarms:
+        print(f"{signal}: {built.zero_shares[signal]:.1%} of {built.joined_rows} rows are zero")
 
 
 def run_verify(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -397,6 +397,29 @@ def _streamed() -> str:
     )
 
 
+def _footers() -> str:
+    """Columns by the catalog, rows by counting."""
+    names = ("orders", "lineitem", "customer", "nation", "events")
+    counts = " UNION ALL ".join(f"SELECT '{n}' AS dataset, COUNT(*) AS n_rows FROM {n}" for n in names)
+    return (
+        f"SELECT dataset, n_rows, CAST(column_index AS INTEGER) AS position, column_name, TRUE AS has_groups FROM ({counts}) c "
+        "JOIN duckdb_columns() d ON d.table_name = c.dataset AND d.schema_name = 'main'"
+    )
+
+
+def _durations() -> str:
+    cases = " ".join(f"WHEN hours <= {limit} THEN '{name}'" for limit, name in zip(star.DURATIONS, fixed.LABELS))
+    now = f"TIMESTAMP '{star.AS_OF}'"
+    return (
+        "WITH rows_ AS (SELECT o_orderkey AS issue_id, o_orderdate AS opened, (SELECT MAX(l_shipdate) FROM lineitem WHERE l_orderkey = o_orderkey) AS closed "
+        f"FROM orders), timed AS (SELECT *, closed <= {now} AS shut, CASE WHEN closed <= {now} AND closed >= opened "
+        "THEN (epoch_us(closed) - epoch_us(opened)) / 3.6e9 END AS hours FROM rows_), classed AS (SELECT issue_id, hours, "
+        f"CASE WHEN opened > {now} THEN NULL WHEN shut THEN CASE {cases} WHEN hours IS NOT NULL THEN '{fixed.LABELS[-1]}' END "
+        f"WHEN (epoch_us({now}) - epoch_us(opened)) / 3.6e9 > {star.DURATIONS[-1]} THEN '{fixed.LABELS[-1]}' END AS label FROM timed) "
+        "SELECT issue_id, ROUND(hours, 6) AS duration_hours, label, label IS NOT NULL AS mature FROM classed"
+    )
+
+
 def _before(seconds: int) -> str:
     return f"b.ts < a.ts AND b.ts >= a.ts - INTERVAL {seconds} SECOND"
 
@@ -406,6 +429,21 @@ ORACLES: dict[str, str] = {
         ["issues"],
         f"SELECT issue_id, row_number() OVER (ORDER BY md5('shuffle:{fixed.SEED}:' || CAST(issue_id AS VARCHAR))) - 1 AS place FROM issues",
     ),
+    "file_profile": _footers(),
+    "laid_out_signals": _with(
+        ["issues", *_DAILY],
+        f"SELECT i.issue_id, {_ALL_COLUMNS} FROM {_JOIN_DAY} WHERE i.issue_date >= DATE '{star.TRAIN_END}' AND i.issue_date < DATE '{star.TEST_END}'",
+        _BY_DAY,
+    ),
+    "duration_classes": _durations(),
+    "tree_signals": _with(
+        ["issues", *_DAILY],
+        "SELECT CASE WHEN slow AND own THEN 'Fast' WHEN slow THEN 'Medium' WHEN own THEN 'Slow' ELSE 'Stale' END AS class, "
+        "COUNT(*) AS support, TRUE AS recounted, TRUE AS learnt FROM ("
+        f"SELECT COALESCE(j.avg_merge_hours_30d, 0) > {star.SLOW_MERGE} AS slow, COALESCE(j.author_association, '') = 'OWNER' AS own FROM joined j "
+        f"WHERE j.issue_created_at >= '{star.TRAIN_END}' AND j.issue_created_at < '{star.TEST_END}') z GROUP BY 1",
+        _JOINED,
+    ),
     "daily_rollup": _DAYS.format(rows="events WHERE value IS NOT NULL AND ts IS NOT NULL"),
     "daily_rollup_corrected": _DAYS.format(rows="events WHERE value IS NOT NULL AND ts IS NOT NULL"),
     "daily_rollup_stream": _streamed(),
@@ -567,7 +605,7 @@ ORACLES: dict[str, str] = {
     "fitted_ladder": _with(
         ["predictions"],
         "SELECT m.model, (SELECT COUNT(*) FROM predictions) AS n, CAST(0 AS BIGINT) AS unscored, m.model <> 'commonest' AS above "
-        "FROM (VALUES ('text'), ('text_signals'), ('commonest')) m(model)",
+        "FROM (VALUES ('text'), ('text_signals'), ('trees'), ('commonest')) m(model)",
     ),
     "saved_model_scoring": _with(["predictions"], _TEST_ROWS),
     "model_selection": _with(

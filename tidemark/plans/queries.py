@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed, session
 from tidemark.functions import scalars, text, vectors
-from tidemark.operators import metrics, quality, rollup, sampling, shuffle, splits, weights
+from tidemark.operators import durations, metrics, quality, rollup, sampling, shuffle, splits, weights
 from tidemark.operators.trailing_time import TimeMeasure, with_trailing_time
 from tidemark.operators.trailing import Feed, activity_feed, signal_feeds, trailing_features, window_features
-from tidemark.plans import feature_table, incremental, report, sampled, scoring, training
-from tidemark.sources import profile, shards, star, tables
+from tidemark.plans import feature_table, incremental, report, sampled, scoring, training, trees
+from tidemark.sources import footers, layout, profile, shards, star, tables
 from tidemark.streaming import rollup as streamed
 from tidemark.streaming import shard_scoring
 
@@ -84,6 +85,31 @@ def dataset_profile(spark: SparkSession, sf: str) -> DataFrame:
     return profile.dataset_profile({"issues": star.issues(spark, sf), **daily})
 
 
+def file_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and columns of stored tables from their footers, and whether row groups and bytes were found in each."""
+    named = {t: f"{sf}/{t}.parquet" for t in ("orders", "lineitem", "customer", "nation", "events")}
+    found = footers.file_profile(spark, named)
+    whole = (F.col("row_groups") >= F.col("files")) & (F.col("bytes") > 0)
+    return found.select("dataset", "n_rows", "position", "column_name", whole.alias("has_groups"))
+
+
+def laid_out_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals of the test split from two stored tables, by month and bucket: issues, and the signals of each repository's
+    days. Other months are not read, and no row moves for the join."""
+    issues, keys = star.issues(spark, sf), ["repo_name", "issue_date"]
+    known = issues.where(F.col("repo_name").isNotNull())
+    days = known.select("repo_name", scalars.day_number(F.col("issue_date")).alias("_day"))
+    found = window_features(days, _one_read(spark, sf), "repo_name").withColumn("issue_date", F.date_from_unix_date("_day"))
+    path, stamp = session.scratch_dir(spark, "laid-out"), uuid.uuid4().hex
+    narrow = issues.select("issue_id", *keys, "issue_created_at")
+    stored = layout.write_laid_out(narrow, f"issues_{stamp}", "issue_date", keys, 8, f"{path}/issues")
+    signals = layout.write_laid_out(found.drop("_day"), f"signals_{stamp}", "issue_date", keys, 8, f"{path}/signals")
+    test, of_day = (layout.months(t, "issue_date", star.TRAIN_END, star.TEST_END) for t in (stored, signals))
+    joined = test.join(of_day.drop(layout.MONTH), keys, "left")
+    counts = [F.coalesce(s, F.lit(0)).alias(s) for s in fixed.SIGNALS if s != "avg_merge_hours_30d"]
+    return _rounded(joined.select("issue_id", *counts, "avg_merge_hours_30d"), "avg_merge_hours_30d")
+
+
 # Scalars
 
 
@@ -213,6 +239,15 @@ def daily_rollup_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _daily(closed.withColumnRenamed("entity", "event_type")).unionByName(late)
 
 
+def duration_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of orders by the time to their last shipment, as seen in the middle of the test split."""
+    shipped = star.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("issue_id")).agg(F.max("l_shipdate").alias("closed"))
+    opened = star.table(spark, sf, "orders").select(F.col("o_orderkey").alias("issue_id"), F.col("o_orderdate").alias("opened"))
+    rows = opened.join(shipped, "issue_id", "left")
+    found = durations.with_duration_class(rows, "opened", "closed", star.DURATIONS, star.AS_OF)
+    return _rounded(found.select("issue_id", "duration_hours", "label", "mature"), "duration_hours")
+
+
 # Trailing windows
 
 
@@ -424,7 +459,7 @@ def assembled_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scored_text(spark: SparkSession, sf: str, spec: training.LinearSpec) -> DataFrame:
     rows = _signals(spark, sf, body=True) if spec.signals else star.issues(spark, sf, body=True)
-    return training.fit_linear(_train(rows), spec).predict(_test(rows), keep=["issue_id"])
+    return training.fit_linear(_train(rows), spec).predict_stored(_test(rows), keep=["issue_id"])
 
 
 #: A text model's macro-F1 must be so many times that of always naming the commonest class.
@@ -498,7 +533,7 @@ def sampled_training(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fitted_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    """Fitted text and text-and-signals models and the commonest training class on one test split:
+    """Fitted text, text-and-signals and tree models and the commonest training class on one test split:
     (model, n, unscored, above), above: macro-F1 over that of the commonest class."""
     rows = _signals(spark, sf, body=True)
     scored = None
@@ -506,9 +541,11 @@ def fitted_ladder(spark: SparkSession, sf: str) -> DataFrame:
         model = training.fit_linear(_train(rows), training.LinearSpec(signals=signals))
         found = model.predict_stored(_test(rows), ["issue_id"]).withColumnRenamed("pred_label", name)
         scored = found if scored is None else scored.join(found.drop("true_label"), "issue_id")
+    boosted = trees.fit_trees(_train(rows)).predict(_test(rows), ["issue_id"]).drop("true_label")
+    scored = scored.join(boosted.withColumnRenamed("pred_label", "trees"), "issue_id")
     common = weights.label_counts(_train(rows)).orderBy(F.desc("n"), "label").first()["label"]
     stored = tables.materialize(scored.withColumn("commonest", F.lit(common)), session.scratch_dir(spark, "scored"))
-    ladder = metrics.model_ladder(stored, {n: n for n in ("text", "text_signals", "commonest")})
+    ladder = metrics.model_ladder(stored, {n: n for n in ("text", "text_signals", "trees", "commonest")})
     floor = F.max(F.when(F.col("model") == "commonest", F.col("macro_f1"))).over(Window.partitionBy())
     return ladder.select("model", "n", "unscored", (F.col("macro_f1") > floor).alias("above"))
 
@@ -544,6 +581,15 @@ def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def tree_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Boosted trees on the ten numeric features. The label says whether merges take longer than they mostly do, and
+    whether the author belongs to the repository: what no linear model of the vector tells apart."""
+    slow, own = F.coalesce("avg_merge_hours_30d", F.lit(0.0)) > star.SLOW_MERGE, F.coalesce("author_association", F.lit("")) == "OWNER"
+    label = F.when(slow & own, "Fast").when(slow, "Medium").when(own, "Slow").otherwise("Stale")
+    rows = _signals(spark, sf).withColumn("label", label)
+    return _judged(trees.fit_trees(_train(rows)).predict(_test(rows), ["issue_id"]))
+
+
 def _shards(rows: DataFrame, count: int) -> list[DataFrame]:
     """Shards by key; a fit sees one after the other."""
     return incremental.shards_of(rows, F.col("issue_id") % count, count)
@@ -642,6 +688,9 @@ QUERIES: dict[str, Query] = {
     "stratified_sample": stratified_sample,
     "train_val_split": train_val_split,
     "shuffled_places": shuffled_places,
+    "file_profile": file_profile,
+    "laid_out_signals": laid_out_signals,
+    "duration_classes": duration_classes,
     "daily_rollup": daily_rollup,
     "daily_rollup_corrected": daily_rollup_corrected,
     "daily_rollup_stream": daily_rollup_stream,
@@ -680,6 +729,7 @@ QUERIES: dict[str, Query] = {
     "sampled_training": sampled_training,
     "model_selection": model_selection,
     "model_roundtrip": model_roundtrip,
+    "tree_signals": tree_signals,
     "sgd_text": sgd_text,
     "sgd_checkpoints": sgd_checkpoints,
     "embedding_signals_lr": embedding_signals_lr,

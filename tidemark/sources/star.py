@@ -11,6 +11,10 @@ TEST_END = "2001-01-01"
 #: Rows that the test queries sample; the production target is ``fixed.SAMPLE_TARGET``.
 SAMPLE_TARGET = 3_000
 SPOT_REPO = "NATION_7"
+#: Hours that end the classes of orders by time to shipment, and the instant they are judged at.
+DURATIONS, AS_OF = (24.0 * 365, 24.0 * 730, 24.0 * 1095), "2000-07-01"
+#: Mean merge hours beyond which merges are slow: the middle of the quantities that stand in for hours.
+SLOW_MERGE = 25.5
 #: Where the first run of the streamed roll-up ends.
 STREAM_CUT = "2024-01-16"
 
