@@ -209,6 +209,21 @@ def test_repeated_windows_go(spark, shard_bytes):
         assert all(a.last < b.first for a, b in zip(r.intervals[:-1], r.intervals[1:], strict=True))
 
 
+def test_a_passage_of_many_documents_is_no_large_group(spark):
+    """A third of all documents share a passage: its windows reach their shard once a task, and all its words go."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(i, f"a{i} b{i} c{i} d{i} " + (passage if i % 3 == 0 else " ".join(f"u{i}x{j}" for j in range(12)))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = substrings.without_repeats(docs, 6, 2_000).collect()
+    want = brute.kept_words([t for _, t in rows], 6)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == dict(enumerate(want))
+    sent = substrings.sent_windows(docs.withColumn("_key", F.col("doc_id")), 6, 7).collect()
+    hashes = Counter(h for r in sent if r.hashes is not None for h in np.frombuffer(bytes(r.hashes), np.uint64).tolist())
+    places = sum(int(np.frombuffer(bytes(r.counts), "<u4").sum()) for r in sent if r.hashes is None)
+    assert places == 300 * 7 and max(hashes.values()) <= 2
+    assert sum(hashes.values()) == 900 * 11 - 300 * 7 + 2 * 7
+
+
 def test_windows_of_odd_rows(odd, nothing):
     got = substrings.without_repeats(odd, 35).collect()
     texts = [r[1] for r in odd_rows()]

@@ -2,16 +2,18 @@
 
 Hashes are drawn to shards by a second, independent hash and counted there; shard and hash together have more than 64
 bits, and more with every shard, so that chance collisions stay rarer than one in a thousand corpora at any size.
-Repeated windows go back to their documents and merge into maximal intervals, which are removed.
+Repeated windows go back to their documents and merge into maximal intervals, which are removed. A window that repeats
+among the texts that a task hashes together is known to repeat at once: its places go to their documents, and only its
+hash, once, to the shard, so that a passage of very many documents is no large group anywhere.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,19 @@ def _unstepped(steps: bytes, far: bytes) -> np.ndarray:
     return out
 
 
+def _home(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where the documents of ``keys`` (int64) are put together again."""
+    return (words.mixed(keys.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+
+
+def _ranges(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each different value and its places, in their order."""
+    order = np.argsort(values, kind="stable")
+    cuts = np.flatnonzero(np.diff(values[order])) + 1
+    for own in np.split(order, cuts) if len(order) else []:
+        yield int(values[own[0]]), own
+
+
 def _by_document(keys: np.ndarray, places: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the documents that have places, how many each has, and differences of places within documents."""
     heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, dtype=np.int64)
@@ -62,11 +77,9 @@ def _by_document(keys: np.ndarray, places: np.ndarray, owner: np.ndarray) -> tup
     return keys[owner[heads]], np.diff(np.append(heads, len(owner))), steps
 
 
-def repeated_windows(keyed: DataFrame, size: int, shards: int) -> DataFrame:
-    """(home, keys, counts, steps, far): first words of windows that start elsewhere too, packed by document.
-
-    ``keyed`` has ``_key`` (long, equal for rows with equal id and text) and ``text``.
-    """
+def sent_windows(keyed: DataFrame, size: int, shards: int) -> DataFrame:
+    """Windows on their way, packed by document. With ``hashes``: to a shard, windows that a task saw once, and behind
+    them the hashes alone of those that it saw more often. Without: the places of the latter, to their documents' home."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -82,13 +95,24 @@ def repeated_windows(keyed: DataFrame, size: int, shards: int) -> DataFrame:
             first = bounds[owner] + place
             value = windows(hashed, size)[first]
             shard = ((windows(hashed, size, 1)[first] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            order = np.lexsort((value, shard))
+            fresh = np.ones(len(order), dtype=bool)
+            fresh[1:] = (value[order[1:]] != value[order[:-1]]) | (shard[order[1:]] != shard[order[:-1]])
+            once = fresh & np.r_[fresh[1:], True]
+            single, marks = np.sort(order[once]), order[fresh & ~once]
+            marked = {s: value[marks[own]] for s, own in _ranges(shard[marks])}
             rows = []
-            for s in np.flatnonzero(np.diff(cuts)).tolist():
-                own = order[cuts[s] : cuts[s + 1]]
+            for s, own in _ranges(shard[single]):
+                own = single[own]
                 doc, n, steps = _by_document(keys, place[own], owner[own])
-                rows.append((s, doc.tobytes(), n.astype("<u4").tobytes(), value[own].tobytes(), *_steps(steps)))
+                hashes = np.concatenate([value[own], marked.pop(s, value[:0])])
+                rows.append((s, doc.tobytes(), n.astype("<u4").tobytes(), hashes.tobytes(), *_steps(steps)))
+            rows += [(s, b"", b"", hashes.tobytes(), b"", b"") for s, hashes in marked.items()]
+            several = np.sort(order[~once])
+            for h, own in _ranges(_home(keys[owner[several]], shards)):
+                own = several[own]
+                doc, n, steps = _by_document(keys, place[own], owner[own])
+                rows.append((h, doc.tobytes(), n.astype("<u4").tobytes(), None, *_steps(steps)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = [pa.int32()] + [pa.binary()] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _names(_SENT))
@@ -103,21 +127,35 @@ def repeated_windows(keyed: DataFrame, size: int, shards: int) -> DataFrame:
         if waiting:
             yield flush()
 
+    return keyed.select("_key", "text").mapInArrow(send, _SENT)
+
+
+def repeated_windows(keyed: DataFrame, size: int, shards: int) -> DataFrame:
+    """(home, keys, counts, steps, far): first words of windows that start elsewhere too, packed by document.
+
+    ``keyed`` has ``_key`` (long, equal for rows with equal id and text) and ``text``.
+    """
+
     def count(table: pa.Table) -> pa.Table:
+        known = table.filter(pc.is_null(table.column("hashes")))  # places found to repeat, and on the way to their documents
+        out = list(zip(*(known.column(n).to_pylist() for n in ("shard", "keys", "counts", "steps", "far")), strict=True))
+        table = table.filter(pc.is_valid(table.column("hashes")))
         rows = [c.to_pylist() for c in (table.column(n) for n in _names(_SENT)[1:])]
-        hashes = np.concatenate([np.frombuffer(h, dtype=np.uint64) for h in rows[2]])
+        places = np.array([len(s) for s in rows[3]], dtype=np.int64)
+        marks = np.array([len(h) // 8 for h in rows[2]], dtype=np.int64) - places
+        hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *(np.frombuffer(h, dtype=np.uint64) for h in rows[2])])
         order = np.argsort(hashes)
         same = hashes[order[1:]] == hashes[order[:-1]]
         often = np.zeros(len(hashes), dtype=bool)
         often[order[1:][same]] = True
         often[order[:-1][same]] = True
         del hashes, order
-        out, at = [], 0
-        for keys, counts, _, steps, far in zip(*rows, strict=True):
+        at = 0
+        for (keys, counts, _, steps, far), mark in zip(zip(*rows, strict=True), marks.tolist(), strict=True):
             counts, steps = np.frombuffer(counts, dtype="<u4"), _unstepped(steps, far)
             owner = np.repeat(np.arange(len(counts)), counts)
             hit = often[at : at + len(steps)]
-            at += len(steps)
+            at += len(steps) + mark
             if not hit.any():
                 continue
             total = np.cumsum(steps)
@@ -125,20 +163,14 @@ def repeated_windows(keyed: DataFrame, size: int, shards: int) -> DataFrame:
             place = total - np.repeat(total[heads] - steps[heads], counts)
             keys = np.frombuffer(keys, dtype=np.int64)
             place, owner = place[hit], owner[hit]
-            home = (words.mixed(keys.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
-            home = home[owner]
-            order = np.argsort(home, kind="stable")
-            cuts = np.searchsorted(home[order], np.arange(shards + 1))
-            for h in np.flatnonzero(np.diff(cuts)).tolist():
-                own = order[cuts[h] : cuts[h + 1]]
+            for h, own in _ranges(_home(keys, shards)[owner]):
                 doc, n, steps_ = _by_document(keys, place[own], owner[own])
                 out.append((h, doc.tobytes(), n.astype("<u4").tobytes(), *_steps(steps_)))
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         kinds = [pa.int32()] + [pa.binary()] * 4
         return pa.table({n: pa.array(c, k) for n, c, k in zip(_names(_FOUND), columns, kinds, strict=True)})
 
-    sent = keyed.select("_key", "text").mapInArrow(send, _SENT)
-    return sent.groupBy("shard").applyInArrow(count, _FOUND)
+    return sent_windows(keyed, size, shards).groupBy("shard").applyInArrow(count, _FOUND)
 
 
 def _names(schema: str) -> list[str]:
@@ -161,8 +193,7 @@ def without_repeats(docs: DataFrame, size: int = WINDOW, shard_bytes: int = SHAR
 
     def key_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            home = words.mixed(batch.column("_key").to_numpy().view(np.uint64)) % np.uint64(shards)
-            yield batch.append_column("_home", pa.array(home.astype(np.int32)))
+            yield batch.append_column("_home", pa.array(_home(batch.column("_key").to_numpy(), shards)))
 
     def cut(key: tuple, texts: pa.Table, hits: pa.Table) -> pa.Table:
         starts: dict[int, list[np.ndarray]] = {}
