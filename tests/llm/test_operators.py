@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.conftest import LONG, odd_rows
-from tidemark.llm import fingerprints, idfile, jaccard, kneser, language, lines, mixing, neighbours, packing, queries, substrings, tokens
+from tidemark.llm import fingerprints, idfile, jaccard, kneser, language, lines, mixing, neighbours, packing, queries, substrings, tokens, words
 from tidemark.llm.oracles import ORACLES
 
 NAMES = list(queries.QUERIES)
@@ -418,6 +418,18 @@ def test_neighbours_meet_across_buckets(docs):
     assert pairs == dict(zip(ids, ids[1:] + ids[:1], strict=True))
 
 
+def test_minima_are_those_of_all_functions():
+    """Signatures against 128 functions applied to every shingle in plain Python."""
+    import pyarrow as pa
+
+    texts = ["one two three four five six seven", "a b", "", "One TWO three four five", LONG[:4000]]
+    hashed, bounds = words.hashed(pa.array(texts), lower=True)
+    factor, summand = (x.tolist() for x in fingerprints._functions(fingerprints.PERMUTATIONS))
+    for own, row in zip(words.shingle_sets(hashed, bounds, fingerprints.SHINGLE), fingerprints.signatures(pa.array(texts)), strict=True):
+        want = [min([((f * s + a) % 2**64) >> 32 for s in own.tolist()] or [2**32 - 1]) for f, a in zip(factor, summand, strict=True)]
+        assert row.tolist() == want
+
+
 def test_fingerprints_of_odd_rows(odd, nothing):
     got = fingerprints.compared(odd).collect()
     assert len(got) == len(odd_rows()) and sum(r.n_chars == 0 for r in got) == 3
@@ -567,4 +579,4 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in NAMES} == set(range(1, 14))
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES if n.startswith("op")) == list(range(1, 14))

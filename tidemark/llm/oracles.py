@@ -23,13 +23,15 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
-ORACLES["op3_token_groups"] = r"""
+def _components(k: int, percent: int, columns: str) -> str:
+    """Components of documents by the Jaccard likeness of their sets of ``k``-word shingles."""
+    return rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4
-      THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= {k}
+      THEN list_transform(range(1, len(ws) - {k} + 2), lambda i: array_to_string(ws[i:i + {k} - 1], ' '))
       WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g
   FROM w
 ), n AS (
@@ -37,15 +39,19 @@ WITH RECURSIVE w AS (
 ), links AS (
   SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
   JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
-  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= {percent} * (na.n + nb.n - count(*))
 ), reach AS (
   SELECT doc_id AS x, doc_id AS y FROM documents
   UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y
 )
-SELECT n.doc_id, n.n AS n_shingles, r.c AS component_id FROM n
+SELECT n.doc_id, {columns} FROM n
 JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = n.doc_id
 """
 
+
+ORACLES["op3_token_groups"] = _components(4, 85, "n.n AS n_shingles, r.c AS component_id")
+ORACLES["minhash_components"] = _components(5, 80, "r.c AS component_id")
+
 ORACLES["op4_window_repeats"] = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents

@@ -85,6 +85,11 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(read(spark, sf_dir, "documents"))
 
 
+def minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 5-word shingles are 80 % alike, by bands of their fingerprints."""
+    return fingerprints.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors found for every fiftieth one."""
     return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -139,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_kneser_ney": op6_kneser_ney,
     "op7_entropy_mix": op7_entropy_mix,
     "op8_minhash": op8_minhash,
+    "minhash_components": minhash_components,
     "op9_multiprobe": op9_multiprobe,
     "op10_patterns": op10_patterns,
     "op11_interval_manifest": op11_interval_manifest,
