@@ -5,8 +5,11 @@
     python -m tidemark.plans.jobs verify --issues DIR --joined DIR --pr DIR --push DIR --release DIR --watch DIR --repo NAME --out DIR
     python -m tidemark.plans.jobs train --input DIR --out DIR [--signals] [--smoke] [--form one_vs_rest]
     python -m tidemark.plans.jobs train-sampled --input DIR --out DIR [--signals] [--smoke]
+    python -m tidemark.plans.jobs train-incremental --input DIR --out DIR [--state DIR] [--signals] [--every N] [--patience N]
     python -m tidemark.plans.jobs score --input DIR --model DIR --out DIR
 
+``train-incremental`` goes through the shards of --input in their order, one round each, from the state in --state if
+given, and keeps the state that did best on a tenth of the rows, held out by row; later shards go on from --out/state.
 ``--smoke`` reads the first three shards, samples little, names its report apart and keeps no model.
 ``verify`` writes its tables and ends with an error if they show a lost row or a sum that differs from the daily rows
 of the days before: activity of the record's own day in a sum, or a day too far back, is a leak.
@@ -18,11 +21,13 @@ import argparse
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tidemark import fixed, session
+from tidemark.functions.scalars import bucket_fraction
 from tidemark.operators import quality, splits
 from tidemark.operators.trailing import signal_feeds
-from tidemark.plans import feature_table, report, sampled, training
+from tidemark.plans import feature_table, incremental, report, sampled, training
 from tidemark.sources import footers, shards, tables
 
 
@@ -102,6 +107,24 @@ def run_train_sampled(spark: SparkSession, args: argparse.Namespace) -> None:
         run.best.model.save(f"{args.out}/{name}")
 
 
+def run_train_incremental(spark: SparkSession, args: argparse.Namespace) -> None:
+    spec = incremental.SgdSpec(signals=args.signals)
+    state = incremental.SgdState.load(spark, args.state) if args.state else incremental.SgdState.new(spec)
+    held = bucket_fraction(F.col("row_id")) < 1 / fixed.HOLDOUT_DIVISOR
+    own = [splits.train_rows(shards.with_row_id(shard)) for shard in shards.each_shard(spark, args.input)]
+    val = splits.train_rows(shards.with_row_id(shards.read_shards(spark, args.input))).where(held)
+    fit = incremental.fit_with_checkpoints(
+        spark, state, [shard.where(~held) for shard in own], val, "row_id", f"{args.out}/checkpoints", args.every, args.patience
+    )
+    best = fit.model(spark)
+    best.save(spark, f"{args.out}/state")
+    pairs = incremental.predict(best, splits.test_rows(shards.read_shards(spark, args.input)))
+    pairs = tables.materialize(pairs, session.scratch_dir(spark, "pairs"))
+    tried = [f"round {c.round}: macro F1 {c.macro_f1:.4f}" for c in fit.history] + [f"kept: round {fit.best.round}"]
+    notes = report.header({"train": sum(best.seen), "test": pairs.count()}, _CUTS, fixed.SIGNALS if best.spec.signals else (), tried)
+    report.write_report(spark, report.evaluate(pairs, "incremental", notes), f"{args.out}/incremental_eval")
+
+
 def run_score(spark: SparkSession, args: argparse.Namespace) -> None:
     """Test rows through a saved model: predictions as a table, and their report."""
     rows = shards.with_row_id(shards.read_shards(spark, args.input))
@@ -139,6 +162,14 @@ def parser() -> argparse.ArgumentParser:
     job.add_argument("--l2", type=float, nargs="+", default=[1e-4, 1e-2])
     job.set_defaults(run=run_train_sampled)
 
+    job = jobs.add_parser("train-incremental")
+    job.add_argument("--input", required=True)
+    job.add_argument("--state")
+    job.add_argument("--signals", action="store_true")
+    job.add_argument("--every", type=int, default=1)
+    job.add_argument("--patience", type=int, default=5)
+    job.set_defaults(run=run_train_incremental)
+
     job = jobs.add_parser("score")
     job.add_argument("--input", required=True)
     job.add_argument("--model", required=True)

@@ -322,7 +322,7 @@ def signal_zero_fraction(spark: SparkSession, sf: str) -> DataFrame:
 
 def no_leakage(spark: SparkSession, sf: str) -> DataFrame:
     stored = tables.materialize(_signals(spark, sf), session.scratch_dir(spark, "joined"))
-    return quality.leakage(stored, _feeds(spark, sf))
+    return quality.leakage(stored, _one_read(spark, sf))
 
 
 # Metrics

@@ -26,15 +26,27 @@ def read_shards(
     """
     df = spark.read.parquet(path)
     if first is not None:
-        files = sorted(df.inputFiles())
-        flat = len({os.path.dirname(f) for f in files}) == 1
-        names = {f: shard_name(f, flat) for f in files}
-        wanted = set(sorted(set(names.values()))[:first])
-        chosen = [f for f in files if names[f] in wanted]
+        chosen = [f for own in list(_by_shard(df).values())[:first] for f in own]
         df = spark.read.schema(df.schema).option("basePath", path).parquet(*chosen)
     return df.select(*columns) if columns else df
 
 
+def _by_shard(df: DataFrame) -> dict[str, list[str]]:
+    """Files of each shard, shards by name."""
+    files = sorted(df.inputFiles())
+    flat = len({os.path.dirname(f) for f in files}) == 1
+    found: dict[str, list[str]] = {}
+    for file in files:
+        found.setdefault(shard_name(file, flat), []).append(file)
+    return dict(sorted(found.items()))
+
+
+def each_shard(spark: SparkSession, path: str) -> list[DataFrame]:
+    """The shards under ``path`` one by one, by name, for what goes through them in order."""
+    df = spark.read.parquet(path)
+    return [spark.read.schema(df.schema).option("basePath", path).parquet(*own) for own in _by_shard(df).values()]
+
+
 def shard_name(file: str, flat: bool) -> str:
     """The shard a file belongs to: its folder, or in a ``flat`` export its name without the file counter."""
     return re.sub(r"[-.]c[0-9]+(?=[.])", "", file) if flat else os.path.dirname(file)
