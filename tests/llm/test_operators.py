@@ -328,6 +328,23 @@ def test_longer_contexts_agree_with_plain_python(spark, order):
     assert kneser.ORDER >= 3
 
 
+@pytest.mark.parametrize("n", [0, 1, 500, 60_000])
+def test_sorted_arrays_find_what_was_stored(n):
+    drawn = np.random.default_rng(n)
+    keys = np.unique(drawn.integers(0, 1 << 63, n, dtype=np.uint64))
+    columns = [drawn.integers(0, 400, len(keys)), drawn.integers(0, 1 << 40, len(keys)), np.zeros(len(keys), dtype=np.int64)]
+    order = drawn.permutation(len(keys))
+    data = np.frombuffer(b"".join(kneser._packed(keys[order], [c[order] for c in columns])), dtype=np.uint8)
+    asked = np.concatenate([keys[::3], drawn.integers(1 << 63, 1 << 64, 1000, dtype=np.uint64)])
+    asked = asked[drawn.permutation(len(asked))]
+    of = dict(zip(kneser._low(keys).tolist(), zip(*(c.tolist() for c in columns), strict=True), strict=True))
+    want = [of.get(k, (0, 0, 0)) for k in kneser._low(asked).tolist()]
+    packed = kneser._Packed(data, 3)
+    assert [tuple(v) for v in packed.find(asked).T.tolist()] == want
+    assert dict(zip(packed.keys().tolist(), zip(*(c.tolist() for c in packed.all()), strict=True), strict=True)) == of
+    assert len(data) < 6.5 * n + 16 * sum(int((c >= 255).sum()) for c in columns) + 3 * n + 100_000
+
+
 def test_language_model_of_odd_rows(odd, nothing, spark, sf_dir):
     model = kneser.fit(odd)
     got = kneser.scored(odd, model, odd.columns)

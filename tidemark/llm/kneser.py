@@ -1,9 +1,10 @@
 """Interpolated modified Kneser-Ney n-grams of words, counted in Spark and stored as sorted hash arrays in shared files.
 
-n-grams of word hashes are drawn to shards by their own hash, each shard is merged in one task and stored sorted. What
-is summed of them for each context, and for each n-gram without its first word (how many words stand before it), is
-dealt by hash again, down to single words. Workers map the files into memory and look up whole batches of texts; pages
-they don't touch are never read.
+n-grams of word hashes are dealt to shards by all their words but the first: a shard sees every n-gram with the same
+ending, so that in one task both the n-grams and the number of different words before each ending are complete. Sums for
+the contexts, and for shorter n-grams still, are added up in that task and dealt on by hash, down to single words. A
+shard holds at most one row for each different n-gram; a frequent ending brings one for each different word before it.
+Workers map the files into memory and look up whole batches of texts; pages they don't touch are never read.
 """
 
 from __future__ import annotations
@@ -28,12 +29,17 @@ BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 #: Words of an n-gram in production, and passes over the texts, each of which counts a part of the shards.
 ORDER, ROUNDS = 3, 4
 
-#: Kinds of rows: n-grams for the level below, sums of contexts, and counts of a shard.
-_GRAMS, _CONTEXTS, _TALLY = range(3)
-_SENT = "shard int, kind int, blob binary, tally array<long>"
+#: Kinds of rows: n-grams for the level below, sums of contexts, values of contexts with one word after them, and counts.
+_GRAMS, _CONTEXTS, _SINGLES, _TALLY = range(4)
+_SENT = "shard int, level int, kind int, blob binary, tally array<long>"
 #: Sums of a context: of the values after it, and its different words of value 1, of value 2, and in all.
 _SUMS = ("total", "one", "two", "kinds")
 
+#: Bits of a hash that a file holds (its shard tells the others), and of them those that an index of a large file replaces.
+_STORED, _INDEXED = 48, 16
+#: Rows from which a file has an index, and the value from which a column's values are listed apart.
+_LARGE, _FULL = 1 << 14, 255
+
 
 def _columns(hashed: np.ndarray, bounds: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The words of the n-gram that ends at every token (the end of each text included), and the texts' bounds."""
@@ -70,53 +76,142 @@ def _heads(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, dtype=np.int64)
 
 
-def _packed(hashes: np.ndarray, columns: list[np.ndarray]) -> Iterator[bytes]:
-    """A file: its rows, a width in bytes for each column (the least that holds it), sorted hashes, columns."""
-    narrow = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in columns]
-    yield np.array([len(hashes), *(c.itemsize for c in narrow)], dtype="<i8").tobytes()
-    yield hashes.astype("<u8").tobytes()
-    for c in narrow:
-        yield c.tobytes()
+def _low(keys: np.ndarray) -> np.ndarray:
+    return keys & np.uint64((1 << _STORED) - 1)
+
+
+def _packed(keys: np.ndarray, columns: list[np.ndarray]) -> Iterator[bytes]:
+    """A sorted array of hashes and columns of numbers: sizes, numbers that don't fit a byte with their rows, the hashes'
+    lower 4 bytes, their upper 2 (many: how many rows have each value of them), and a byte a number."""
+    order = np.argsort(_low(keys))
+    keys, columns = keys[order], [c[order] for c in columns]
+    high = (_low(keys) >> np.uint64(_STORED - _INDEXED)).astype(np.uint16)
+    if len(keys) >= _LARGE:
+        high = np.bincount(high, minlength=1 << _INDEXED)
+        high = high.astype(np.min_scalar_type(int(high.max())))
+    large = [np.flatnonzero(c >= _FULL) for c in columns]
+    yield np.array([len(keys), len(high), high.itemsize, *map(len, large)], dtype="<i8").tobytes()
+    for rows, c in zip(large, columns, strict=True):
+        yield rows.astype("<i8").tobytes()
+        yield c[rows].astype("<i8").tobytes()
+    yield (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+    yield high.tobytes()
+    for c in columns:
+        yield np.minimum(c, _FULL).astype(np.uint8).tobytes()
+
+
+class _Packed:
+    """What ``_packed`` wrote; nothing but the index is read before it is asked for."""
+
+    def __init__(self, data: np.ndarray, columns: int):
+        self.at, self.data = 0, data
+        n, highs, width, *large = self._next("<i8", 3 + columns).tolist()
+        self.large = [(self._next("<i8", k), self._next("<i8", k)) for k in large]
+        self.low, high = self._next("<u4", n), self._next(f"<u{width}", highs)
+        self.columns = [self._next("u1", n) for _ in range(columns)]
+        self.high = None if n >= _LARGE else high
+        self.starts = np.r_[0, np.cumsum(high, dtype=np.int64)].astype(np.int64 if n >> 31 else np.int32) if n >= _LARGE else None
+
+    def _next(self, kind: str, n: int) -> np.ndarray:
+        size = n * np.dtype(kind).itemsize
+        out = self.data[self.at : self.at + size].view(kind)
+        self.at += size
+        return out
 
+    def keys(self) -> np.ndarray:
+        """All hashes, as far as they are stored."""
+        high = self.high if self.starts is None else np.repeat(np.arange(1 << _INDEXED), np.diff(self.starts))
+        return high.astype(np.uint64) << np.uint64(_STORED - _INDEXED) | self.low
 
-def _unpacked(data: np.ndarray, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    n, *widths = data[: 8 * (columns + 1)].view("<i8").tolist()
-    at = 8 * (columns + 1) + 8 * n
-    parts = []
-    for width in widths:
-        parts.append(data[at : at + n * width].view(f"<u{width}"))
-        at += n * width
-    return data[8 * (columns + 1) : 8 * (columns + 1) + 8 * n].view("<u8"), parts
+    def all(self) -> list[np.ndarray]:
+        out = [c.astype(np.int64) for c in self.columns]
+        for c, (rows, values) in zip(out, self.large, strict=True):
+            c[rows] = values
+        return out
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The columns' numbers of ``keys`` (in any order), 0 where unknown."""
+        out, asked = np.zeros((len(self.columns), len(keys)), dtype=np.int64), _low(keys)
+        if not len(self.low):
+            return out
+        if self.starts is None:
+            known = self.keys()
+            row = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+            same = np.flatnonzero(known[row] == asked)
+        else:
+            high, low = (asked >> np.uint64(_STORED - _INDEXED)).astype(np.int64), asked.astype(np.uint32)
+            row, end = self.starts[high], self.starts[high + 1]
+            last, size = end, int((end - row).max(initial=0))
+            for _ in range(size.bit_length()):
+                middle = (row + end) >> 1
+                less = (row < end) & (self.low[np.minimum(middle, len(self.low) - 1)] < low)
+                row, end = np.where(less, middle + 1, row), np.where(less, end, middle)
+            same = np.flatnonzero(row < last)
+            same = same[self.low[row[same]] == low[same]]
+        row = row[same]
+        for into, c, (rows, values) in zip(out, self.columns, self.large, strict=True):
+            found = c[row].astype(np.int64)
+            full = np.flatnonzero(found == _FULL)
+            found[full] = values[np.searchsorted(rows, row[full])]
+            into[same] = found
+        return out
 
 
-def _dealt(kind: int, keys: np.ndarray, hashes: np.ndarray, columns: list[np.ndarray], shards: int) -> list[tuple]:
+def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that ``keys`` fall in, and their rows in order of ``keys``."""
+    order = np.argsort(keys)
+    shard = _shard(keys[order], shards)
+    heads = _heads(shard)
+    for start, stop in zip(heads.tolist(), np.append(heads, len(order))[1:].tolist(), strict=True):
+        yield int(shard[start]), order[start:stop]
+
+
+def _dealt(level: int, kind: int, keys: np.ndarray, columns: list[np.ndarray], shards: int) -> list[tuple]:
     """Rows of ``_SENT``, one for each shard of the ``keys``."""
-    shard = _shard(keys, shards)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    rows = []
-    for s in np.flatnonzero(np.diff(cuts)).tolist():
-        part = order[cuts[s] : cuts[s + 1]]
-        rows.append((s, kind, b"".join(_packed(hashes[part], [c[part] for c in columns])), None))
-    return rows
+    return [(s, level, kind, b"".join(_packed(keys[own], [c[own] for c in columns])), None) for s, own in _by_shard(keys, shards)]
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "kind", "blob", "tally"])
+def _written(columns: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+    """n-grams by their words: the different words, and for every n-gram its words' places among them and its values."""
+    known, place = np.unique(np.concatenate(columns), return_inverse=True)
+    parts = np.split(place.astype(np.min_scalar_type(max(1, len(known)))), len(columns))
+    parts += [v.astype(np.min_scalar_type(int(v.max(initial=0)))) for v in values]
+    head = np.array([len(columns[0]), len(known), *(p.itemsize for p in parts)], dtype="<i8")
+    return b"".join([head.tobytes(), known.astype("<u8").tobytes(), *(p.tobytes() for p in parts)])
+
+
+def _dealt_words(level: int, columns: list[np.ndarray], values: list[np.ndarray], by: np.ndarray, shards: int) -> list[tuple]:
+    """Rows of n-grams with all their words, dealt by ``by``. Equal endings lie together, which compresses them."""
+    return [(s, level, _GRAMS, _written([c[own] for c in columns], [v[own] for v in values]), None) for s, own in _by_shard(by, shards)]
 
 
-def _joined(table: pa.Table, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    parts = [_unpacked(np.frombuffer(b, np.uint8), columns) for b in table.column("blob").to_pylist()]
-    return np.concatenate([p[0] for p in parts]), [np.concatenate([p[1][i] for p in parts]) for i in range(columns)]
+def _read_words(blobs: list[bytes], level: int, values: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    parts = []
+    for blob in blobs:
+        data = np.frombuffer(blob, dtype=np.uint8)
+        at = 8 * (2 + level + values)
+        n, known, *widths = data[:at].view("<i8").tolist()
+        vocabulary = data[at : at + 8 * known].view("<u8")
+        at, arrays = at + 8 * known, []
+        for width in widths:
+            arrays.append(data[at : at + n * width].view(f"<u{width}"))
+            at += n * width
+        parts.append([*(vocabulary[a] for a in arrays[:level]), *arrays[level:]])
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    return columns[:level], columns[level:]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    names = ["shard", "level", "kind", "blob", "tally"]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _grams(columns: list[np.ndarray], values: list[np.ndarray], shards: int) -> list[tuple]:
-    """Rows of n-grams in the order of their contexts, which lets equal words be compressed."""
-    order = np.lexsort(columns[:-1]) if len(columns) > 1 else np.arange(len(columns[0]))
-    columns, values = [c[order] for c in columns], [v[order] for v in values]
-    return _dealt(_GRAMS, _key(columns), columns[-1], [*values, *columns[:-1]], shards)
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings equal keys together, and where in it each of them begins."""
+    order = np.argsort(keys)
+    return order, _heads(keys[order])
 
 
 def _count(order: int, shards: int, low: int, high: int):
@@ -129,67 +224,93 @@ def _count(order: int, shards: int, low: int, high: int):
         def flush() -> list[pa.RecordBatch]:
             columns = [np.concatenate(c) for c in zip(*waiting, strict=True)]
             _, first, n = np.unique(_key(columns), return_index=True, return_counts=True)
-            return _table(_grams([c[first] for c in columns], [n, n], shards)).to_batches()
+            columns = [c[first] for c in columns]
+            return _table(_dealt_words(order, columns, [n], _key(columns[1:]), shards)).to_batches()
 
         for batch in words.pieces(batches, "text", 1 << 22):
             columns, _ = _columns(*words.hashed(batch.column("text"), lower=True), order)
-            shard = _shard(_key(columns), shards)
-            own = (shard >= low) & (shard < high)
+            shard = _shard(_key(columns[1:]), shards)
+            own = np.flatnonzero((shard >= low) & (shard < high))
             waiting.append([c[own] for c in columns])
-            held += 6 * int(own.sum())
+            held += 6 * len(own)
             if held >= FLUSH_BYTES:
                 yield from flush()
                 waiting, held = [], 0
-        if waiting:
+        if held:
             yield from flush()
 
     return count
 
 
-def _merge(level: int, folder: str, shards: int):
-    """Store the n-grams of ``level`` words of a shard with their values (how often they stand in the texts, or how
-    many words stand before them); send on what the level below and the contexts need."""
+def _merge(level: int, folder: str, shards: int, top: bool):
+    """Add up a shard's n-grams of ``level`` words and their values (how often they stand in the texts, or how many
+    words stand before them), store them, and send on what the levels below and the contexts need. ``top``: they were
+    dealt by their endings, so that these are complete too and are stored likewise."""
 
-    def merge(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        last, (value, count, *context) = _joined(table, level + 1)
-        keys = _key([*context, last])
-        order = np.argsort(keys)
-        heads = _heads(keys[order])
-        value, count, first = _summed(order, value, heads), _summed(order, count, heads), order[heads]
-        keys, columns = keys[first], [c[first] for c in (*context, last)]
-        tally = [int((value == k).sum()) for k in (1, 2, 3, 4)]
+    def tally(shard: int, level: int, value: np.ndarray, count: np.ndarray) -> tuple:
+        sums = [*(int((value == k).sum()) for k in (1, 2, 3, 4)), int((count > 0).sum()), int(count.sum()), int(value.sum())]
+        return (shard, level, _TALLY, None, sums)
+
+    def kept(shard: int, columns: list[np.ndarray], value: np.ndarray, count: np.ndarray) -> list[tuple]:
+        """Store complete n-grams; rows of their contexts."""
+        level, rows = len(columns), [tally(shard, len(columns), value, count)]
         if level == 1:
-            put(f"{folder}/words-{shard:09d}", _packed(keys, [value, count]))
-            tally += [int((count > 0).sum()), int(count.sum()), int(value.sum())]
-            return _table([(shard, _TALLY, None, tally)])
-        put(f"{folder}/grams{level}-{shard:09d}", _packed(keys, [value]))
-
-        before = _key(columns[:-1])
-        order = np.argsort(before)
-        heads = _heads(before[order])
+            put(f"{folder}/words-{shard:09d}", _packed(columns[0], [value, count]))
+            return rows
+        put(f"{folder}/grams{level}-{shard:09d}", _packed(_key(columns), [value]))
+        keys = _key(columns[:-1])
+        order, heads = _groups(keys)
         ones = np.ones(len(value), dtype=np.int64)
-        sums, before = [_summed(order, v, heads) for v in (value, value == 1, value == 2, ones)], before[order[heads]]
-        rows = _dealt(_CONTEXTS, before, before, sums, shards)
+        sums = [_summed(order, v, heads) for v in (value, value == 1, value == 2, ones)]
+        keys, single = keys[order[heads]], sums[3] == 1
+        rows += _dealt(level, _SINGLES, keys[single], [sums[0][single]], shards)
+        return rows + _dealt(level, _CONTEXTS, keys[~single], [s[~single] for s in sums], shards)
 
-        shorter = _key(columns[1:])
-        order = np.argsort(shorter)
-        heads = _heads(shorter[order])
+    def endings(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        order, heads = _groups(_key(columns[1:]))
         own = order[heads]
-        rows += _grams([c[own] for c in columns[1:]], [_summed(order, v, heads) for v in (ones, count)], shards)
-        return _table([*rows, (shard, _TALLY, None, tally)])
+        return [c[own] for c in columns[1:]], _summed(order, np.ones(len(count)), heads), _summed(order, count, heads)
+
+    def merge(table: pa.Table) -> pa.Table:
+        shard, blobs = table.column("shard")[0].as_py(), table.column("blob").to_pylist()
+        if level == 1:
+            parts = [_Packed(np.frombuffer(b, dtype=np.uint8), 2) for b in blobs]
+            columns, values = [np.concatenate([p.keys() for p in parts])], [np.concatenate(v) for v in zip(*(p.all() for p in parts), strict=True)]
+        else:
+            columns, values = _read_words(blobs, level, 1 if top else 2)
+        order, heads = _groups(_key(columns))
+        columns, values = [c[order[heads]] for c in columns], [_summed(order, v, heads) for v in values]
+        value, count = values[0], values[-1]
+        rows = kept(shard, columns, value, count)
+        if top:
+            columns, value, count = endings(columns, count)
+            rows += kept(shard, columns, value, count)
+        if len(columns) > 1:
+            columns, value, count = endings(columns, count)
+            if len(columns) == 1:
+                rows += _dealt(1, _GRAMS, columns[0], [value, count], shards)
+            else:
+                rows += _dealt_words(len(columns), columns, [value, count], _key(columns), shards)
+        return _table(rows)
 
     return merge
 
 
 def _store(level: int, folder: str):
+    """Add up a shard's contexts of n-grams of ``level`` words and store them."""
+
     def store(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        keys, sums = _joined(table, len(_SUMS))
-        order = np.argsort(keys)
-        heads = _heads(keys[order])
-        put(f"{folder}/contexts{level}-{shard:09d}", _packed(keys[order[heads]], [_summed(order, v, heads) for v in sums]))
-        return _table([(shard, _CONTEXTS, None, None)])
+        shard, keys, sums = table.column("shard")[0].as_py(), [], []
+        for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
+            part = _Packed(np.frombuffer(blob, dtype=np.uint8), 1 if kind == _SINGLES else len(_SUMS))
+            keys.append(part.keys())
+            own = part.all()
+            sums.append([own[0], own[0] == 1, own[0] == 2, np.ones(len(own[0]))] if kind == _SINGLES else own)
+        keys = np.concatenate(keys)
+        order, heads = _groups(keys)
+        sums = [_summed(order, np.concatenate(v), heads) for v in zip(*sums, strict=True)]
+        put(f"{folder}/contexts{level}-{shard:09d}", _packed(keys[order[heads]], sums))
+        return _table([(shard, level, _CONTEXTS, None, None)])
 
     return store
 
@@ -216,50 +337,45 @@ class Model:
     rest: float  # of the continuation distribution, given to all words and one unknown alike
 
     def __post_init__(self) -> None:
-        self.open: dict[str, tuple[np.ndarray, list[np.ndarray]]] = {}
+        self.open: dict[str, _Packed] = {}
 
-    def _file(self, kind: str, shard: int, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Sorted hashes and their columns. A shard in which nothing was counted has no file."""
+    def _file(self, kind: str, shard: int, columns: int) -> _Packed:
+        """A shard's array. A shard in which nothing was counted has no file."""
         path = f"{self.folder}/{kind}-{shard:09d}"
         if path not in self.open:
-            if len(self.open) >= 512:
+            if len(self.open) >= 256:
                 self.open.clear()
             if (name := local_name(path)) and not os.path.exists(name):
-                data = np.frombuffer(np.array([0, *[1] * columns], dtype="<i8").tobytes(), dtype=np.uint8)
+                none = np.zeros(0, dtype=np.int64)
+                data = np.frombuffer(b"".join(_packed(none.astype(np.uint64), [none] * columns)), dtype=np.uint8)
             else:
                 data = mapped(path)
-            self.open[path] = _unpacked(data, columns)
+            self.open[path] = _Packed(data, columns)
         return self.open[path]
 
-    def look_up(self, kind: str, hashes: np.ndarray, columns: int) -> np.ndarray:
-        """Columns of sorted distinct hashes, 0 where unknown."""
-        out = np.zeros((columns, len(hashes)))
-        cuts = np.searchsorted(_shard(hashes, self.shards), np.arange(self.shards + 1))
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            known, values = self._file(kind, s, columns)
-            part = slice(cuts[s], cuts[s + 1])
-            if len(known):
-                at = np.minimum(np.searchsorted(known, hashes[part]), len(known) - 1)
-                same = np.asarray(known[at]) == hashes[part]
-                for row, column in zip(out, values, strict=True):
-                    row[part][same] = column[at[same]]
+    def look_up(self, kind: str, hashes: np.ndarray, by: np.ndarray, columns: int) -> np.ndarray:
+        """Columns of distinct hashes that were dealt by ``by``, 0 where unknown."""
+        out = np.zeros((columns, len(hashes)), dtype=np.int64)
+        for s, own in _by_shard(by, self.shards):
+            out[:, own] = self._file(kind, s, columns).find(hashes[own])
         return out
 
     def score(self, column: pa.Array) -> dict[str, np.ndarray]:
         """Of each text: tokens, known tokens, base score and score, both log10."""
         columns, bounds = _columns(*words.hashed(column, lower=True), len(self.discounts))
 
-        def found(kind: str, keys: np.ndarray, n: int) -> np.ndarray:
-            distinct, which = np.unique(keys, return_inverse=True)
-            return self.look_up(kind, distinct, n)[:, which]
+        def found(kind: str, keys: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
+            distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+            return self.look_up(kind, distinct, by[first], n)[:, which]
 
-        before, count = found("words", columns[-1], 2)
+        before, count = found("words", columns[-1], columns[-1], 2)
         d1, d2, d3 = self.discounts[0]
         chance = np.maximum(before - np.choose(np.minimum(before, 3).astype(int), [0, d1, d2, d3]), 0)
         chance = chance / max(1, self.pairs) + self.rest / (self.words + 1)
         for level, (d1, d2, d3) in enumerate(self.discounts[1:], 2):
-            n = found(f"grams{level}", _key(columns[-level:]), 1)[0]
-            total, one, two, kinds = found(f"contexts{level}", _key(columns[-level:-1]), len(_SUMS))
+            whole, before = _key(columns[-level:]), _key(columns[-level:-1])
+            n = found(f"grams{level}", whole, _key(columns[1 - level :]) if level == len(columns) else whole, 1)[0]
+            total, one, two, kinds = found(f"contexts{level}", before, before, len(_SUMS))
             some = np.maximum(total, 1)
             left = np.where(total > 0, (d1 * one + d2 * two + d3 * (kinds - one - two)) / some, 1.0)
             kept = np.maximum(n - np.choose(np.minimum(n, 3).astype(int), [0, d1, d2, d3]), 0)
@@ -282,22 +398,30 @@ def fit(texts: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2, rounds
     total = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     shards, folder = max(1, -(-total // shard_bytes)), shared_folder(spark, "kneser")
     rounds = min(rounds, shards)
-    parts, tallies = [], []
-    for i in range(rounds):
-        sent = texts.select("text").mapInArrow(_count(order, shards, i * shards // rounds, (i + 1) * shards // rounds), _SENT)
-        parts.append(settled(sent.groupBy("shard").applyInArrow(_merge(order, folder, shards), _SENT), "grams"))
-    for level in range(order, 0, -1):
+    cuts = [i * shards // rounds for i in range(rounds + 1)]
+    parts, tallies = [], {}
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        sent = texts.select("text").mapInArrow(_count(order, shards, low, high), _SENT)
+        parts.append(settled(sent.groupBy("shard").applyInArrow(_merge(order, folder, shards, top=True), _SENT), "grams"))
+    complete = [order, order - 1]
+    while parts:
         merged = parts[0]
         for part in parts[1:]:
             merged = merged.union(part)
-        sums = [F.coalesce(F.sum(F.get("tally", F.lit(i))), F.lit(0)).alias(f"t{i}") for i in range(7)]
-        tallies.insert(0, tuple(merged.where(F.col("kind") == _TALLY).agg(*sums).first()))
-        if level > 1:
-            drop(settled(merged.where(F.col("kind") == _CONTEXTS).groupBy("shard").applyInArrow(_store(level, folder), _SENT), "contexts"))
-            below = merged.where(F.col("kind") == _GRAMS).groupBy("shard").applyInArrow(_merge(level - 1, folder, shards), _SENT)
-            below = [settled(below, "grams")]
+        sums = [F.sum(F.get("tally", F.lit(i))).alias(f"t{i}") for i in range(7)]
+        tallies |= {r.level: r[1:] for r in merged.where(F.col("kind") == _TALLY).groupBy("level").agg(*sums).collect()}
+        for level in complete:
+            own = merged.where((F.col("level") == level) & F.col("kind").isin(_CONTEXTS, _SINGLES))
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True) if level > 1 else ():
+                some = own.where((F.col("shard") >= low) & (F.col("shard") < high))
+                drop(settled(some.groupBy("shard").applyInArrow(_store(level, folder), _SENT), "contexts"))
+        below = []
+        if (level := complete[-1] - 1) > 0:
+            below = merged.where(F.col("kind") == _GRAMS).groupBy("shard")
+            below = [settled(below.applyInArrow(_merge(level, folder, shards, top=False), _SENT), "grams")]
         drop(*parts)
-        parts = below
+        parts, complete = below, [level]
+    tallies = [tallies.get(level, (0,) * 7) for level in range(1, order + 1)]
     b1, b2, _, _, known, tokens, pairs = tallies[0]
     given_up = [discounts(*t[:4]) for t in tallies]
     d1, d2, d3 = given_up[0]
