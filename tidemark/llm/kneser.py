@@ -157,9 +157,28 @@ class _Packed:
         return out
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """An order of ``keys`` by all but their last bits, in whose place their rows are sorted with them: several times
+    faster than an argsort."""
+    mask = np.uint64((1 << len(keys).bit_length()) - 1)
+    ordered = keys & ~mask | np.arange(len(keys), dtype=np.uint64)
+    ordered.sort()
+    return (ordered & mask).astype(np.int64)
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts ``keys``, and where in it each of them begins."""
+    order = _order(keys)
+    ordered = keys[order]
+    if np.any(ordered[1:] < ordered[:-1]):  # different only in their last bits
+        order = order[np.argsort(ordered, kind="stable")]
+        ordered = keys[order]
+    return order, _heads(ordered)
+
+
 def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each shard that ``keys`` fall in, and their rows in order of ``keys``."""
-    order = np.argsort(keys)
+    """Each shard that ``keys`` fall in, and their rows, equal keys together."""
+    order, _ = _groups(keys)
     shard = _shard(keys[order], shards)
     heads = _heads(shard)
     for start, stop in zip(heads.tolist(), np.append(heads, len(order))[1:].tolist(), strict=True):
@@ -208,12 +227,6 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that brings equal keys together, and where in it each of them begins."""
-    order = np.argsort(keys)
-    return order, _heads(keys[order])
-
-
 def _count(order: int, shards: int, low: int, high: int):
     """n-grams of the shards from ``low`` to under ``high``."""
 
@@ -223,9 +236,10 @@ def _count(order: int, shards: int, low: int, high: int):
 
         def flush() -> list[pa.RecordBatch]:
             columns = [np.concatenate(c) for c in zip(*waiting, strict=True)]
-            _, first, n = np.unique(_key(columns), return_index=True, return_counts=True)
+            order, heads = _groups(_key(columns))
+            n, first = np.diff(np.append(heads, len(order))), order[heads]
             columns = [c[first] for c in columns]
-            return _table(_dealt_words(order, columns, [n], _key(columns[1:]), shards)).to_batches()
+            return _table(_dealt_words(len(columns), columns, [n], _key(columns[1:]), shards)).to_batches()
 
         for batch in words.pieces(batches, "text", 1 << 22):
             columns, _ = _columns(*words.hashed(batch.column("text"), lower=True), order)
@@ -353,33 +367,44 @@ class Model:
             self.open[path] = _Packed(data, columns)
         return self.open[path]
 
-    def look_up(self, kind: str, hashes: np.ndarray, by: np.ndarray, columns: int) -> np.ndarray:
-        """Columns of distinct hashes that were dealt by ``by``, 0 where unknown."""
-        out = np.zeros((columns, len(hashes)), dtype=np.int64)
-        for s, own in _by_shard(by, self.shards):
-            out[:, own] = self._file(kind, s, columns).find(hashes[own])
-        return out
+    def look_up(self, kind: str, keys: np.ndarray, order: np.ndarray, by: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of the different ``keys``, 0 where unknown, and the place of each key among these. They were dealt by
+        ``by``, which ``order`` brings into the order of shards."""
+        ordered = keys[order]
+        heads = _heads(ordered)
+        ordered, shard = ordered[heads], _shard(by[order[heads]], self.shards)
+        values = np.empty((columns, len(ordered)), dtype=np.int64)
+        cuts = [*_heads(shard).tolist(), len(shard)]
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            values[:, start:stop] = self._file(kind, int(shard[start]), columns).find(ordered[start:stop])
+        which = np.empty(len(keys), dtype=np.int64)
+        which[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(keys))))
+        return values, which
 
     def score(self, column: pa.Array) -> dict[str, np.ndarray]:
         """Of each text: tokens, known tokens, base score and score, both log10."""
         columns, bounds = _columns(*words.hashed(column, lower=True), len(self.discounts))
 
-        def found(kind: str, keys: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
-            distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-            return self.look_up(kind, distinct, by[first], n)[:, which]
-
-        before, count = found("words", columns[-1], columns[-1], 2)
-        d1, d2, d3 = self.discounts[0]
-        chance = np.maximum(before - np.choose(np.minimum(before, 3).astype(int), [0, d1, d2, d3]), 0)
-        chance = chance / max(1, self.pairs) + self.rest / (self.words + 1)
-        for level, (d1, d2, d3) in enumerate(self.discounts[1:], 2):
-            whole, before = _key(columns[-level:]), _key(columns[-level:-1])
-            n = found(f"grams{level}", whole, _key(columns[1 - level :]) if level == len(columns) else whole, 1)[0]
-            total, one, two, kinds = found(f"contexts{level}", before, before, len(_SUMS))
+        def given(value: np.ndarray, cut: tuple[float, float, float]) -> np.ndarray:
+            return np.maximum(value - np.choose(np.minimum(value, 3), [0, *cut]), 0)
+
+        (before, count), which = self.look_up("words", columns[-1], _order(columns[-1]), columns[-1], 2)
+        count = count[which]
+        chance = (given(before, self.discounts[0]) / max(1, self.pairs) + self.rest / (self.words + 1))[which]
+        for level, cut in enumerate(self.discounts[1:], 2):
+            by = whole = _key(columns[-level:])
+            if level < len(columns):
+                ending, order = whole, _order(whole)
+            else:  # dealt by their endings, the n-grams of the level below
+                by = ending if level > 2 else columns[-1]
+                order = order if level > 2 else _order(by)
+            n, which = self.look_up(f"grams{level}", whole, order, by, 1)
+            kept = given(n[0], cut)[which]
+            context = _key(columns[-level:-1])
+            (total, one, two, kinds), which = self.look_up(f"contexts{level}", context, _order(context), context, len(_SUMS))
             some = np.maximum(total, 1)
-            left = np.where(total > 0, (d1 * one + d2 * two + d3 * (kinds - one - two)) / some, 1.0)
-            kept = np.maximum(n - np.choose(np.minimum(n, 3).astype(int), [0, d1, d2, d3]), 0)
-            chance = kept / some + left * chance
+            left = np.where(total > 0, (cut[0] * one + cut[1] * two + cut[2] * (kinds - one - two)) / some, 1.0)
+            chance = kept / some[which] + left[which] * chance
         base = (count + 1) / (self.tokens + self.words + 1)
         sums = [np.diff(bounds), count > 0, np.log10(base), np.log10(chance)]
         heads = bounds[:-1]
