@@ -135,7 +135,23 @@ def fit_linear(train: DataFrame, spec: LinearSpec = LinearSpec(), path: str | No
 
 def fit_vectors(ready: DataFrame, spec: LinearSpec) -> LinearModel:
     """Fit on a feature table with label_id and weight."""
-    return LinearModel(spec, spec.classifier().fit(ready))
+    classifier = spec.classifier()
+    return LinearModel(spec, classifier.fit(ready) if spec.form == "softmax" else _one_after_another(classifier, ready))
+
+
+def _one_after_another(classifier: OneVsRest, ready: DataFrame) -> OneVsRestModel:
+    """What ``classifier.fit`` gives, from the files for every label: it would keep a second copy of all vectors in the
+    executors beside the blocks that each fit keeps anyway."""
+    base = classifier.getClassifier()
+    labels = int(ready.agg(F.max("label_id")).first()[0]) + 1
+    columns = {base.labelCol: "own", base.featuresCol: "features", base.weightCol: "weight"}
+    models = [
+        base.fit(ready.withColumn("own", F.when(F.col("label_id") == float(i), 1.0).otherwise(0.0)), columns) for i in range(labels)
+    ]
+    model = OneVsRestModel(models=models)
+    for param, value in ((model.classifier, base), (model.featuresCol, "features"), (model.labelCol, "label_id"), (model.weightCol, "weight")):
+        model.set(param, value)
+    return model
 
 
 class MacroF1Evaluator(Evaluator):
