@@ -1,5 +1,7 @@
+import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark import fixed
 from tidemark.functions import hashed, scalars, text, vectors
 from tidemark.plans import training
 from tidemark.sources import star
@@ -86,3 +88,21 @@ def test_blocks_of_a_fit_are_larger_than_their_gradient(spark):
 
 def test_texts_of_issues_are_spread_over_the_cores(spark, sf_dir):
     assert star.issues(spark, sf_dir, body=True).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_softmax_over_blocks_takes_the_steps_of_spark(spark):
+    texts = ["typo in the readme", "the crash has a stack trace, a trace", "redesign of the scheduler", "", "größe über alles"]
+    rows = [(i, texts[(i * 7) % 5], f"{texts[i % 5]} number {i % 13}", "OWNER" if i % 3 else None, float(i % 11), fixed.LABELS[(i * 7) % 5 % 4]) for i in range(300)]
+    schema = "issue_id int, title string, body string, author_association string, star_count_30d double, label string"
+    frame = spark.createDataFrame(rows, schema).withColumns({s: F.lit(1.5) for s in fixed.SIGNALS if s != "star_count_30d"}).repartition(3)
+    spec = training.LinearSpec(signals=True, buckets=512, l2=1e-3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)  # several batches are one block
+    table = training.training_table(frame, spec)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert table.count() == 3
+    model = training.fit_ready(table, spec).classifier
+    expected = spec.classifier().fit(training.feature_table(training.with_training_columns(frame), spec, ["label_id", "weight"]))
+    np.testing.assert_allclose(model.coefficientMatrix.toArray(), expected.coefficientMatrix.toArray(), atol=1e-6)
+    np.testing.assert_allclose(model.interceptVector.toArray(), expected.interceptVector.toArray(), atol=1e-6)
+    one = training.fit_linear(frame.where("label = 'Medium'"), spec)
+    assert {r.pred_label for r in one.predict(frame).collect()} == {"Medium"}
