@@ -1,5 +1,6 @@
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -597,3 +598,19 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
 
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in NAMES if n.startswith("op")) == list(range(1, 14))
+
+
+def test_a_shards_ngrams_are_copied_once():
+    rng = np.random.default_rng(0)
+    blobs, want = [], []
+    for n in [50_000] * 8 + [0]:
+        columns, count = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for _ in range(3)], rng.integers(1, 300, n)
+        blobs.append(kneser._written(columns, [count]))
+        want.append([*columns, count])
+    tracemalloc.start()
+    columns, values = kneser._read_words(blobs, 3, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for got, parts in zip([*columns, *values], zip(*want, strict=True), strict=True):
+        assert (got == np.concatenate(parts)).all()
+    assert peak < 1.4 * sum(a.nbytes for a in [*columns, *values])

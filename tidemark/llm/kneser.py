@@ -22,7 +22,7 @@ from tidemark.llm import words
 from tidemark.llm.files import drop, local_name, mapped, put, settled, shared_folder
 
 #: Bytes of text in a shard, and bytes counted in a task before pairs are sent off.
-SHARD_BYTES, FLUSH_BYTES = 16 << 20, 16 << 20
+SHARD_BYTES, FLUSH_BYTES = 16 << 20, 8 << 20
 
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 
@@ -205,18 +205,21 @@ def _dealt_words(level: int, columns: list[np.ndarray], values: list[np.ndarray]
 
 
 def _read_words(blobs: list[bytes], level: int, values: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    parts = []
-    for blob in blobs:
+    """The words of all n-grams of ``blobs``, and their values; every n-gram is copied once, to its place."""
+    sizes = [int(np.frombuffer(blob, "<i8", 1)[0]) for blob in blobs]
+    columns = [np.empty(sum(sizes), np.uint64 if i < level else np.int64) for i in range(level + values)]
+    start = 0
+    for blob, size in zip(blobs, sizes, strict=True):
         data = np.frombuffer(blob, dtype=np.uint8)
         at = 8 * (2 + level + values)
         n, known, *widths = data[:at].view("<i8").tolist()
         vocabulary = data[at : at + 8 * known].view("<u8")
-        at, arrays = at + 8 * known, []
-        for width in widths:
-            arrays.append(data[at : at + n * width].view(f"<u{width}"))
+        at, own = at + 8 * known, slice(start, start + size)
+        for i, (into, width) in enumerate(zip(columns, widths, strict=True)):
+            found = data[at : at + n * width].view(f"<u{width}")
+            into[own] = vocabulary[found] if i < level else found
             at += n * width
-        parts.append([*(vocabulary[a] for a in arrays[:level]), *arrays[level:]])
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        start += size
     return columns[:level], columns[level:]
 
 
@@ -236,6 +239,7 @@ def _count(order: int, shards: int, low: int, high: int):
 
         def flush() -> list[pa.RecordBatch]:
             columns = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+            waiting.clear()  # before the sort, which needs as much again
             order, heads = _groups(_key(columns))
             n, first = np.diff(np.append(heads, len(order))), order[heads]
             columns = [c[first] for c in columns]
@@ -249,7 +253,7 @@ def _count(order: int, shards: int, low: int, high: int):
             held += 6 * len(own)
             if held >= FLUSH_BYTES:
                 yield from flush()
-                waiting, held = [], 0
+                held = 0
         if held:
             yield from flush()
 
