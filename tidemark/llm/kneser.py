@@ -290,15 +290,19 @@ def _merge(level: int, folder: str, shards: int, top: bool):
         return [c[own] for c in columns[1:]], _summed(order, np.ones(len(count)), heads), _summed(order, count, heads)
 
     def merge(table: pa.Table) -> pa.Table:
-        shard, blobs = table.column("shard")[0].as_py(), table.column("blob").to_pylist()
+        shard, blobs = table.column("shard")[0].as_py(), [b.as_buffer() for b in table.column("blob")]
         if level == 1:
             parts = [_Packed(np.frombuffer(b, dtype=np.uint8), 2) for b in blobs]
             columns, values = [np.concatenate([p.keys() for p in parts])], [np.concatenate(v) for v in zip(*(p.all() for p in parts), strict=True)]
         else:
             columns, values = _read_words(blobs, level, 1 if top else 2)
         order, heads = _groups(_key(columns))
-        columns, values = [c[order[heads]] for c in columns], [_summed(order, v, heads) for v in values]
+        own = order[heads]
+        for i in range(len(columns)):  # one after another, so that no second copy of all is held
+            columns[i] = columns[i][own]
+        values = [_summed(order, v, heads) for v in values]
         value, count = values[0], values[-1]
+        del order, heads, own, values
         rows = kept(shard, columns, value, count)
         if top:
             columns, value, count = endings(columns, count)
