@@ -179,6 +179,52 @@ def test_join_of_odd_rows(odd, nothing):
     assert jaccard.join_components(nothing).isEmpty()
 
 
+def unlinked_copies(n):
+    """Copies of one text of 100 words, each with two to four words of its own: candidates, but few are similar."""
+    drawn = np.random.default_rng(5)
+    text, rows = [f"w{i}" for i in range(100)], []
+    for i in range(n):
+        own = list(text)
+        for j in drawn.choice(100, int(drawn.integers(2, 5)), replace=False):
+            own[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("group", [jaccard.GROUP, 16])
+def test_unlinked_copies_meet_in_few_groups(spark, group):
+    rows, rule = unlinked_copies(240), jaccard.Rule(85)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = jaccard._candidates(jaccard.described(docs, 4, rule)).select("_id", "_key").collect()
+    # With the smallest hash as the key, 191 copies had 38 groups, and each copy was joined with each group.
+    assert len(near) > 150 and len({r._key for r in near}) <= 6
+    got = jaccard.join_components(docs, 4, 85, group).collect()
+    want = brute.components({i: brute.shingles(t, 4) for i, t in rows}, 85)
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_frequent_shingles_are_told_from_a_large_inputs_usual_ones():
+    counts = np.random.default_rng(1).poisson(8000, jaccard.COUNTERS)
+    counts[:100] += 1000
+    levels = jaccard._levels(counts)
+    assert (levels[:100] >= 3).all() and np.median(levels) == 0
+    assert not jaccard._levels(np.zeros(jaccard.COUNTERS)).any()
+
+
+def test_only_wanted_texts_go_to_the_join(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 100 = 7, null, id) as _id", "repeat('a b ', 9) as text")
+    wanted = spark.createDataFrame([(i,) for i in (0, 5, 5, 19_999, 1 << 40)], "_id long")
+    kept = [r._id for r in jaccard._likely(rows.union(rows.where("_id = 5")), wanted).select("_id").collect()]
+    assert {0, 5, 19_999} <= set(kept) and kept.count(5) == 2 and len(kept) < 30
+    assert jaccard._likely(rows, wanted.where("false")).isEmpty()
+
+
+def test_groups_of_long_sets_are_split_by_tokens(spark):
+    rows = spark.range(40).selectExpr("id as _id", "7L as _key", f"{3 * jaccard.TOKENS} as _n")
+    assert jaccard._chunked(rows, 20).select("_g").distinct().count() > 3
+    assert jaccard._chunked(rows.drop("_n"), 40).select("_g").distinct().count() == 1
+
+
 def test_prefix_lengths_are_enough():
     for percent in (50, 80, 85, 100):
         rule = jaccard.Rule(percent)

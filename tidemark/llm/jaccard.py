@@ -1,7 +1,7 @@
 """Exact Jaccard self-join of documents' word n-grams over a token-group matrix.
 
-Documents with equal sets are one. The others are partitioned into groups of similar ones (by their smallest shingle
-hash). Links inside a group are found in one task. Between groups, a matrix of tokens and groups gives for a document
+Documents with equal sets are one. The others are partitioned into groups of similar ones (by the token of their prefix
+that most sets have). Links inside a group are found in one task. Between groups, a matrix of tokens and groups gives for a document
 the groups it may have a partner in; a group is opened for it only if its overlap with the group's token union, which
 bounds that with every member, and the sizes allow the similarity asked for. Links join components; what is already
 one component isn't compared again, so that no group of copies is expanded into pairs, and no component is missed.
@@ -23,12 +23,14 @@ from tidemark.llm import words
 from tidemark.llm.components import components
 from tidemark.llm.files import drop, settled
 
-#: Members of a group, about; larger groups are split.
-GROUP = 1024
+#: Members of a group, about; larger groups are split. A set counts as one member for each so many tokens begun.
+GROUP, TOKENS = 1024, 4096
 #: Counters of the sketch of shingle frequencies, a power of two, and in how many rows they are sent.
 COUNTERS, PARTS = 1 << 20, 16
+#: Bits by which rows of ids that are not wanted are left out (4 MB, sent to the executors).
+BITS = 1 << 25
 
-_IDS = "_id long, _n int, _least int, _sig binary, _key long, _prefix array<long>"
+_IDS = "_id long, _n int, _least int, _sig binary, _prefix array<long>"
 _LINKS = "a long, b long"
 
 
@@ -67,8 +69,9 @@ class Rule:
 def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
     """Level of each of the sketch's counters: 0 for usual shingles, one more for each doubling above.
 
-    All documents are counted into a sketch of fixed size. The levels only order tokens (frequent ones last), so
-    that shared counters cost time and never a link.
+    All documents are counted into a sketch of fixed size. A counter's usual count grows with the input, its spread
+    with the root of that; what is over both belongs to a frequent shingle. The levels only order tokens (frequent
+    ones last), so that shared counters cost time and never a link.
     """
     width = COUNTERS // PARTS
 
@@ -92,8 +95,13 @@ def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
     counts = np.zeros((PARTS, width), dtype=np.uint64)
     for row in sketch.collect():
         counts[row.part] = np.frombuffer(row.counts, dtype=np.uint64)
-    counts = counts.ravel()
-    return np.floor(np.log2(np.maximum(counts / (4 * counts.mean() + 16), 0.5)) + 1).astype(np.uint8)
+    return _levels(counts.ravel())
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    usual = np.median(counts)
+    over = (counts - usual) / (np.sqrt(usual) + 1)
+    return np.floor(np.log2(np.maximum(over, 0.5)) + 1).astype(np.uint8)
 
 
 def _prefix(tokens: np.ndarray, levels: np.ndarray, n: int) -> np.ndarray:
@@ -102,30 +110,48 @@ def _prefix(tokens: np.ndarray, levels: np.ndarray, n: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
-    """For every row: id, size of its set, the set's signature, smallest hash and prefix."""
+    """For every row: id, size of its set, the set's signature and prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, k))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = sent.value
         for batch in words.pieces(batches, "text", 1 << 22):
             hashed, bounds = words.hashed(batch.column("text"), lower=True)
-            n, least, sig, key, prefix = [], [], [], [], []
+            n, least, sig, prefix = [], [], [], []
             for tokens in words.shingle_sets(hashed, bounds, k):
                 n.append(len(tokens))
                 least.append(rule.least(len(tokens)))
                 sig.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                key.append(int(tokens[:1].view(np.int64)[0]) if len(tokens) else 0)
                 prefix.append(_prefix(tokens, levels, rule.prefix(len(tokens))).view(np.int64))
             ends = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             columns = [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(least, pa.int32())]
-            columns += [pa.array(sig, pa.binary()), pa.array(key, pa.int64())]
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*columns, lists], ["_id", "_n", "_least", "_sig", "_key", "_prefix"])
+            columns += [pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_n", "_least", "_sig", "_prefix"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(describe, _IDS)
 
 
+def _bit(i: Column) -> Column:
+    """The id's bit, from 1."""
+    return F.pmod(F.xxhash64(i), F.lit(BITS)) + 1
+
+
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``_id`` is in ``wanted``, and a few others: those that share a bit with one that is.
+
+    The bits have a fixed size, whatever the input's; they spare the other rows' texts the way to a join.
+    """
+    bit = _bit(F.col("_id"))
+    bits = wanted.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits")
+    )
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bits), "_bucket")
+    return near.where(F.bit_get(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def _with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(_id, _in, _set): the whole sets, as bytes, of the rows in ``wanted`` (_id, _sig, _in).
 
@@ -133,7 +159,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     Rows that repeat an id and text come out once for each task they meet in; the steps after allow for that.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(wanted, "_id")
+    rows = _likely(docs.select(F.col("doc_id").cast("long").alias("_id"), "text"), wanted).join(wanted, "_id")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, bytes]] = set()
@@ -241,8 +267,12 @@ def _links_between(rule: Rule):
 
 
 def _chunked(rows: DataFrame, group: int) -> DataFrame:
-    """Rows with their group ``_g`` (the key, in as many chunks as its rows need) and whether it was ``_split``."""
-    counts = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > group)
+    """Rows with their group ``_g`` (the key, in as many chunks as its rows need) and whether it was ``_split``.
+
+    Where rows have the size of their set, ``_n``, long sets need more chunks.
+    """
+    size = F.ceil(F.col("_n") / TOKENS) if "_n" in rows.columns else F.lit(1)
+    counts = rows.groupBy("_key").agg(F.sum(size).alias("_rows")).where(F.col("_rows") > group)
     chunk = F.coalesce(F.pmod(F.xxhash64("_id"), F.ceil(F.col("_rows") / group)), F.lit(0))
     grouped = rows.join(counts, "_key", "left").withColumn("_split", F.col("_rows").isNotNull())
     return grouped.withColumn("_g", F.xxhash64("_key", chunk)).drop("_rows")
@@ -257,10 +287,10 @@ def _inside(sets: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _regrouped(sets: DataFrame, round_: DataFrame, found: DataFrame, rule: Rule, group: int) -> DataFrame:
-    """``found`` and the links between first members of the components of split groups (_id, _key, _split)."""
+    """``found`` and the links between first members of the components of split groups (_id, _key, _split, maybe _n)."""
     while True:  # the first members of a split group's components are grouped anew, until one group is left
         later = found.where("a <> b").select(F.col("a").alias("_id"))
-        firsts = round_.where("_split").select("_id", "_key").join(later, "_id", "left_anti")
+        firsts = round_.where("_split").select([c for c in ("_id", "_key", "_n") if c in round_.columns]).join(later, "_id", "left_anti")
         again = settled(_chunked(firsts, group), "firsts")
         if again.isEmpty() or again.count() >= round_.count():
             break
@@ -286,15 +316,18 @@ def _opened(sets: DataFrame, state: DataFrame, pairs: DataFrame, rule: Rule, gro
 
 
 def _candidates(unique: DataFrame) -> DataFrame:
-    """(_id, _tokens): the sets that may have a partner, and the tokens of their prefix that other sets' have too.
+    """(_id, _tokens, _key, ...): the sets that may have a partner, the tokens of their prefix that other sets' have
+    too, and the one of these that most sets have (of several the smallest).
 
+    Sets that share frequent tokens, similar or not, so meet in few groups, which the matrix then has for each token.
     Tokens are dealt out once; the count of their sets and the way back use the same exchange.
     """
     tokens = unique.where("_n > 0").select("_id", F.explode("_prefix").alias("_t")).repartition("_t")
-    shared = tokens.groupBy("_t").agg(F.min("_id").alias("_l"), F.max("_id").alias("_h")).where("_l <> _h").select("_t")
-    postings = tokens.join(shared, "_t", "left_semi")
-    per_set = postings.groupBy("_id").agg(F.collect_list("_t").alias("_tokens"))
-    rows = per_set.join(unique.select("_id", "_n", "_least", "_sig", "_key"), "_id")
+    shared = tokens.groupBy("_t").agg(F.min("_id").alias("_l"), F.max("_id").alias("_h"), F.count(F.lit(1)).alias("_m"))
+    postings = tokens.join(shared.where("_l <> _h").select("_t", "_m"), "_t")
+    most = F.min(F.struct((-F.col("_m")).alias("_m"), "_t"))["_t"]
+    per_set = postings.groupBy("_id").agg(F.collect_list("_t").alias("_tokens"), most.alias("_key"))
+    rows = per_set.join(unique.select("_id", "_n", "_least", "_sig"), "_id")
     return rows.where(F.size("_tokens") >= F.col("_least"))
 
 
@@ -351,7 +384,7 @@ def join_components(docs: DataFrame, k: int = 5, percent: int = 80, group: int =
     all_rows = settled(whole.select("_id", "_n", "_sig"), "rows")
     real = whole.where("_n > 0 and _id is not null")
     unique = real.groupBy("_sig").agg(
-        F.min("_id").alias("_id"), *(F.first(c).alias(c) for c in ("_n", "_least", "_key", "_prefix"))
+        F.min("_id").alias("_id"), *(F.first(c).alias(c) for c in ("_n", "_least", "_prefix"))
     )
     unique = settled(unique, "unique")
     drop(whole)
