@@ -82,6 +82,47 @@ def test_language_of_odd_rows(odd, nothing):
     assert language.predict(nothing, model, ["doc_id"]).isEmpty()
 
 
+def test_code_lengths_need_little_memory(spark):
+    """Working memory is that of a block of bytes, not some bytes for each byte of a batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    model = language.fit(spark.createDataFrame([("the cat sat on the mat", "en"), ("le chat", "fr")], "text string, lang string"))
+    column = pa.array(["a cat on a mat " * 100, "", "le chat " * 150, ""] * 2500)  # some 6.7 MB
+    model.code_lengths(column.slice(0, 4))
+    tracemalloc.start()
+    try:
+        model.code_lengths(column.slice(0, 2500))
+        quarter = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        model.code_lengths(column)
+        more = tracemalloc.get_traced_memory()[1] - quarter
+    finally:
+        tracemalloc.stop()
+    assert more < 3 * words.raw(column)[1][-1]
+
+
+def test_code_lengths_over_many_blocks(spark):
+    """Texts across the blocks' borders, among empty ones, have the lengths that they have alone."""
+    import pyarrow as pa
+
+    model = language.fit(spark.createDataFrame([("the cat sat on the mat", "en"), ("le chat", "fr")], "text string, lang string"))
+    asked = ["", "the cat " * 70_000, "", None, "x", "", "le mat " * 200_000, "a", ""]
+    got = model.code_lengths(pa.array(asked))
+    for i, text in enumerate(asked):
+        assert got[i] == pytest.approx(model.code_lengths(pa.array([text], pa.string()))[0], rel=1e-9)
+
+
+def test_kept_text_is_sent_once(odd):
+    """A text that is kept goes to the Python worker in one column; predictions are those of texts that aren't kept."""
+    model = language.fit(odd)
+    kept, alone = language.predict(odd, model, odd.columns), language.predict(odd, model, ["doc_id"])
+    assert "_text" in alone._jdf.queryExecution().optimizedPlan().toString()
+    assert "_text" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert Counter((r.doc_id, r.lang_pred) for r in kept.collect()) == Counter((r.doc_id, r.lang_pred) for r in alone.collect())
+
+
 def test_training_sample_is_bounded(docs):
     small = language.training_sample(docs, rows=12, total_bytes=20_000)
     row = small.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))

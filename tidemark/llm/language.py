@@ -146,7 +146,8 @@ class Model:
         if self.slots is None:  # most grams are found by one look into this table
             self.slots = np.zeros(1 << self.slot_bits, dtype=np.int32)
             self.slots[self._slot(top.grams)] = np.arange(len(top.grams), dtype=np.int32)
-        text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        filled = np.flatnonzero(np.diff(bounds))
+        begins = bounds[:-1][filled]
         step = max(1 << 12, (1 << 20) // max(1, len(self.languages)))
         for start in range(0, len(data), step):
             stop = min(len(data), start + step)
@@ -160,9 +161,9 @@ class Model:
             if not hit.all():
                 missed, inverse = np.unique(gram[~hit], return_inverse=True)
                 bits[~hit] = self._bits(missed, self.order)[inverse]
-            owner = text[start:stop]
-            heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            total[owner[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.float64)
+            here = slice(np.searchsorted(begins, start, side="right") - 1, np.searchsorted(begins, stop))
+            heads = np.maximum(begins[here] - start, 0)
+            total[filled[here]] += np.add.reduceat(bits, heads, axis=0, dtype=np.float64)
         return total
 
     def _slot(self, gram: np.ndarray) -> np.ndarray:
@@ -209,24 +210,25 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     lettered = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
-    # Inside, kept columns have names of their own, so that none can clash.
+    # Inside, kept columns have names of their own, so that none can clash. A kept text isn't sent a second time.
     inner = [f"k{i}" for i in range(len(keep))]
-    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner, strict=True)), F.when(lettered, F.col("text")).alias("_text"), lettered.alias("_lettered"))
+    sent_text = inner[keep.index("text")] if "text" in keep else "_text"
+    own_text = [] if "text" in keep else [F.when(lettered, F.col("text")).alias("_text")]
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner, strict=True)), *own_text, lettered.alias("_lettered"))
     kept = rows.select(*inner).schema
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for batch in words.pieces(batches, "_text", 1 << 23):
+        for batch in words.pieces(batches, sent_text, 1 << 23):
+            names, score = np.full(batch.num_rows, UNDETERMINED, dtype=object), np.zeros(batch.num_rows)
             told = batch.column("_lettered").to_numpy(zero_copy_only=False)
-            if known.languages:
-                bits = known.code_lengths(batch.column("_text"))
+            if known.languages and told.any():
+                text = batch.column(sent_text)
+                bits = known.code_lengths(text if told.all() else text.filter(batch.column("_lettered")))
                 best = bits.argmin(axis=1)
                 odds = np.exp2(np.maximum(bits[np.arange(len(bits)), best][:, None] - bits, -1000.0)).sum(axis=1)
-                names = np.where(told, np.array(known.languages, dtype=object)[best], UNDETERMINED)
-                score = np.where(told, 1.0 / odds, 0.0)
-            else:
-                names, score = np.full(batch.num_rows, UNDETERMINED, dtype=object), np.zeros(batch.num_rows)
+                names[told], score[told] = np.array(known.languages, dtype=object)[best], 1.0 / odds
             own = [batch.column(c) for c in inner]
             yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(score)], [*inner, "lang_pred", "score"])
 
