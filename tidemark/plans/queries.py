@@ -462,7 +462,7 @@ def assembled_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored_text(spark: SparkSession, sf: str, spec: training.LinearSpec) -> DataFrame:
-    rows = _signals(spark, sf, body=True) if spec.signals else star.issues(spark, sf, body=True)
+    rows = star.with_body(spark, sf, _stored_signals(spark, sf)) if spec.signals else star.issues(spark, sf, body=True)
     return training.fit_linear(_train(rows), spec).predict_stored(_test(rows), keep=["issue_id"])
 
 
